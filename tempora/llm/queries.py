@@ -7,19 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.llm._common import scratch
 from tempora.llm.decontaminate import contamination, item_digest, span_words
+from tempora.llm.html_text import page_texts
 from tempora.llm.line_dedup import drop_shared_lines
+from tempora.llm.mixing import mixing_rates
+from tempora.llm.neighbours import nearest_neighbours
+from tempora.llm.quality import held_out, quality_scores
+from tempora.llm.simhash import near_duplicates
+from tempora.llm.token_counts import token_counts
+from tempora.llm.token_files import read_token_index, write_token_file
+from tempora.llm.toxicity import toxicity_scores
+
+#: Weights of the domains that the mix aims at, and the files of the vocabularies.
+DOMAIN_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+COUNT_VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str) -> str:
+    """A file of the installed public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of the documents that the labelled table covers."""
+    return labels.select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rates = mixing_rates(docs.select("doc_id", "text"), labelled_domains(docs, _table(spark, sf_dir, "labels")), DOMAIN_TARGETS)
+    return rates.select("doc_id", "n_tokens", *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(sorted(DOMAIN_TARGETS))], "rate")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return lines.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept_text", 256).alias("kept_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path(COUNT_VOCABULARY))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(5, 0)
+    scored = toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), learn=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -28,9 +74,37 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(4, 2)
+    scored = quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), learn=~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    write_token_file(_table(spark, sf_dir, "documents"), path, vocabulary_path(TOKENIZER), end_id=2)
+    return read_token_index(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
+    "op8_token_files": op8_token_files,
+    "op9_neighbours": op9_neighbours,
+    "op10_html_text": op10_html_text,
 }
 
 SQL: dict[str, str] = {}
