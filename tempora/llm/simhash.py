@@ -31,11 +31,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The fingerprint of lower-cased text as a signed 64-bit number: a bit is set if over half of the shingles' hashes set it."""
+def _rehashed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes of the same shingles for each table but the first."""
+    if table:
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * table)
+        hashes = hashes ^ (hashes >> np.uint64(32))
+    return hashes
+
+
+def fingerprint(text: bytes, width: int, tables: int = 1) -> list[int]:
+    """Fingerprints of lower-cased text as signed 64-bit numbers: a bit is set if over half of the shingles' hashes set it."""
     words = text.split()
     if not words:
-        return 0
+        return [0] * tables
     line = b" ".join(words)
     if len(words) <= width:
         hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], dtype="<u8")
@@ -44,26 +52,36 @@ def fingerprint(text: bytes, width: int) -> int:
         starts = np.concatenate([[0], ends[:-1]])
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 60_000):  # column sums of 0 and 1 fit 16 bits
-        bits = np.unpackbits(hashes[k : k + 60_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    found = []
+    for table in range(tables):
+        own, ones = _rehashed(hashes, table), np.zeros(64, np.int64)
+        for k in range(0, len(own), 60_000):  # column sums of 0 and 1 fit 16 bits
+            bits = np.unpackbits(own[k : k + 60_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.uint16)
+        found.append(int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0]))
+    return found
 
 
-def _fingerprints(id_col: str, text_col: str, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(id_col: str, text_col: str, width: int, tables: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, text_col):
         data, at = text_bytes(batch.column(text_col))
         data = _LOWER[data].tobytes()
-        made = [fingerprint(data[a:b], width) for a, b in itertools.pairwise(at.tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(made, pa.int64())], names=["doc", "fp"])
+        made = [fingerprint(data[a:b], width, tables) for a, b in itertools.pairwise(at.tolist())]
+        columns = [pa.array([f[k] for f in made], pa.int64()) for k in range(tables)]
+        yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), *columns], names=["doc", *_names(tables)])
+
 
+def _names(tables: int) -> list[str]:
+    return ["fp", *(f"fp_{k}" for k in range(1, tables))]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc, fp) for each row: A-Z lower-cased, words between ASCII white space, shingles of `width` words, repeats
-    included; fewer words are one shingle; no words, or null, fingerprint zero."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tables: int = 1) -> DataFrame:
+    """(doc, fp, fp_1, ...) for each row: A-Z lower-cased, words between ASCII white space, shingles of `width` words,
+    repeats included; fewer words are one shingle; no words, or null, fingerprint zero. fp is of XXH64 with seed 42,
+    those of further tables are of other hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return rows.mapInArrow(lambda batches: _fingerprints(id_col, text_col, width, batches), "doc long, fp long")
+    kinds = ", ".join(f"{c} long" for c in ["doc", *_names(tables)])
+    return rows.mapInArrow(lambda batches: _fingerprints(id_col, text_col, width, tables, batches), kinds)
 
 
 @functools.cache
@@ -129,31 +147,42 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(lambda rows: _linked(bits, radius, rows), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def _all_links(prints: DataFrame, nodes: DataFrame, tables: int, radius: int) -> DataFrame:
+    """Links (u, v) between values of fp: those of fp itself, and for each further table those of its fingerprints, each
+    standing for the least fp that came with it."""
+    links = fingerprint_links(nodes.select("fp"), radius)
+    for other in _names(tables)[1:]:
+        pairs = saved(prints.groupBy("fp", F.col(other).alias("g")).agg(F.count("*").alias("n")))
+        stands = saved(pairs.groupBy("g").agg(F.min("fp").alias("rep"), F.count("*").alias("n")))
+        own = skew_join(pairs.select("fp", "g"), stands, "g", "n").select(F.col("fp").alias("u"), F.col("rep").alias("v")).where("u <> v")
+        near = fingerprint_links(stands.select(F.col("g").alias("fp")), radius)
+        near = near.join(stands.select(F.col("g").alias("u"), F.col("rep").alias("a")), "u").join(stands.select(F.col("g").alias("v"), F.col("rep").alias("b")), "v")
+        links = saved(links).unionByName(own).unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tables: int = 1) -> DataFrame:
     """(doc, fp, component) for each row: component is the smallest id reachable over links of `radius` bits or fewer.
 
+    With more than one table, a link in any of them counts; so more of the pairs that are near the radius are found.
     Equal fingerprints are one node, whatever their number; rows that repeat an id each get a row. A null id gets a
     fingerprint and links like any other, but is never a component's name unless the component has no other id.
     Texts without words all have fingerprint zero and are linked like any other. An empty table gives no rows.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, width))
+    prints = saved(fingerprints(docs, id_col, text_col, width, tables))
     nodes = saved(prints.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    roots = saved(components(saved(fingerprint_links(nodes.select("fp"), radius))))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.where(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("first").alias("below"))
-    named = named.join(names, "root", "left")
-    # a component's rows under one root: the root's own first document or the least below it
-    least = saved(named.where(F.col("root") == F.col("fp")).select("root", F.least("first", "below").alias("component")))
-    table = named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component")
-    return skew_join(prints, saved(table), "fp", "n").select("doc", "fp", "component")
+    roots = saved(components(saved(_all_links(prints, nodes, tables, radius))))
+    named = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
+    table = saved(skew_join(named, least, "root", "nodes").select("fp", "n", "component"))
+    return skew_join(prints.select("doc", "fp"), table, "fp", "n").select("doc", "fp", "component")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, tables: int = 1) -> DataFrame:
     """docs with one document left of each component, that with the smallest id; rows that repeat an id are one document.
 
-    Rows with a null id stay. Fingerprints vote over shingles, so shared ones weigh as in a cosine: 4 bits of 64 are a
-    cosine of about 0.98 at the median.
+    Rows with a null id stay. A link of 4 bits in 64 stands for a cosine of shingle counts of about 0.98.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius)
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius, tables)
     keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("_keep")).distinct()
     return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi"))

@@ -1,10 +1,35 @@
-"""Named queries on the test tables and the SQL that gives the same rows."""
+"""Named queries: the operators bound to the test tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function by its name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(column: str = "ts") -> Column:
+    """Microseconds since 1970 of a timestamp without zone, as the session's zone has it."""
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+from tempora.plans import descriptive, matching, relational, review, temporal  # noqa: E402, F401
