@@ -133,10 +133,10 @@ def repeated_flag(rows: DataFrame, keys: Sequence[str], name: str = "repeated")
     return rows.withColumn(name, F.count("*").over(Window.partitionBy(*keys)) > 1)
 
 
-def segments(rows: DataFrame, start: str, end: str, count: str, buffer: float) -> DataFrame:
+def segments(rows: DataFrame, start: str, end: str, count: str, buffer: float, digits: int = 4) -> DataFrame:
     """start..end cut into `count` equal parts, each widened by `buffer` times its length but held inside."""
     length = (F.col(end) - F.col(start)) / F.col(count)
     out = rows.where(F.col(count) > 0).withColumn("segment", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
     from_ = F.greatest(F.col(start), F.col(start) + (F.col("segment") - 1) * length - buffer * length)
     to = F.least(F.col(end), F.col(start) + F.col("segment") * length + buffer * length)
-    return out.withColumn("segment_start", F.round(from_, 4)).withColumn("segment_end", F.round(to, 4))
+    return out.withColumn("segment_start", F.round(from_, digits)).withColumn("segment_end", F.round(to, digits))

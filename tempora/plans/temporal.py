@@ -170,10 +170,10 @@ def duplicate_assignment_flag(spark, sf_dir):
 
 @query("""
 WITH o AS (SELECT o_orderkey, 0.0 AS s, o_totalprice AS e, 1 + o_custkey % 5 AS k FROM orders), x AS (SELECT *, unnest(range(1, k + 1)) AS segment, (e - s) / k AS len FROM o)
-SELECT o_orderkey, CAST(segment AS INT) AS segment, round(greatest(s, s + (segment - 1) * len - 0.1 * len), 4) AS segment_start, round(least(e, s + segment * len + 0.1 * len), 4) AS segment_end FROM x""")
+SELECT o_orderkey, CAST(segment AS INT) AS segment, round(greatest(s, s + (segment - 1) * len - 0.1 * len), 6) AS segment_start, round(least(e, s + segment * len + 0.1 * len), 6) AS segment_end FROM x""")
 def sequence_segments(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.0).alias("s"), F.col("o_totalprice").alias("e"), (1 + F.col("o_custkey") % 5).alias("k"))
-    return S.segments(rows, "s", "e", "k", 0.1).select("o_orderkey", "segment", "segment_start", "segment_end")
+    return S.segments(rows, "s", "e", "k", 0.1, 6).select("o_orderkey", "segment", "segment_start", "segment_end")
 
 
 @query("""
