@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings that speak for toxicity, found in labelled rows, and a few patterns of writing.
-A generative model of a hidden label estimates how often each voter fires for either label and how voters depend on
-each other; dependent voters share their weight. A linear classifier is trained on the posterior labels it gives.
+Voters are words and word beginnings that speak for toxicity, found in labelled rows, a few patterns of writing, and
+each of these where it is dense or comes again. A generative model of a hidden label estimates how often each voter,
+the given label among them, fires for either label and how voters depend on each other; dependent voters share their
+weight. A linear classifier of all voters but the label is trained on the posterior labels that the model gives.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tempora.llm._common import slices, text_bytes, words_of
 #: Labelled rows of each label that are learned from, and terms that are kept, at the most.
 SAMPLE, TERMS = 6000, 300
 _SHORTEST, _LONGEST = 3, 7
+#: A term is dense if it makes up one word in so many, or more.
+DENSE = 150
 _EDGES = ".,;:!?\"'`()[]{}<>|#$%&*+-_=/\\~^@«»“”„…¡¿"
 
 
@@ -46,29 +49,45 @@ def pattern_terms(word: str) -> list[str]:
     return found
 
 
-def _documents(texts: pa.Array, known: dict[str, int] | None) -> Iterator[set]:
-    """The terms of each text: their numbers where `known` gives them, else the terms."""
+def _voters(said: dict, n_words: int) -> Iterator[tuple]:
+    """Each term that is said, once for what it is, once more if it is dense, and again if it is dense and repeated."""
+    for term, times in said.items():
+        yield term, 0
+        if times * DENSE >= n_words:
+            yield term, 1
+            if times > 1:
+                yield term, 2
+
+
+def _documents(texts: pa.Array, known: dict[str, list[int]] | None) -> Iterator[tuple[dict, int]]:
+    """For each text how often it says each term, and its words. `known` has the terms that count; None counts all."""
     flat, at = words_of(*text_bytes(texts))
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy(zero_copy_only=False)
-    if known is None:
-        every = [[*word_terms(w), *pattern_terms(w)] for w in words]
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield {t for w in set(index[a:b].tolist()) for t in every[w]}
-        return
-    every = [[known[t] for t in [*word_terms(w), *pattern_terms(w)] if t in known] for w in words]
+    every = [[t for t in (*word_terms(w), *pattern_terms(w)) if known is None or t in known] for w in words]
     telling = np.array([bool(x) for x in every], bool)
     hits = np.flatnonzero(telling[index]) if len(index) else np.zeros(0, np.int64)
-    bounds = np.searchsorted(hits, at)
-    said = index[hits].tolist()
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield {t for w in set(said[a:b]) for t in every[w]}
+    bounds, said = np.searchsorted(hits, at), index[hits]
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        found: dict[str, int] = {}
+        if b > a:
+            for w, times in zip(*(x.tolist() for x in np.unique(said[a:b], return_counts=True)), strict=True):
+                for t in every[w]:
+                    found[t] = found.get(t, 0) + times
+        yield found, int(at[k + 1] - at[k])
+
+
+def _fired(texts: pa.Array, known: dict[str, list[int]]) -> Iterator[list[int]]:
+    """The numbers of the voters that fire in each text; known has those of a term's three voters, -1 where there is none."""
+    for found, n in _documents(texts, known):
+        yield sorted(v for term, kind in _voters(found, n) if (v := known[term][kind]) >= 0)
 
 
 @dataclass
 class LabelModel:
-    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts."""
+    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts.
+    The last voter is the given label, whose whole evidence counts: its accuracy is estimated like any other's."""
 
     prior: float
     fires: np.ndarray
@@ -88,11 +107,11 @@ class LabelModel:
             weight = np.array([(1 - y).sum(), y.sum()])
             fires = np.clip((np.stack([(1 - y) @ votes, y @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
             # what voters have in common beyond the label: the correlation of what the rates leave unexplained
-            rest = votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1]))
+            rest = (votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1])))[:, :-1]
             covariance = rest.T @ rest / n
             scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
             correlation = np.abs(covariance / np.outer(scale, scale))
-            share = 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1)
+            share[:-1] = 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1)
             model = cls(float(np.clip(y.mean(), 0.01, 0.99)), fires, share)
             y = model.posterior(votes)
         return model
@@ -102,12 +121,12 @@ class LabelModel:
 class Classifier:
     """A linear classifier of terms."""
 
-    terms: dict[str, int]
+    terms: dict[str, list[int]]
     weights: np.ndarray
     bias: float
 
-    def score(self, found: set[int]) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + float(self.weights[list(found)].sum() if found else 0.0)))))
+    def score(self, fired: list[int]) -> float:
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + float(self.weights[fired].sum() if fired else 0.0)))))
 
 
 def _logistic(votes: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -126,15 +145,29 @@ def _logistic(votes: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many documents of either label hold each term, as far as this task sees."""
+    """How many documents of either label each voter fires in, as far as this task sees."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in slices(batches, "text"):
-        for label, found in zip(batch.column("label").to_pylist(), _documents(batch.column("text"), None), strict=True):
-            counts[label].update(found)
-    every = [t for t in counts[0].keys() | counts[1].keys() if len(t) < 200]
+        for label, (found, n) in zip(batch.column("label").to_pylist(), _documents(batch.column("text"), None), strict=True):
+            counts[label].update(_voters(found, n))
+    every = [t for t in counts[0].keys() | counts[1].keys() if len(t[0]) < 200]
     for k in range(0, len(every), 100_000):
         part = every[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[0][t] for t in part], pa.int64()), pa.array([counts[1][t] for t in part], pa.int64())], names=["term", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in part]), pa.array([k for _, k in part], pa.int32()), pa.array([counts[0][t] for t in part], pa.int64()), pa.array([counts[1][t] for t in part], pa.int64())],
+            names=["term", "kind", "clean", "toxic"],
+        )
+
+
+def _distinct(best: list, most: int) -> list:
+    """Of voters that fire in as many documents and whose words begin alike, the first; `most` at the most."""
+    kept, seen = [], {}
+    for r in best:
+        word, like = r.term.rstrip("*"), seen.setdefault((r.kind, r.clean, r.toxic), [])
+        if not any(word.startswith(x) or x.startswith(word) for x in like):
+            like.append(word)
+            kept.append(r)
+    return kept[:most]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Classifier:
@@ -153,20 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
         prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
         return Classifier({}, np.zeros(0), math.log(prior / (1 - prior)))
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
-    counts = texts.mapInArrow(_counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = texts.mapInArrow(_counted, "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # terms that hold for toxic rows and seldom for others, the most telling first
     rate1, rate0 = (F.col("toxic") + 0.1) / (n[1] + 0.2), (F.col("clean") + 0.1) / (n[0] + 0.2)
     telling = F.col("toxic") * F.log(rate1 / rate0) - (F.col("toxic") + F.col("clean")) * 0.01
-    best = counts.where((F.col("toxic") >= max(3, n[1] // 500)) & (rate1 > 8 * rate0)).orderBy(F.desc(telling), "term").limit(terms).collect()
+    best = counts.where((F.col("toxic") >= max(3, n[1] // 500)) & (rate1 > 8 * rate0)).orderBy(F.desc(telling), F.desc(F.length("term")), "term", "kind").limit(20 * terms).collect()
     if not best:
         return Classifier({}, np.zeros(0), math.log(prior / (1 - prior)))
-    number = {r.term: k for k, r in enumerate(best)}
+    best = _distinct(best, terms)
+    number: dict[str, list[int]] = {}
+    for k, r in enumerate(best):
+        number.setdefault(r.term, [-1, -1, -1])[r.kind] = k
     shared = spark.sparkContext.broadcast(number)
 
     def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sorted(x) for x in _documents(batch.column("text"), shared.value)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
+            found = pa.array(list(_fired(batch.column("text"), shared.value)), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), found], names=["label", "found"])
 
     rows = texts.mapInArrow(fired, "label int, found array<int>").groupBy("label", "found").count().orderBy("label", "found").collect()
     votes, weight = np.zeros((len(rows), len(best))), np.array([r["count"] for r in rows])
@@ -174,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
         votes[k, r.found] = 1
     votes = np.repeat(votes, np.minimum(weight, 2 * sample), axis=0)
     guess = np.repeat(np.array([r.label for r in rows]), np.minimum(weight, 2 * sample))
-    posterior = LabelModel.fit(votes, np.where(guess > 0, 0.9, 0.1)).posterior(votes)
+    with_label = np.hstack([votes, guess[:, None]])
+    posterior = LabelModel.fit(with_label, np.where(guess > 0, 0.9, 0.1)).posterior(with_label)
     return Classifier(number, *_logistic(votes, posterior))
 
 
@@ -193,7 +230,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = shared.value
         for batch in slices(batches, "text", 16 << 20):
-            made = [classifier.score(found) for found in _documents(batch.column("text"), classifier.terms)]
+            made = [classifier.score(fired) for fired in _fired(batch.column("text"), classifier.terms)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != column], pa.array(made, pa.float64())], schema=schema)
 
     return docs.mapInArrow(score, fields)
