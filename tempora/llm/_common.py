@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the text operators split and strip at.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -42,7 +43,8 @@ def lowered(text: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about `most` bytes of text, one row at least."""
+    """The batches in parts of about `most` bytes of text, one row at least. At the end, memory that Arrow holds in
+    reserve is given back, since workers outlive their tasks."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,6 +55,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow() with batches that end at SLICE_BYTES, where the session says nothing else: by default a batch is
+    10,000 rows, and so as large as their texts."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(SLICE_BYTES))
+    return df.mapInArrow(work, schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

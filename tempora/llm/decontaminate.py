@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm._common import slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 #: Bytes of test text that are broadcast at once; a larger benchmark goes through in several passes.
 BENCH_BYTES = 16 << 20
@@ -185,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(fields)
-        out = out.mapInArrow(lambda batches, tests=tests, schema=schema: _scan(tests.value, text_col, schema, batches), fields)
+        out = in_arrow(out, lambda batches, tests=tests, schema=schema: _scan(tests.value, text_col, schema, batches), fields)
     return out
 
 

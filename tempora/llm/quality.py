@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 #: Labelled rows that vote, at the most; singular directions; neighbours asked.
 VOTERS, RANK, NEIGHBOURS = 4000, 48, 25
 _HASHED, _CLASSES, _BINS = 256, 16, 8
+#: Bytes of text whose terms are counted at once: each byte takes some thirty bytes of working memory.
+TEXT_BYTES = 1 << 20
 TERMS = _HASHED + _CLASSES * _CLASSES + 4 * _BINS
 #: The class of each byte: space, other white space, a-z, A-Z, digits, beyond ASCII, then kinds of punctuation, and the rest.
 _KIND = np.full(256, 15, dtype=np.uint8)
@@ -109,7 +111,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT_BYTES):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in terms(batch.column("text"))], pa.binary())], names=["doc_id", "label", "terms"])
 
 
@@ -124,7 +126,7 @@ def fit_voters(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(voters)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(_rows, f"doc_id {kind}, label int, terms binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = in_arrow(texts, _rows, f"doc_id {kind}, label int, terms binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return Voters.fit(np.frombuffer(b"".join(r.terms for r in rows), np.float32).reshape(-1, TERMS), np.array([r.label for r in rows]))
 
 
@@ -143,11 +145,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     schema = to_arrow_schema(fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             made = shared.value.scores(terms(batch.column("text")), neighbours)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != column], pa.array(made, pa.float64())], schema=schema)
 
-    return docs.mapInArrow(score, fields)
+    return in_arrow(docs, score, fields)
 
 
 def held_out(parts: int, part: int, id_col: str = "doc_id") -> Column:

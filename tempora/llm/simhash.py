@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import saved, skew_join, slices, text_bytes
+from tempora.llm._common import in_arrow, saved, skew_join, slices, text_bytes
 from tempora.llm.components import components
 
 SEED = 42
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     those of further tables are of other hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     kinds = ", ".join(f"{c} long" for c in ["doc", *_names(tables)])
-    return rows.mapInArrow(lambda batches: _fingerprints(id_col, text_col, width, tables, batches), kinds)
+    return in_arrow(rows, lambda batches: _fingerprints(id_col, text_col, width, tables, batches), kinds)
 
 
 @functools.cache

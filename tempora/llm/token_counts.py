@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 
 class PieceCounter:
@@ -123,4 +123,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _counts(id_col, text_col, vocabulary_path, batches), f"`{id_col}` {kind}, n_words long, n_tokens long")
+    return in_arrow(rows, lambda batches: _counts(id_col, text_col, vocabulary_path, batches), f"`{id_col}` {kind}, n_words long, n_tokens long")

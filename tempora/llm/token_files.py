@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm._common import slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 WIDTHS = (10, 6)
 SEGMENT_TOKENS = 1_000_000
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 4 << 20
 #: Words that each Python worker remembers the ids of.
 REMEMBERED = 600_000
 _RANK_BLOCK = 512
@@ -258,7 +258,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(n, id_col).sortWithinPartitions(id_col, text_col)
-    rows.mapInArrow(lambda batches: _segments(id_col, text_col, tokenizer, end_id, tuple(widths), segment_tokens, batches), _SEGMENTS).write.parquet(path)
+    in_arrow(rows, lambda batches: _segments(id_col, text_col, tokenizer, end_id, tuple(widths), segment_tokens, batches), _SEGMENTS).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +284,5 @@ def read_token_index(spark: SparkSession, path: str) -> DataFrame:
         rows.append((part, before))
         before += n
     offsets = spark.createDataFrame(rows, "part int, before long")
-    found = segments.mapInArrow(_read, "part int, doc long, start long, n_tokens long, crc long")
+    found = in_arrow(segments, _read, "part int, doc long, start long, n_tokens long, crc long")
     return found.join(F.broadcast(offsets), "part").select("doc", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "crc")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm._common import slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 #: Labelled rows of each label that are learned from, and terms that are kept, at the most.
 SAMPLE, TERMS = 6000, 300
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
         prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
         return Classifier({}, np.zeros(0), math.log(prior / (1 - prior)))
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
-    counts = texts.mapInArrow(_counted, "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = in_arrow(texts, _counted, "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # terms that hold for toxic rows and seldom for others, the most telling first
     rate1, rate0 = (F.col("toxic") + 0.1) / (n[1] + 0.2), (F.col("clean") + 0.1) / (n[0] + 0.2)
     telling = F.col("toxic") * F.log(rate1 / rate0) - (F.col("toxic") + F.col("clean")) * 0.01
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
             found = pa.array(list(_fired(batch.column("text"), shared.value)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), found], names=["label", "found"])
 
-    rows = texts.mapInArrow(fired, "label int, found array<int>").groupBy("label", "found").count().orderBy("label", "found").collect()
+    rows = in_arrow(texts, fired, "label int, found array<int>").groupBy("label", "found").count().orderBy("label", "found").collect()
     votes, weight = np.zeros((len(rows), len(best))), np.array([r["count"] for r in rows])
     for k, r in enumerate(rows):
         votes[k, r.found] = 1
@@ -233,4 +233,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = N
             made = [classifier.score(fired) for fired in _fired(batch.column("text"), classifier.terms)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != column], pa.array(made, pa.float64())], schema=schema)
 
-    return docs.mapInArrow(score, fields)
+    return in_arrow(docs, score, fields)
