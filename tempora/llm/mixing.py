@@ -3,7 +3,8 @@
 All of it is DataFrame work. Documents needn't belong to one domain: a naive Bayes classifier, taught by a labelled
 table, gives each a posterior for every domain, and its tokens count for the domains by that share. Rates r are found
 by projected gradient on || sum_i n_i p_i r_i - targets ||, in the metric of M = sum_i n_i p_i p_i', in which a step of
-one is right; a step needs one aggregation to a number for each domain.
+one is right and the targets are met in a few. Where nonnegative rates can't meet them, plain projected gradient with
+momentum goes on to the nearest that they can. A step needs one aggregation to a number for each domain.
 """
 
 from __future__ import annotations
@@ -78,19 +79,28 @@ def mixing_rates(
         tokens = max((at_least * a / w for a, w in zip(now, weights, strict=True) if w), default=0.0) if at_least else now.sum()
     goal = weights * tokens
     inverse = np.linalg.pinv(metric + np.eye(len(ps)) * 1e-9 * max(1.0, np.trace(metric)))
-    rows = table.withColumn("rate", F.lit(max(1.0, at_least)))
-    reached = now * max(1.0, at_least)
-    for k in range(rounds):
-        off = reached - goal
-        step = inverse @ off
-        moved = F.greatest(F.lit(float(at_least)), F.col("rate") - sum((F.lit(float(s)) * F.col(p) for s, p in zip(step, ps, strict=True)), F.lit(0.0)))
-        before, rows = reached, rows.withColumn("rate", moved)
-        if k % 8 == 7:  # the expression starts anew
+    rows = table.withColumn("rate", F.lit(max(1.0, at_least))).withColumn("_last", F.col("rate"))
+    reached = last = now * max(1.0, at_least)
+    smooth, met, momentum = max(1e-12, float(np.linalg.eigvalsh(metric).max(initial=0.0))), True, 1.0
+    for k in range(2 * rounds):
+        # in the metric's own steps while the targets seem within reach, else in plain ones, with momentum
+        ahead = 0.0 if met else (momentum - 1) / (momentum := (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2)
+        start, off = F.col("rate") + F.lit(ahead) * (F.col("rate") - F.col("_last")), reached + ahead * (reached - last) - goal
+        step = inverse @ off if met else off / smooth
+        moved = F.greatest(F.lit(float(at_least)), start - sum((F.lit(float(s)) * F.col(p) for s, p in zip(step, ps, strict=True)), F.lit(0.0)))
+        rows = rows.select("doc_id", "n_tokens", *ps, moved.alias("rate"), F.col("rate").alias("_last"))
+        if k % 4 == 3:  # the expression starts anew
             rows = saved(rows)
-        reached = np.array([x or 0.0 for x in rows.agg(*[F.sum(n * F.col(p) * F.col("rate")) for p in ps]).first()])
-        if np.abs(reached - before).max(initial=0.0) <= close * max(1.0, tokens) or np.abs(reached - goal).max(initial=0.0) <= close * max(1.0, tokens):
+        last, reached = reached, np.array([x or 0.0 for x in rows.agg(*[F.sum(n * F.col(p) * F.col("rate")) for p in ps]).first()])
+        bound = close * max(1.0, tokens)
+        if np.abs(reached - goal).max(initial=0.0) <= bound:
             break
-    return rows
+        if np.abs(reached - last).max(initial=0.0) <= bound or k == rounds - 1:
+            if not met:
+                break
+            met, momentum, last = False, 1.0, reached
+            rows = saved(rows.withColumn("_last", F.col("rate")))
+    return rows.drop("_last")
 
 
 def mixed(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
