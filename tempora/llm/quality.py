@@ -103,7 +103,7 @@ class Voters:
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6).astype(np.float64) ** 2
             out[a : a + block] = (weight * self.labels[top]).sum(axis=1) / weight.sum(axis=1)
-        return np.clip(out, 0.0, 1.0)
+        return np.round(np.clip(out, 0.0, 1.0), 6)  # products in single precision differ beyond that by how rows are blocked
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -133,7 +133,8 @@ def fit_voters(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_col: str = "quality", voters: int = VOTERS, neighbours: int = NEIGHBOURS, column: str = "score") -> DataFrame:
     """docs with a column `column`: 0 to 1, higher if label 1 is likelier, from the whole text alone.
 
-    Null and empty texts have the vector of no terms and are scored like any other; repeated rows score alike; without
+    Null and empty texts have the vector of no terms and are scored like any other; repeated rows score alike, to the
+    last digit but one; without
     labelled rows all score 0.5; an empty table gives no rows; other columns pass unchanged.
     """
     found = fit_voters(docs, labels, learn, label_col, voters)
