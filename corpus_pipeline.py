@@ -14,11 +14,11 @@ from tempora.llm.decontaminate import decontaminated
 from tempora.llm.mixing import mixed, mixing_rates
 from tempora.llm.quality import held_out, quality_scores
 from tempora.llm.queries import DOMAIN_TARGETS, TOKENIZER, labelled_domains, vocabulary_path
-from tempora.llm.simhash import without_near_duplicates
+from tempora.llm.similar import without_similar
 from tempora.llm.token_files import read_token_index, write_token_file
 
-#: Scores from which a document is kept; fingerprints that each document gets in near-dedup.
-QUALITY, FINGERPRINTS = 0.7, 4
+#: Score from which a document is kept.
+QUALITY = 0.7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id. Shingles are of five words."""
-    return without_near_duplicates(docs, width=5, radius=4, tables=FINGERPRINTS)
+    """One document of each group stays, that with the smallest id. Links are pairs whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return without_similar(docs, width=5, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
