@@ -99,20 +99,21 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(evidence, -40, 40)))
 
     @classmethod
-    def fit(cls, votes: np.ndarray, guess: np.ndarray, rounds: int = 15) -> LabelModel:
-        """Expectation and maximisation from a first guess of the labels."""
-        n, m = votes.shape
+    def fit(cls, votes: np.ndarray, guess: np.ndarray, counts: np.ndarray, rounds: int = 15) -> LabelModel:
+        """Expectation and maximisation from a first guess of the labels. A row stands for counts[k] rows."""
+        n, m = counts.sum(), votes.shape[1]
         y, share = guess.astype(np.float64), np.ones(m)
         for _ in range(rounds):
-            weight = np.array([(1 - y).sum(), y.sum()])
-            fires = np.clip((np.stack([(1 - y) @ votes, y @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
+            clean, toxic = counts * (1 - y), counts * y
+            weight = np.array([clean.sum(), toxic.sum()])
+            fires = np.clip((np.stack([clean @ votes, toxic @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
             # what voters have in common beyond the label: the correlation of what the rates leave unexplained
             rest = (votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1])))[:, :-1]
-            covariance = rest.T @ rest / n
+            covariance = rest.T @ (rest * counts[:, None]) / n
             scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
             correlation = np.abs(covariance / np.outer(scale, scale))
             share[:-1] = 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1)
-            model = cls(float(np.clip(y.mean(), 0.01, 0.99)), fires, share)
+            model = cls(float(np.clip(toxic.sum() / n, 0.01, 0.99)), fires, share)
             y = model.posterior(votes)
         return model
 
@@ -129,15 +130,15 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + float(self.weights[fired].sum() if fired else 0.0)))))
 
 
-def _logistic(votes: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Newton's method for soft labels."""
+def _logistic(votes: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Newton's method for soft labels. A row stands for counts[k] rows."""
     x = np.hstack([votes, np.ones((len(votes), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (counts * (p - y)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -174,13 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
     """From at most `sample` labelled rows of either label where `learn` (a condition on doc_id) holds, drawn by the hash of their ids.
 
     Null labels and ids teach nothing; a row that is labelled twice counts by its larger label. Where a label is
-    missing, the classifier is the prior alone.
+    missing, the classifier is the prior alone. Drawn rows of a label stand for all of its rows, so that scores mean
+    the same whether the sample holds either label whole or not.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     known = (known.where(learn) if learn is not None else known).groupBy("doc_id").agg((F.max(label_col) > 0).cast("int").alias("label"))
     drawn = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    prior = known.agg(F.avg("label")).first()[0]
+    total = dict(known.groupBy("label").count().collect())
+    prior = total.get(1, 0) / sum(total.values()) if total else None
     n = dict(drawn.groupBy("label").count().collect())
     if len(n) < 2:
         prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
@@ -210,9 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
         votes[k, r.found] = 1
     votes = np.repeat(votes, np.minimum(weight, 2 * sample), axis=0)
     guess = np.repeat(np.array([r.label for r in rows]), np.minimum(weight, 2 * sample))
+    # one on average, so that smoothing and ridge weigh the same however large the table is
+    stands = np.where(guess > 0, total[1] / n[1], total[0] / n[0]) * sum(n.values()) / sum(total.values())
     with_label = np.hstack([votes, guess[:, None]])
-    posterior = LabelModel.fit(with_label, np.where(guess > 0, 0.9, 0.1)).posterior(with_label)
-    return Classifier(number, *_logistic(votes, posterior))
+    posterior = LabelModel.fit(with_label, np.where(guess > 0, 0.9, 0.1), stands).posterior(with_label)
+    return Classifier(number, *_logistic(votes, posterior, stands))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS, column: str = "score") -> DataFrame:

@@ -45,6 +45,18 @@ def test_scores_of_odd_rows(spark, with_nulls, scores):
     assert scores(with_nulls.limit(0), labels).collect() == []
 
 
+def test_toxicity_means_the_same_under_a_cap(spark):
+    """Weak voters, one toxic row in nine: a sample that takes as many rows of either label predicts as many toxic rows as all do."""
+    rng = np.random.default_rng(5)
+    toxic = rng.random(6000) < 0.11
+    text = [" ".join([f"f{x}" for x in rng.integers(0, 40, 30)] + [v for v in ("grobian", "schuft", "lump") if rng.random() < (0.4 if y else 0.03)]) for y in toxic]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, y in enumerate(toxic)], "doc_id long, toxic int")
+    whole, capped = ([r.score for r in toxicity_scores(docs, labels, sample=most).collect()] for most in (6000, 400))
+    assert np.mean(capped) == pytest.approx(np.mean(whole), abs=0.03)
+    assert np.mean(np.array(capped) >= 0.5) == pytest.approx(np.mean(np.array(whole) >= 0.5), abs=0.03)
+
+
 # ---- mixing
 
 
