@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page in page order. A line's weight is the length of its text
-outside links; what stands in elements that never hold the article weighs nothing. The sums of the weights over
-`window` neighbouring lines rise where text surges and fall where it dives; the text between a surge and its dive is kept.
+outside links with a target; what stands in elements that never hold the article is marked and weighs nothing. The sums
+of the weights over `window` neighbouring lines rise where text surges and fall where it dives; of the lines between a
+surge and its dive all but the marked ones are kept, whatever the elements and names around them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tempora.llm._common import in_arrow, slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TARGET = re.compile(r"(?:^|\s)href\s*=", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements whose content is no text, elements and names that never hold the article, and elements that begin a line.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button", "xmp"}
@@ -35,6 +37,11 @@ _ASIDE_NAME = re.compile(
     r"|comment|comments|discussion|disqus|reply|replies|respond|share|sharing|social|related|recommended|pagination|pager|tags|complementary|contentinfo|search)(?=$|[\s_-])",
     re.I,
 )
+#: Names that say what a wrapper has beside it, not what it is; and those of headers, which in an article hold its title.
+_WITH = re.compile(r"(?:^|(?<=\s))(?:with|has|no)[-_]\S*", re.I)
+_HEADER = re.compile(r"(?:(?<=^)|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
+#: Weights that a window takes in where text surges and where it dives, and the share of the heaviest window that is enough on light pages.
+SURGE, DIVE, SHARE = 100, 40, 0.5
 
 
 class _Open:
@@ -44,28 +51,30 @@ class _Open:
         self.name, self.aside = name, aside
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's lines: text with white space turned to single spaces, and its weight."""
-    lines: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """The page's lines: text with white space turned to single spaces, its weight, and whether it is marked as aside or hidden."""
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = aside = links = 0
+    linked: list[str] = []
+    aside = 0
     open_: list[_Open] = []
+    link: int | None = None  # how many elements were open where the open link began
 
     def close_line() -> None:
-        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, 0 if aside else max(0, len(text) - linked)))
+                links = " ".join(html.unescape("".join(linked)).split())
+                lines.append((text, 0 if aside else max(0, len(text) - len(links)), aside > 0))
             parts.clear()
-        linked = 0
+        linked.clear()
 
     at = 0
     while token := _TOKEN.search(page, at):
         if token.start() > at:
             parts.append(page[at : token.start()])
-            if links:
-                linked += token.start() - at
+            if link is not None:
+                linked.append(parts[-1])
         at = token.end()
         name = (token[1] or "").lower()
         if not name:
@@ -78,7 +87,11 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 at = len(page)
             continue
         if name == "a":
-            links = 0 if closing else 1
+            if closing:
+                link = None
+            elif _TARGET.search(token[2]):
+                link = len(open_)
+            linked.append(" ")
         if name not in _BLOCK:
             continue
         close_line()
@@ -89,11 +102,16 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             if at_open is not None:
                 aside -= sum(o.aside for o in open_[at_open:])
                 del open_[at_open:]
+                if link is not None and link > len(open_):
+                    link = None
             continue
         if name == "p" and open_ and open_[-1].name == "p":
             aside -= open_.pop().aside
+            if link is not None and link > len(open_):
+                link = None
         outside = not any(o.name in ("article", "main") for o in open_)
         named = " ".join(filter(None, (x for m in _NAMES.finditer(token[2]) for x in m.groups()))) if token[2] else ""
+        named = _WITH.sub("", named) if outside else _HEADER.sub("", _WITH.sub("", named))
         off = bool(name in _ASIDE and (name not in ("header", "figure") or outside) or named and name not in ("body", "html", "article", "main") and _ASIDE_NAME.search(named) or token[2] and _HIDDEN.search(token[2]))
         open_.append(_Open(name, off))
         aside += off
@@ -104,28 +122,30 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 1) -> str:
+def main_text(page: str | None, window: int = 3, surge: int = SURGE, dive: int = DIVE) -> str:
     """The kept lines, joined by one space.
 
-    Sums over `window` lines centred on each line tell where the text surges over `surge` and where it dives to it; each
-    such stretch is trimmed to the lines that weigh something. A line of links between two lines of text stays.
+    Sums over `window` lines centred on each line tell where the text surges to `surge` or more; such a stretch reaches as
+    far either way as sums are `dive` or more, and is trimmed to the lines that weigh something. All of its lines but the
+    marked ones are kept, so a line of links between two lines of text stays. Where no window weighs surge / SHARE, both
+    thresholds shrink with the heaviest one, so that short pages have text too.
     """
     lines = lines_of(page or "")
-    weight = [w for _, w in lines]
+    weight = [w for _, w, _ in lines]
     half = window // 2
     sums = [sum(weight[max(0, k - half) : k + half + 1]) for k in range(len(weight))]
+    heaviest = max(sums, default=0)
+    scale = min(1.0, SHARE * heaviest / surge)
     kept: list[str] = []
     k = 0
     while k < len(lines):
-        if sums[k] < surge:
-            k += 1
-            continue
         end = k
-        while end < len(lines) and sums[end] >= surge:
+        while end < len(lines) and sums[end] > 0 and sums[end] >= dive * scale:
             end += 1
-        block = [j for j in range(k, end) if weight[j] > 0]
-        kept += [lines[j][0] for j in block]
-        k = end
+        if end > k and max(sums[k:end]) >= surge * scale:
+            heavy = [j for j in range(k, end) if weight[j] > 0]
+            kept += [lines[j][0] for j in range(heavy[0], heavy[-1] + 1) if not lines[j][2]] if heavy else []
+        k = end + 1
     return " ".join(kept)
 
 

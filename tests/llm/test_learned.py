@@ -7,7 +7,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from tempora.llm import queries as Q
-from tempora.llm.html_text import main_text, page_texts
+from tempora.llm.html_text import lines_of, main_text, page_texts
 from tempora.llm.mixing import mixed, mixing_rates, posteriors
 from tempora.llm.quality import held_out, quality_scores
 from tempora.llm.toxicity import toxicity_scores
@@ -117,6 +117,33 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+PLAIN = "".join(f"<div class='x1'>{t}</div>" for t in ("Start", "Our offers", "Contact us", "Imprint", "Log in"))
+TEXT = f"<p>{LONG}</p><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(("page", "text", "gone"), [
+    (f"{PLAIN}<div>{TEXT}</div>{PLAIN}", f"{LONG} {LONG}", ["Our offers", "Contact us", "Imprint"]),  # boilerplate without a telling name; the lines next to the text share its windows
+    (f"<article><h1 class='entry-header'>Title</h1>{TEXT}</article>", f"Title {LONG} {LONG}", []),
+    (f"<div class='content with-sidebar'>{TEXT}</div><div class='sidebar'><p>{LONG}!</p></div>", f"{LONG} {LONG}", ["!"]),
+])
+def test_lines_fall_by_their_weight(page, text, gone):
+    got = main_text(page)
+    assert text in got and not any(x in got for x in gone)
+
+
+@pytest.mark.parametrize("between", ["<h2><a href='/x'>A linked heading</a></h2>", "<ul><li><a href='/x'>One item</a></li></ul>", "<p>By <a href='/x'>J&oacute;s&eacute;   Mart&iacute;nez</a></p>", "<h2><a name='x'>Here</h2>"])
+def test_links_inside_the_text(between):
+    said = {"h2": "A linked heading", "ul": "One item", "p>": "By Jósé Martínez"}[between[1:3]] if "name" not in between else "Here"
+    assert main_text(f"<div>{TEXT}{between}{TEXT}</div>") == f"{LONG} {LONG} {said} {LONG} {LONG}"
+
+
+def test_link_weights():
+    weigh = lambda page: [w for _, w, _ in lines_of(page)]
+    assert weigh("<p>By <a href='/x'>J&oacute;s&eacute;   Mart&iacute;nez</a></p>") == [len("By ")]
+    assert weigh(f"<p><a name=top>{LONG}</p><p>{LONG}</p>") == [len(LONG)] * 2
+    assert weigh(f"<div><p><a href='/x'>open</p><p>{LONG}</p></div>") == [0, len(LONG)]
+
+
 def test_pages_query(spark):
     rows = Q.op10_html_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
