@@ -13,8 +13,12 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _linked_to_least(arcs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and of all that u is linked to, as m."""
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """Each (u, v) with the least of u and of all that u is linked to, as m.
+
+    The least are a table of their own, so that the join's stage holds no aggregate: adaptive execution then splits a
+    hub's arcs over several tasks.
+    """
+    least = saved(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return arcs.join(least, "u")
 
 

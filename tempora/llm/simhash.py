@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,16 +131,24 @@ def _linked(prefix_bits: int, radius: int, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefix_bits(fps: DataFrame, radius: int) -> int:
-    """The shortest prefix under which no bucket's own fingerprints write out more than BUCKET_VARIANTS."""
-    for bits in range(8, 41, 4):
+    """A prefix under which no bucket's own fingerprints write out more than BUCKET_VARIANTS; that of 60 bits does for any table."""
+    bits = 8
+    while bits < 60:
         fullest = fps.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("p")).count().agg(F.max("count")).first()[0] or 0
-        if fullest * len(_flips(64 - bits, radius // 2)) <= BUCKET_VARIANTS:
+        over = fullest * len(_flips(64 - bits, radius // 2)) / BUCKET_VARIANTS
+        if over <= 1:
             break
+        bits = min(60, bits + max(2, math.ceil(math.log2(over))))
     return bits
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (u, v) that join all fingerprints `fp` (each once) which differ in `radius` bits or fewer, directly or by steps."""
+    """Links (u, v) that join all fingerprints `fp` (each once) which differ in `radius` bits or fewer, directly or by steps.
+
+    The radius is even: all that share a variant within half of it are then links. Others raise ValueError.
+    """
+    if radius < 0 or radius % 2:
+        raise ValueError(f"a radius of {radius} has no half")
     bits = _prefix_bits(fps, radius)
     masks = _flips(bits, radius // 2)
     flips = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(m.bit_count()).alias("used")) for m in masks])

@@ -2,11 +2,14 @@
 
 Each bit of a SimHash of sets with similarity J differs with a chance of acos(2J / (1 + J)) / pi. TABLES fingerprints
 of 32 bits, met in the middle of Hamming balls of radius 2, so bring together 96 % of all pairs at J = 0.8, and more
-above (`recall`). As in `simhash`, a fingerprint goes to each bucket that one of its variants begins with. Documents
-that share a variant are compared by 64 further bits, then by the shingle sets themselves; only what passes is a link.
-
-In a bucket each is paired with the least of those that share its variant, not with all. Where that could lose a
-link, which takes three or more that are alike, a second round pairs all that the first one left in different components.
+above (`recall`). As in `simhash`, a fingerprint goes to each bucket that one of its variants begins with. Pairs that
+share a variant are compared by 64 further bits in the bucket, then by all bits of all tables, then by the shingle sets
+themselves; only what passes is a link.
+
+In a bucket each is paired with the least of those that share its variant, not with all. Of its pairs a document's
+nearest is verified first; the others matter only where they still join different components. Where pairing with the
+least could lose a link, which takes three or more that are alike, a second round pairs all that are left in different
+components.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ WORDS, BITS, RADIUS = 13, 32, 2
 TABLES = 2 * WORDS
 #: Of 64 further bits so many may differ. At J = 0.8 one pair in 30,000 differs in more; of unrelated pairs 99 % do.
 FURTHER = 22
+#: Of all bits of two signatures so many may differ. At J = 0.8 one pair in 2,000 differs in more; at J = 0.65 nine of ten do.
+CLOSE = 160
 #: Variants that a bucket may write out, if fingerprints are even.
-BUCKET_VARIANTS = 4_000_000
+BUCKET_VARIANTS = 2_000_000
 _SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
@@ -86,24 +91,40 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), node, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)], names=["doc", "text", "node", *_SIGNATURE])
 
 
+#: What a bucket gets of a node, packed.
+_ROW = np.dtype([("fp", "<u4"), ("further", "<u8"), ("node", "<i8"), ("root", "<i8")])
+
+
 def _dealt(prefix_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table's fingerprint and each bucket that one of its variants begins with."""
-    flips = np.array([0, *(1 << b for b in range(prefix_bits))], np.int64)
+    """(bucket, rows): each table's fingerprints go to every bucket that one of their variants begins with, packed by batch."""
+    flips = np.array([0, *(1 << b for b in range(prefix_bits))], np.uint32)
     for batch in batches:
         words = [batch.column(c).to_numpy().view(np.uint64) for c in _SIGNATURE]
-        node, root = batch.column("node"), batch.column("root")
+        rows = np.empty(batch.num_rows, _ROW)
+        rows["node"], rows["root"] = batch.column("node").to_numpy(), batch.column("root").to_numpy()
         for table in range(TABLES):
-            fp = (words[table // 2] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            check = words[(table // 2 + 1) % WORDS].view(np.int64)
-            bucket = (table << prefix_bits) + ((fp >> BITS - prefix_bits)[:, None] ^ flips)
-            owner = np.repeat(np.arange(len(fp)), len(flips))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().astype(np.int32)), pa.array(fp[owner]), pa.array(check[owner]), node.take(pa.array(owner)), root.take(pa.array(owner))], names=["bucket", "fp", "further", "node", "root"])
-
-
-def _runs(prefix_bits: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The places of rows (in ascending order of nodes) by variant, and the number of each one's run. Rows alone in their run are left out."""
-    fp, low_bits = rows["fp"].to_numpy(), BITS - prefix_bits
-    prefix = int(rows["bucket"].iat[0]) & (1 << prefix_bits) - 1
+            rows["fp"] = words[table // 2] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
+            rows["further"] = words[(table // 2 + 1) % WORDS]
+            prefix = ((rows["fp"] >> np.uint32(BITS - prefix_bits))[:, None] ^ flips).ravel()
+            order = np.argsort(prefix, kind="stable")
+            prefix, packed = prefix[order], rows[order // len(flips)]
+            cuts = np.flatnonzero(np.diff(prefix)) + 1
+            firsts = prefix[np.concatenate([[0], cuts])] if len(prefix) else prefix
+            parts = [p.tobytes() for p in np.split(packed, cuts)] if len(prefix) else []
+            buckets = (table << prefix_bits) + firsts.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "rows"])
+
+
+def _unpacked(bucket: pd.DataFrame) -> np.ndarray:
+    """The nodes of a bucket in ascending order."""
+    rows = np.frombuffer(b"".join(bucket["rows"]), _ROW)
+    return rows[np.argsort(rows["node"], kind="stable")]
+
+
+def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of rows by variant, and the number of each one's run. Rows alone in their run are left out."""
+    fp, low_bits = rows["fp"].astype(np.int64), BITS - prefix_bits
+    prefix = bucket & (1 << prefix_bits) - 1
     low = fp & (1 << low_bits) - 1
     home = np.flatnonzero(fp >> low_bits == prefix)
     masks = np.array([1 << b for b in range(low_bits)], np.int64)
@@ -116,11 +137,11 @@ def _runs(prefix_bits: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]
     return place[keep], run[keep]
 
 
-def _starred(prefix_bits: int, rows: pd.DataFrame) -> pd.DataFrame:
+def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     """Pairs (u, v) of each node with the least that shares a variant and is alike by the further bits; and (u, u) for the nodes of runs where this may lose a link."""
-    rows = rows.sort_values("node", ignore_index=True)
-    node, further = rows["node"].to_numpy(), rows["further"].to_numpy().view(np.uint64)
-    place, run = _runs(prefix_bits, rows)
+    rows = _unpacked(bucket)
+    node, further = rows["node"], rows["further"]
+    place, run = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
     all_place, all_run, unsure, found = place, run, [], []
     while len(run):
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -141,11 +162,11 @@ def _starred(prefix_bits: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[again]]), "v": np.concatenate([node[pairs[:, 1]], node[again]])})
 
 
-def _crossed(prefix_bits: int, rows: pd.DataFrame) -> pd.DataFrame:
+def _crossed(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     """All pairs (u, v), v < u, that share a variant, are alike by the further bits and have different roots."""
-    rows = rows.sort_values("node", ignore_index=True)
-    node, root, further = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["further"].to_numpy().view(np.uint64)
-    place, run = _runs(prefix_bits, rows)
+    rows = _unpacked(bucket)
+    node, root, further = rows["node"], rows["root"], rows["further"]
+    place, run = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
     found, seen = [np.zeros((0, 2), np.int64)], set()
     for members in np.split(place, np.flatnonzero(np.diff(run)) + 1):
         if len(members) < 2 or (root[members] == root[members[0]]).all() or (key := members.tobytes()) in seen:
@@ -159,23 +180,48 @@ def _crossed(prefix_bits: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
 
+def _with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs (u, v, ...) with the other columns of table (node, ...) for both ends: those of u as they are, those of v with a mark."""
+    for end, mark in (("v", "_v"), ("u", "")):
+        named = table.select(F.col("node").alias(end), *[F.col(c).alias(c + mark) for c in table.columns if c != "node"])
+        counts = pairs.groupBy(end).agg(F.count("*").alias("ends"))
+        pairs = saved(skew_join(pairs, saved(counts.join(named, end)), end, "ends"))
+    return pairs
+
+
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, d) of the pairs whose signatures differ in d bits, CLOSE at the most."""
+    both = _with_ends(pairs.select("u", "v"), nodes.select("node", *_SIGNATURE))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_v"))) for c in _SIGNATURE), F.lit(0))
+    return saved(both.select("u", "v", apart.alias("d")).where(F.col("d") <= CLOSE))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends have different roots; nodes that roots (node, root) doesn't name are their own."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    named = saved(ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return _with_ends(pairs.select("u", "v"), named).where(F.col("root") != F.col("root_v")).select("u", "v")
+
+
 def _verified(pairs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets have a similarity of `least` or more."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = ends.join(nodes.select("node", "n"), "node")
-    texts = saved(skew_join(prints.select("node", "text"), needed, "node", "n").groupBy("node").agg(F.first("text").alias("text")))
-    for end, text in (("v", "text"), ("u", "other")):
-        named = texts.select(F.col("node").alias(end), F.col("text").alias(text))
-        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        pairs = saved(skew_join(pairs, saved(counts.join(named, end)), end, "n"))
+    needed = saved(ends.join(nodes.select("node", "n"), "node"))
+    texts = skew_join(prints.select("node", "text"), needed, "node", "n").groupBy("node").agg(F.first("text").alias("text"))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = functools.lru_cache(maxsize=64)(lambda text: shingle_set(text, width))
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            good = [jaccard(sets(a), sets(b)) >= least for a, b in zip(_texts(batch.column("text")), _texts(batch.column("other")), strict=True)]
+            sets = [shingle_set(t, width).tobytes() for t in _texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set"):
+            both = zip(batch.column("set"), batch.column("set_v"), strict=True)
+            good = [jaccard(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= least for a, b in both]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return saved(in_arrow(pairs.select("u", "v", "text", "other"), compared, "u long, v long"))
+    both = _with_ends(pairs.select("u", "v"), saved(in_arrow(texts, gathered, "node long, set binary")))
+    return saved(in_arrow(both, compared, "u long, v long"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -189,23 +235,27 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = saved(in_arrow(rows, functools.partial(_signed, width), f"doc long, text string, node long, {kinds}"))
     nodes = saved(prints.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in _SIGNATURE]))
     n = nodes.count()
-    bits = min(16, max(6 if n > 20_000 else 3, math.ceil(math.log2(1 + n * (BITS + 1) / BUCKET_VARIANTS))))
+    bits = min(24, max(4 if n > 20_000 else 3, math.ceil(math.log2(1 + n * (BITS + 1) / BUCKET_VARIANTS))))
 
     def dealt(of: DataFrame) -> DataFrame:
-        return in_arrow(of.select("node", "root", *_SIGNATURE), functools.partial(_dealt, bits), "bucket int, fp long, further long, node long, root long")
+        return in_arrow(of.select("node", "root", *_SIGNATURE), functools.partial(_dealt, bits), "bucket int, rows binary")
 
     starred = dealt(nodes.withColumn("root", F.col("node"))).groupBy("bucket").applyInPandas(lambda x: _starred(bits, x), "u long, v long")
     starred = saved(starred.distinct())
     tried = starred.where("u <> v")
-    links = _verified(tried, prints, nodes, width, least)
-    again = starred.where("u = v").select(F.col("u").alias("node"))
+    close = _close(tried, nodes)
+    first = saved(close.groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v")))
+    links = _verified(first, prints, nodes, width, least)
     roots = saved(components(links))
+    rest = saved(_apart(close.join(first, ["u", "v"], "left_anti"), roots))
+    again = starred.where("u = v").select(F.col("u").alias("node"))
     if not again.isEmpty():
         open_ = nodes.join(again, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         crossed = dealt(open_).groupBy("bucket").applyInPandas(lambda x: _crossed(bits, x), "u long, v long").distinct()
         crossed = saved(crossed.join(tried, ["u", "v"], "left_anti"))
-        if not crossed.isEmpty():
-            roots = saved(components(links.unionByName(_verified(crossed, prints, nodes, width, least))))
+        rest = rest.unionByName(_close(crossed, nodes).select("u", "v"))
+    if not rest.isEmpty():
+        roots = saved(components(links.unionByName(_verified(rest, prints, nodes, width, least))))
     named = saved(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
     table = saved(skew_join(named.select("node", "n", "root"), smallest, "root", "nodes").select("node", "n", "component"))
@@ -215,5 +265,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one document left of each component, that with the smallest id; rows that repeat an id are one document. Rows with a null id stay."""
     found = similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, least)
-    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("_keep")).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi"))
+    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias(id_col)).distinct()
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*docs.columns))
