@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,17 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Python workers look at this many bytes of text at once.
 SLICE_BYTES = 8 << 20
+#: The lists of temporary() that are open in a thread.
+_AREAS = threading.local()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of spark.checkpoint.dir; where that is unset, one of this machine's."""
+    """A new folder name in the shared folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder
+    of this machine; on a cluster, whose executors would not see it, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -34,7 +41,54 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     path = scratch(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    if areas := getattr(_AREAS, "open", None):
+        areas[-1].append(table)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that saved() wrote, once nothing that is still to be computed reads them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Area(list):
+    """Tables that go when their block ends, and those that are kept for the block around it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[DataFrame] = []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self[:] = [t for t in self if t is not table]
+        self.kept.append(table)
+        return table
+
+
+@contextmanager
+def temporary() -> Iterator[Area]:
+    """What saved() writes inside is deleted at the end, but for what is kept: that is left to the block around this one, if there is one."""
+    area, around = Area(), getattr(_AREAS, "open", [])
+    _AREAS.open = [*around, area]
+    try:
+        yield area
+    finally:
+        _AREAS.open = around
+        discard(*area)
+        if around:
+            around[-1].extend(area.kept)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lowered(text: Column) -> Column:

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import saved
+from tempora.llm._common import saved, temporary
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _linked_to_least(arcs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and of all that u is linked to, as m.
+def _least(arcs: DataFrame) -> DataFrame:
+    """(u, m): the least of u and of all that u is linked to. A table of its own, so that the stage that joins it holds no
+    aggregate: adaptive execution then splits a hub's arcs over several tasks."""
+    return saved(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
 
-    The least are a table of their own, so that the join's stage holds no aggregate: adaptive execution then splits a
-    hub's arcs over several tasks.
-    """
-    least = saved(arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    return arcs.join(least, "u")
+
+def _shortened(edges: DataFrame) -> DataFrame:
+    """The edges after one large-star and one small-star step."""
+    arcs = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = saved(arcs.join(_least(arcs), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+    small = large.join(_least(large), "u")
+    pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+    return saved(pairs.where("u <> v").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,11 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while (now := _state(edges)) != before and now[0]:
-        before = now
-        arcs = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = saved(_linked_to_least(arcs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        small = _linked_to_least(large)
-        pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = saved(pairs.where("u <> v").distinct())
+        before, last = now, edges
+        with temporary() as area:
+            edges = area.keep(_shortened(last))
+            area.append(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -3,7 +3,8 @@
 Markup is stripped to lines, one for each block of the page in page order. A line's weight is the length of its text
 outside links with a target; what stands in elements that never hold the article is marked and weighs nothing. The sums
 of the weights over `window` neighbouring lines rise where text surges and fall where it dives; of the lines between a
-surge and its dive all but the marked ones are kept, whatever the elements and names around them.
+surge and its dive all but the marked ones are kept, whatever the elements and names around them. A name that only
+hints at an aside marks an element as long as less than half of the page's text stands in it.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ _BLOCK = {
     "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul",
 } | _ASIDE
+#: Names that say what an element is, if one of its names is nothing else; reader comments, in any part of a name; and names that hint.
+_SURE_NAME = re.compile(r"(?:^|(?<=\s))(?:ad|ads|advert|adverts|advertisement|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|cookies?|consent|newsletter|complementary|contentinfo)(?=\s|$)", re.I)
+_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replies|respond)(?=$|[\s_-])", re.I)
 _ASIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|menu|nav|navbar|navigation|breadcrumb|breadcrumbs"
     r"|sidebar|side|aside|widget|footer|header|masthead|topbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|comment|comments|discussion|disqus|reply|replies|respond|share|sharing|social|related|recommended|pagination|pager|tags|complementary|contentinfo|search)(?=$|[\s_-])",
+    r"|discussion|share|sharing|social|related|recommended|pagination|pager|tags|search)(?=$|[\s_-])",
     re.I,
 )
 #: Names that say what a wrapper has beside it, not what it is; and those of headers, which in an article hold its title.
@@ -45,18 +49,30 @@ SURGE, DIVE, SHARE = 100, 40, 0.5
 
 
 class _Open:
-    __slots__ = ("aside", "name")
+    __slots__ = ("aside", "hint", "name")
 
-    def __init__(self, name: str, aside: bool):
-        self.name, self.aside = name, aside
+    def __init__(self, name: str, aside: bool, hint: int | None):
+        self.name, self.aside, self.hint = name, aside, hint
+
+
+def _kind(name: str, attributes: str, outside: bool) -> tuple[bool, bool]:
+    """Whether an element is surely an aside or hidden, and whether its names hint at an aside. `outside` of article and main, headers and figures are asides."""
+    if name in _ASIDE and (outside or name not in ("header", "figure")) or attributes and _HIDDEN.search(attributes):
+        return True, False
+    if not attributes or name in ("body", "html", "article", "main"):
+        return False, False
+    named = [_WITH.sub("", x) for m in _NAMES.finditer(attributes) for x in m.groups() if x]
+    if any(_SURE_NAME.search(x) or _COMMENT_NAME.search(x) for x in named):
+        return True, False
+    return False, any(_ASIDE_NAME.search(x if outside else _HEADER.sub("", x)) for x in named)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """The page's lines: text with white space turned to single spaces, its weight, and whether it is marked as aside or hidden."""
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked: list[str] = []
-    aside = 0
+    aside = n_hints = 0
     open_: list[_Open] = []
     link: int | None = None  # how many elements were open where the open link began
 
@@ -65,7 +81,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = " ".join(html.unescape("".join(linked)).split())
-                lines.append((text, 0 if aside else max(0, len(text) - len(links)), aside > 0))
+                lines.append((text, max(0, len(text) - len(links)), aside > 0, tuple(o.hint for o in open_ if o.hint is not None)))
             parts.clear()
         linked.clear()
 
@@ -109,17 +125,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             aside -= open_.pop().aside
             if link is not None and link > len(open_):
                 link = None
-        outside = not any(o.name in ("article", "main") for o in open_)
-        named = " ".join(filter(None, (x for m in _NAMES.finditer(token[2]) for x in m.groups()))) if token[2] else ""
-        named = _WITH.sub("", named) if outside else _HEADER.sub("", _WITH.sub("", named))
-        off = bool(name in _ASIDE and (name not in ("header", "figure") or outside) or named and name not in ("body", "html", "article", "main") and _ASIDE_NAME.search(named) or token[2] and _HIDDEN.search(token[2]))
-        open_.append(_Open(name, off))
-        aside += off
+        sure, hinted = _kind(name, token[2], not any(o.name in ("article", "main") for o in open_))
+        n_hints += hinted
+        open_.append(_Open(name, sure, n_hints if hinted else None))
+        aside += sure
     if at < len(page):
         rest = page[at:]
         parts.append(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*$", rest) else rest)
     close_line()
-    return lines
+    # a hint holds for an element with less than half of the text
+    total, inside = 0, [0] * (n_hints + 1)
+    for _, weight, off, hints in lines:
+        if not off:
+            total += weight
+            for h in hints:
+                inside[h] += weight
+    marked = [off or any(2 * inside[h] < total or not total for h in hints) for _, _, off, hints in lines]
+    return [(text, 0 if off else weight, off) for (text, weight, _, _), off in zip(lines, marked, strict=True)]
 
 
 def main_text(page: str | None, window: int = 3, surge: int = SURGE, dive: int = DIVE) -> str:

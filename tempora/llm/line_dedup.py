@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm._common import ASCII_SPACE, lowered, saved, skew_join
+from tempora.llm._common import ASCII_SPACE, free_name, lowered, saved, scratch, skew_join
 
 
 def line_hash(line: Column) -> Column:
@@ -20,22 +20,35 @@ def lines_of(text: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
-    """(h, doc) once for each line of min_chars code points or more and each document that holds it. Rows without id take no part."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(lines_of(F.col(text_col))).alias("line"))
+    """(h, doc, places) once for each line of min_chars code points or more and each document that holds it. Places are
+    the numbers of its lines, from one on, that are this one, each with the hash of the text that it is in, since other
+    rows of the same id may have another. Rows without id take no part."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("of"))
+    lines = texts.select("doc", "of", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     long = lines.where(F.char_length(F.btrim("line", F.lit(ASCII_SPACE))) >= min_chars)
-    return long.select(line_hash(F.col("line")).alias("h"), "doc").distinct()
+    keys = long.select(line_hash(F.col("line")).alias("h"), "doc", F.struct("of", (F.col("at") + 1).alias("at")).alias("place"))
+    return keys.groupBy("h", "doc").agg(F.collect_set("place").alias("places"))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """lines but for those at `places`, ascending: the stretches between them, so that the work is that of one pass.
+    What the stretches are taken from is bound once, as an element of an array."""
+    cuts = F.concat(F.array(F.lit(0)), places, F.array(F.lit(2**31 - 1)))
+    bound = F.array(F.struct(lines.alias("lines"), cuts.alias("cuts")))
+    stretch = lambda b, i: F.slice(b["lines"], F.get(b["cuts"], i) + 1, F.get(b["cuts"], i + 1) - F.get(b["cuts"], i) - 1)
+    return F.get(F.transform(bound, lambda b: F.flatten(F.transform(F.sequence(F.lit(0), F.size(b["cuts"]) - 2), lambda i: stretch(b, i)))), 0)
 
 
 class LineRuns:
     """Sorted runs of (h, n, keeper): line hash, documents that hold it, the document that keeps it.
 
-    Each run is a table bucketed and sorted by hash, so that a batch meets the runs in merge joins that move the
-    batch alone. Level k holds runs of `fanout`**k batches; `fanout` runs of a level are compacted to one of the next.
+    Each run is a table in the shared folder, bucketed and sorted by hash, so that a batch meets the runs in merge joins
+    that move the batch alone. Level k holds runs of `fanout`**k batches; `fanout` runs of a level are compacted to one of the next.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.name, self.made = f"line_run_{uuid.uuid4().hex[:12]}", 0
+        self.name, self.folder, self.made = f"line_run_{uuid.uuid4().hex[:12]}", scratch(spark), 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @property
@@ -45,7 +58,7 @@ class LineRuns:
     def _write(self, run: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
-        run.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(table)
+        run.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", f"{self.folder}/{self.made}").saveAsTable(table)
         return table
 
     def add(self, batch: DataFrame) -> None:
@@ -95,10 +108,10 @@ class LineRuns:
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text: lines that min_docs documents or more hold go, but for those in the largest id.
 
-    Documents enter the runs in `batches` ranges of falling id. Null or empty text is one empty line. Rows with a null
-    id keep all lines and count for none; rows that repeat an id are one document to the counts, and each is cleaned.
-    An empty table gives an empty table. Other columns pass unchanged, even if they bear the names of new ones: the
-    new ones then stand in a struct column `lines` alone (n_lines, n_dropped, kept_text).
+    Documents enter the runs in `batches` ranges of falling id; ids are numbers. Null or empty text is one empty line.
+    Rows with a null id keep all lines and count for none; rows that repeat an id are one document to the counts, and
+    each is cleaned. An empty table gives an empty table. Other columns pass unchanged, but for one named `lines`, a struct column that holds what is new
+    (n_lines, n_dropped, kept_text).
     """
     spark = docs.sparkSession
     at = [x for x in docs.agg(F.percentile_approx(id_col, [k / batches for k in range(batches - 1, 0, -1)], 1000)).first()[0] or []]
@@ -110,11 +123,11 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for k in range(len(at) + 1):
         runs.add(pairs.where(F.col("batch") == k).select("h", "doc"))
     shared = runs.shared(min_docs)
-    goes = skew_join(pairs.select("h", "doc"), shared, "h", "n").where(F.col("doc") < F.col("keeper"))
-    goes = goes.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_goes"))
-    rows = docs.join(goes, F.col(id_col) == F.col("_doc"), "left")
-    lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_goes"), line_hash(x)))
-    found = F.when(F.col("_goes").isNull(), F.struct(F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce(F.col(text_col), F.lit("")).alias("kept_text")))
-    found = found.otherwise(F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text")))
+    doc, of, places = (free_name(name, docs) for name in ("_doc", "_of", "_places"))
+    goes = skew_join(pairs.select("h", "doc", "places"), shared, "h", "n").where(F.col("doc") < F.col("keeper"))
+    goes = goes.select(F.col("doc").alias(doc), F.explode("places").alias("place")).groupBy(doc, F.col("place.of").alias(of)).agg(F.array_sort(F.collect_list("place.at")).alias(places))
+    rows = docs.join(goes, (F.col(id_col) == F.col(doc)) & (F.xxhash64(text_col) == F.col(of)), "left")
+    lines, whole, none = lines_of(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")), F.col(places).isNull()
+    kept = F.when(none, whole).otherwise(F.array_join(_without(lines, F.col(places)), "\n"))
+    found = F.struct(F.size(lines).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size(places)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
     return rows.select(*[docs[c] for c in docs.columns if c != "lines"], found.alias("lines"))

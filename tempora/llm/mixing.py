@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import ASCII_SPACE, saved
+from tempora.llm._common import ASCII_SPACE, free_name, saved
 
 #: Labelled documents and words that the classifier learns from.
 SAMPLE_DOCS, VOCABULARY = 4000, 2048
@@ -105,9 +105,9 @@ def mixing_rates(
 
 def mixed(docs: DataFrame, rates: DataFrame, seed: int = 7) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the odds of the rest, drawn from the id's hash."""
-    rate = rates.select(F.col("doc_id").alias("_id"), F.col("rate").alias("_rate"))
-    rows = docs.join(rate, docs["doc_id"].eqNullSafe(F.col("_id")))
-    odds = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies = (F.floor("_rate") + (odds < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    more = rows.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    id_, rate, copy = (free_name(name, docs) for name in ("_id", "_rate", "_copy"))
+    rows = docs.join(rates.select(F.col("doc_id").alias(id_), F.col("rate").alias(rate)), docs["doc_id"].eqNullSafe(F.col(id_)))
+    odds = F.pmod(F.xxhash64(F.col(id_), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    copies = (F.floor(rate) + (odds < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    more = rows.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     return more.select(*[docs[c] for c in docs.columns])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import in_arrow, saved, skew_join, slices, text_bytes
+from tempora.llm._common import in_arrow, saved, skew_join, slices, temporary, text_bytes
 from tempora.llm.components import components
 
 SEED = 42
@@ -178,13 +178,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and links like any other, but is never a component's name unless the component has no other id.
     Texts without words all have fingerprint zero and are linked like any other. An empty table gives no rows.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, width, tables))
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    roots = saved(components(saved(_all_links(prints, nodes, tables, radius))))
-    named = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
-    table = saved(skew_join(named, least, "root", "nodes").select("fp", "n", "component"))
-    return skew_join(prints.select("doc", "fp"), table, "fp", "n").select("doc", "fp", "component")
+    with temporary() as area:
+        prints = saved(fingerprints(docs, id_col, text_col, width, tables))
+        nodes = saved(prints.groupBy("fp").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
+        roots = saved(components(saved(_all_links(prints, nodes, tables, radius))))
+        named = saved(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        least = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
+        table = saved(skew_join(named, least, "root", "nodes").select("fp", "n", "component"))
+        found = saved(skew_join(prints.select("doc", "fp"), table, "fp", "n").select("doc", "fp", "component"))
+        area.keep(found)
+    return found
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, tables: int = 1) -> DataFrame:
@@ -193,5 +196,5 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows with a null id stay. A link of 4 bits in 64 stands for a cosine of shingle counts of about 0.98.
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, radius, tables)
-    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("_keep")).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi"))
+    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias(id_col)).distinct()
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*docs.columns))

@@ -3,13 +3,13 @@
 Each bit of a SimHash of sets with similarity J differs with a chance of acos(2J / (1 + J)) / pi. TABLES fingerprints
 of 32 bits, met in the middle of Hamming balls of radius 2, so bring together 96 % of all pairs at J = 0.8, and more
 above (`recall`). As in `simhash`, a fingerprint goes to each bucket that one of its variants begins with. Pairs that
-share a variant are compared by 64 further bits in the bucket, then by all bits of all tables, then by the shingle sets
-themselves; only what passes is a link.
+share a variant are compared by 128 further bits in the bucket, then by all bits of all tables, then by the shingle
+sets themselves; only what passes is a link.
 
 In a bucket each is paired with the least of those that share its variant, not with all. Of its pairs a document's
 nearest is verified first; the others matter only where they still join different components. Where pairing with the
-least could lose a link, which takes three or more that are alike, a second round pairs all that are left in different
-components.
+least could lose a link, which takes three or more that are alike, a second round compares all bits of all that share a
+variant and are left in different components, and passes on each pair that is near enough once.
 """
 
 from __future__ import annotations
@@ -26,20 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._common import in_arrow, saved, skew_join, slices, text_bytes
+from tempora.llm._common import in_arrow, saved, skew_join, slices, temporary, text_bytes
 from tempora.llm.components import components
 from tempora.llm.simhash import _LOWER, SEED
 
 #: Words of signature, of 64 bits; each holds the fingerprints of two tables. Bits of a fingerprint and its radius.
 WORDS, BITS, RADIUS = 13, 32, 2
 TABLES = 2 * WORDS
-#: Of 64 further bits so many may differ. At J = 0.8 one pair in 30,000 differs in more; of unrelated pairs 99 % do.
-FURTHER = 22
-#: Of all bits of two signatures so many may differ. At J = 0.8 one pair in 2,000 differs in more; at J = 0.65 nine of ten do.
-CLOSE = 160
+#: Of 128 further bits so many may differ. At J = 0.8 one pair in 150 differs in more, and meets in three tables on average.
+FURTHER = 29
+#: Of all bits of two signatures so many may differ. At J = 0.8 one pair in 300 differs in more; at J = 0.65 nineteen of twenty do.
+CLOSE = 154
 #: Variants that a bucket may write out, if fingerprints are even.
 BUCKET_VARIANTS = 2_000_000
 _SIGNATURE = [f"s{k}" for k in range(WORDS)]
+#: Two hashes that tell texts apart.
+_TEXT = ("of_1", "of_2")
 
 
 def recall(j: float, tables: int = TABLES) -> float:
@@ -88,23 +90,28 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         sets = [shingle_set(t, width) for t in _texts(batch.column("text"))]
         node = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
         signs = np.stack([signature(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), node, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)], names=["doc", "text", "node", *_SIGNATURE])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *(batch.column(c) for c in _TEXT), node, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)], names=["doc", *_TEXT, "node", *_SIGNATURE])
 
 
-#: What a bucket gets of a node, packed.
-_ROW = np.dtype([("fp", "<u4"), ("further", "<u8"), ("node", "<i8"), ("root", "<i8")])
+#: What a bucket gets of a node, packed: in the first round, and in the second.
+_TABLE = [("fp", "<u4"), ("node", "<i8")]
+_FIRST, _SECOND = np.dtype([*_TABLE, ("further", "<u8", (2,))]), np.dtype([*_TABLE, ("root", "<i8"), ("signature", "<u8", (WORDS,))])
 
 
-def _dealt(prefix_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(prefix_bits: int, kind: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, rows): each table's fingerprints go to every bucket that one of their variants begins with, packed by batch."""
     flips = np.array([0, *(1 << b for b in range(prefix_bits))], np.uint32)
     for batch in batches:
-        words = [batch.column(c).to_numpy().view(np.uint64) for c in _SIGNATURE]
-        rows = np.empty(batch.num_rows, _ROW)
-        rows["node"], rows["root"] = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+        words = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _SIGNATURE], axis=1)
+        rows = np.empty(batch.num_rows, kind)
+        rows["node"] = batch.column("node").to_numpy()
+        if "root" in kind.names:
+            rows["root"], rows["signature"] = batch.column("root").to_numpy(), words
         for table in range(TABLES):
-            rows["fp"] = words[table // 2] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
-            rows["further"] = words[(table // 2 + 1) % WORDS]
+            word = table // 2
+            rows["fp"] = words[:, word] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
+            if "further" in kind.names:
+                rows["further"] = words[:, [(word + 1) % WORDS, (word + 2) % WORDS]]
             prefix = ((rows["fp"] >> np.uint32(BITS - prefix_bits))[:, None] ^ flips).ravel()
             order = np.argsort(prefix, kind="stable")
             prefix, packed = prefix[order], rows[order // len(flips)]
@@ -112,17 +119,17 @@ def _dealt(prefix_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             firsts = prefix[np.concatenate([[0], cuts])] if len(prefix) else prefix
             parts = [p.tobytes() for p in np.split(packed, cuts)] if len(prefix) else []
             buckets = (table << prefix_bits) + firsts.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(parts, pa.binary())], names=["bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(parts, pa.binary())], names=["bucket", "rows"])
 
 
-def _unpacked(bucket: pd.DataFrame) -> np.ndarray:
+def _unpacked(bucket: pd.DataFrame, kind: np.dtype) -> np.ndarray:
     """The nodes of a bucket in ascending order."""
-    rows = np.frombuffer(b"".join(bucket["rows"]), _ROW)
+    rows = np.frombuffer(b"".join(bucket["rows"]), kind)
     return rows[np.argsort(rows["node"], kind="stable")]
 
 
-def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of rows by variant, and the number of each one's run. Rows alone in their run are left out."""
+def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of rows by variant, the number of each one's run, and each run's variant. Rows alone in their run are left out."""
     fp, low_bits = rows["fp"].astype(np.int64), BITS - prefix_bits
     prefix = bucket & (1 << prefix_bits) - 1
     low = fp & (1 << low_bits) - 1
@@ -132,16 +139,16 @@ def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray,
     place = np.concatenate([np.arange(len(fp)), np.repeat(home, low_bits)])
     order = np.lexsort((place, variant))
     variant, place = variant[order], place[order]
-    _, run, size = np.unique(variant, return_inverse=True, return_counts=True)
+    known, run, size = np.unique(variant, return_inverse=True, return_counts=True)
     keep = size[run] > 1
-    return place[keep], run[keep]
+    return place[keep], run[keep], known | prefix << low_bits
 
 
 def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     """Pairs (u, v) of each node with the least that shares a variant and is alike by the further bits; and (u, u) for the nodes of runs where this may lose a link."""
-    rows = _unpacked(bucket)
+    rows = _unpacked(bucket, _FIRST)
     node, further = rows["node"], rows["further"]
-    place, run = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
+    place, run, _ = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
     all_place, all_run, unsure, found = place, run, [], []
     while len(run):
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -149,7 +156,7 @@ def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
         lead = np.repeat(place[first], size)
         leads = np.zeros(len(run), bool)
         leads[first] = True
-        like = ~leads & (np.bitwise_count(further[place] ^ further[lead]) <= FURTHER)
+        like = ~leads & (np.bitwise_count(further[place] ^ further[lead]).sum(axis=1) <= FURTHER)
         found.append(np.stack([place[like], lead[like]], axis=1))
         unsure.append(run[like])
         rest = ~leads & ~like
@@ -162,30 +169,43 @@ def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[again]]), "v": np.concatenate([node[pairs[:, 1]], node[again]])})
 
 
+def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The variant at which two fingerprints, 2 bits apart at the most, are held to meet, of all that they share."""
+    apart = a ^ b
+    bit = apart & -apart
+    return np.where(np.bitwise_count(apart) == 2, np.minimum(a ^ bit, b ^ bit), np.minimum(a, b))
+
+
 def _crossed(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
-    """All pairs (u, v), v < u, that share a variant, are alike by the further bits and have different roots."""
-    rows = _unpacked(bucket)
-    node, root, further = rows["node"], rows["root"], rows["further"]
-    place, run = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
-    found, seen = [np.zeros((0, 2), np.int64)], set()
-    for members in np.split(place, np.flatnonzero(np.diff(run)) + 1):
-        if len(members) < 2 or (root[members] == root[members[0]]).all() or (key := members.tobytes()) in seen:
+    """All pairs (u, v), v < u, that share a variant, are close by all bits and have different roots: each in the first
+    table in which they meet, and there at one variant alone."""
+    rows = _unpacked(bucket, _SECOND)
+    node, root, signature, fp = rows["node"], rows["root"], rows["signature"], rows["fp"].astype(np.int64)
+    number = int(bucket["bucket"].iat[0])
+    table = number >> prefix_bits
+    place, run, variants = _runs(prefix_bits, number, rows)
+    found = [np.zeros((0, 2), np.int64)]
+    ends = np.flatnonzero(np.diff(run)) + 1
+    for members, at in zip(np.split(place, ends), run[np.concatenate([[0], ends])] if len(run) else [], strict=True) if len(run) else []:
+        if (root[members] == root[members[0]]).all():
             continue
-        seen.add(key)
         for k in range(1, len(members)):
-            before = members[:k]
-            like = before[(root[before] != root[members[k]]) & (np.bitwise_count(further[before] ^ further[members[k]]) <= FURTHER)]
-            found.append(np.stack([np.full(len(like), members[k]), like], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
+            u, before = members[k], members[:k]
+            before = before[(root[before] != root[u]) & (_first_meeting(fp[before], fp[u]) == variants[at])]
+            bits = np.bitwise_count((signature[before] ^ signature[u]).view(np.uint32))  # a column for each table
+            near = before[(bits.sum(axis=1, dtype=np.int64) <= CLOSE) & (bits[:, :table] > RADIUS).all(axis=1)]
+            found.append(np.stack([np.full(len(near), u), near], axis=1))
+    pairs = np.concatenate(found)
     return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
 
 def _with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """pairs (u, v, ...) with the other columns of table (node, ...) for both ends: those of u as they are, those of v with a mark."""
+    """pairs (u, v, ...), a saved table, with the other columns of table (node, ...) for both ends: those of u as they are, those of v with a mark."""
     for end, mark in (("v", "_v"), ("u", "")):
         named = table.select(F.col("node").alias(end), *[F.col(c).alias(c + mark) for c in table.columns if c != "node"])
         counts = pairs.groupBy(end).agg(F.count("*").alias("ends"))
-        pairs = saved(skew_join(pairs, saved(counts.join(named, end)), end, "ends"))
+        joined = skew_join(pairs, saved(counts.join(named, end)), end, "ends")
+        pairs = saved(joined) if end == "v" else joined
     return pairs
 
 
@@ -200,14 +220,16 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (u, v) whose ends have different roots; nodes that roots (node, root) doesn't name are their own."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     named = saved(ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return _with_ends(pairs.select("u", "v"), named).where(F.col("root") != F.col("root_v")).select("u", "v")
+    return saved(_with_ends(saved(pairs.select("u", "v")), named).where(F.col("root") != F.col("root_v")).select("u", "v"))
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a similarity of `least` or more."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v), a saved table, whose shingle sets have a similarity of `least` or more. One text of each node is read again, by its hash."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = saved(ends.join(nodes.select("node", "n"), "node"))
-    texts = skew_join(prints.select("node", "text"), needed, "node", "n").groupBy("node").agg(F.first("text").alias("text"))
+    needed = saved(ends.join(nodes.select("node", *_TEXT, "n"), "node"))
+    same = F.struct(*_TEXT)
+    texts = skew_join(docs.select("text", same.alias("of")), needed.select("node", same.alias("of"), "n"), "of", "n")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -224,42 +246,51 @@ def _verified(pairs: DataFrame, prints: DataFrame, nodes: DataFrame, width: int,
     return saved(in_arrow(both, compared, "u long, v long"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc, component) for each row: component is the smallest id reachable over pairs of similarity `least` or more, as far as a table found them.
-
-    A-Z is lower-cased, words stand between ASCII white space. Texts with equal sets are one node, whatever their
-    number, and so are all texts without words, null among them. A null id is a component's name only where it has no other id.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    kinds = ", ".join(f"{c} long" for c in _SIGNATURE)
-    prints = saved(in_arrow(rows, functools.partial(_signed, width), f"doc long, text string, node long, {kinds}"))
-    nodes = saved(prints.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in _SIGNATURE]))
+def _roots(docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """(node, root) of the nodes that are linked to any other."""
     n = nodes.count()
     bits = min(24, max(4 if n > 20_000 else 3, math.ceil(math.log2(1 + n * (BITS + 1) / BUCKET_VARIANTS))))
 
-    def dealt(of: DataFrame) -> DataFrame:
-        return in_arrow(of.select("node", "root", *_SIGNATURE), functools.partial(_dealt, bits), "bucket int, rows binary")
+    def dealt(of: DataFrame, kind: np.dtype) -> DataFrame:
+        return in_arrow(of, functools.partial(_dealt, bits, kind), "bucket long, rows binary").groupBy("bucket")
 
-    starred = dealt(nodes.withColumn("root", F.col("node"))).groupBy("bucket").applyInPandas(lambda x: _starred(bits, x), "u long, v long")
-    starred = saved(starred.distinct())
-    tried = starred.where("u <> v")
-    close = _close(tried, nodes)
-    first = saved(close.groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v")))
-    links = _verified(first, prints, nodes, width, least)
+    starred = saved(dealt(nodes.select("node", *_SIGNATURE), _FIRST).applyInPandas(lambda x: _starred(bits, x), "u long, v long").distinct())
+    tried = _close(starred.where("u <> v"), nodes)
+    first = saved(tried.groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v")))
+    links = _verified(first, docs, nodes, width, least)
     roots = saved(components(links))
-    rest = saved(_apart(close.join(first, ["u", "v"], "left_anti"), roots))
+    rest = _apart(tried.join(first, ["u", "v"], "left_anti"), roots)
+    if not rest.isEmpty():
+        links = saved(links.unionByName(_verified(rest, docs, nodes, width, least)))
+        roots = saved(components(links))
     again = starred.where("u = v").select(F.col("u").alias("node"))
     if not again.isEmpty():
-        open_ = nodes.join(again, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        crossed = dealt(open_).groupBy("bucket").applyInPandas(lambda x: _crossed(bits, x), "u long, v long").distinct()
+        open_ = nodes.join(again, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_SIGNATURE)
+        crossed = dealt(open_, _SECOND).applyInPandas(lambda x: _crossed(bits, x), "u long, v long")
         crossed = saved(crossed.join(tried, ["u", "v"], "left_anti"))
-        rest = rest.unionByName(_close(crossed, nodes).select("u", "v"))
-    if not rest.isEmpty():
-        roots = saved(components(links.unionByName(_verified(rest, prints, nodes, width, least))))
-    named = saved(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    smallest = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
-    table = saved(skew_join(named.select("node", "n", "root"), smallest, "root", "nodes").select("node", "n", "component"))
-    return skew_join(prints.select("doc", "node"), table, "node", "n").select("doc", "component")
+        if not crossed.isEmpty():
+            roots = saved(components(links.unionByName(_verified(crossed, docs, nodes, width, least))))
+    return roots
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc, component) for each row: component is the smallest id reachable over pairs of similarity `least` or more, as far as a table found them.
+
+    A-Z is lower-cased, words stand between ASCII white space. Texts with equal sets are one node, whatever their
+    number, and so are all texts without words, null among them. A null id is a component's name only where it has no other id.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias(_TEXT[0]), F.xxhash64(F.reverse(text_col)).alias(_TEXT[1]))
+    kinds = ", ".join(f"{c} long" for c in (*_TEXT, "node", *_SIGNATURE))
+    with temporary() as area:
+        prints = saved(in_arrow(rows, functools.partial(_signed, width), f"doc long, {kinds}"))
+        nodes = saved(prints.groupBy("node").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.min(F.struct(*_TEXT)).alias("of"), *[F.min(c).alias(c) for c in _SIGNATURE]).select("*", "of.*").drop("of"))
+        roots = _roots(rows, nodes, width, least)
+        named = saved(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        smallest = saved(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("nodes")))
+        table = saved(skew_join(named.select("node", "n", "root"), smallest, "root", "nodes").select("node", "n", "component"))
+        found = saved(skew_join(prints.select("doc", "node"), table, "node", "n").select("doc", "component"))
+        area.keep(found)
+    return found
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:

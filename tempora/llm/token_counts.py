@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 from tempora.llm._common import in_arrow, slices, text_bytes, words_of
 
 
+#: So few words are read one after another.
+FEW = 16
+
+
 class PieceCounter:
-    """For pieces that begin a word and pieces that go on with one.
+    """For pieces that begin a word and pieces that go on with one. With `lone`, a piece without letters may begin a word.
 
     count() gives the greedy longest-match pieces of each word; a word that the pieces can't spell counts as one.
     """
 
-    def __init__(self, first: list[bytes], further: list[bytes]):
+    def __init__(self, first: list[bytes], further: list[bytes], lone: bool = False):
         child: dict[tuple[int, int], int] = {}
         parent, label, piece = [-1, -1], [0, 0], [False, False]  # node 0 begins words, node 1 goes on with them
         for root, pieces in ((0, first), (1, further)):
@@ -40,6 +44,8 @@ class PieceCounter:
                 if p:
                     piece[node] = True
         fail, popped = [-1] * len(parent), [0] * len(parent)
+        if lone:
+            fail[0], popped[0] = 1, 1
         depth = [0] * len(parent)
         for v in range(2, len(parent)):
             depth[v] = depth[parent[v]] + 1
@@ -53,6 +59,7 @@ class PieceCounter:
                 z = fail[z]
             if z >= 0:
                 fail[v], popped[v] = child[z, label[v]], n
+        self.child, self.fails, self.pops = child, fail, popped
         self.fail, self.popped = np.array(fail), np.array(popped)
         edges = sorted((node * 256 + byte, to) for (node, byte), to in child.items())
         self.keys, self.to = np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int64)
@@ -65,13 +72,19 @@ class PieceCounter:
         return np.where(self.keys[at] == key, self.to[at], -1)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The count for each word; all words move on by one byte at a time."""
+        """The count for each word; all words move on by one byte at a time, and the last few, which are long, each by itself."""
         size = np.diff(offsets)
         node, total = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         bad = np.zeros(len(size), bool)
         order = np.argsort(-size, kind="stable")
         longer = len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")
         for k, n in enumerate(longer.tolist()):
+            if n <= FEW:
+                for w in order[:n].tolist():
+                    if not bad[w]:
+                        node[w], more, bad[w] = self._walked(int(node[w]), data[offsets[w] + k : offsets[w + 1]].tobytes())
+                        total[w] += more
+                break
             live = order[:n]
             live = live[~bad[live]]
             byte = data[offsets[live] + k].astype(np.int64)
@@ -85,6 +98,20 @@ class PieceCounter:
             live, _ = self._popped(live, node, total, bad, live)
         return np.where(bad, 1, total)
 
+    def _walked(self, node: int, rest: bytes) -> tuple[int, int, bool]:
+        """The node after the bytes, the pieces taken off, and whether no piece went on."""
+        child, fails, pops, total = self.child, self.fails, self.pops, 0
+        for byte in rest:
+            to = child.get((node, byte))
+            while to is None:
+                total += pops[node]
+                node = fails[node]
+                if node < 0:
+                    return 0, 0, True
+                to = child.get((node, byte))
+            node = to
+        return node, total, False
+
     def _popped(self, live, node, total, bad, byte):
         """Follows the failure links of those that have one."""
         to = self.fail[node[live]]
@@ -97,12 +124,13 @@ class PieceCounter:
 
 @functools.cache
 def vocabulary(path: str) -> PieceCounter:
-    """From a file of base64 tokens and ranks, a line each. Tokens that begin with a space begin words; all others go on with one."""
+    """From a file of base64 tokens and ranks, a line each. Tokens that begin with a space begin words; all others go on
+    with one. Where a space is a token too, words that no other token begins start with it."""
     import base64
 
     with open(path, "rb") as lines:
         tokens = [base64.b64decode(line.split()[0]) for line in lines if line.strip()]
-    return PieceCounter([t[1:] for t in tokens if t[:1] == b" " and len(t) > 1], [t for t in tokens if t[:1] != b" "])
+    return PieceCounter([t[1:] for t in tokens if t[:1] == b" " and len(t) > 1], [t for t in tokens if t[:1] != b" "], b" " in tokens)
 
 
 def _counts(id_col: str, text_col: str, path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +145,8 @@ def _counts(id_col: str, text_col: str, path: str, batches: Iterator[pa.RecordBa
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) for each row: words between ASCII white space of the whole text, as they are written.
 
-    A word is spelled by the longest piece that begins it, then the longest piece that goes on with it, and so on; one
-    that can't be spelled counts as one token. Null and empty texts count zero; null ids and repeated rows keep their
+    A word is spelled by the longest piece that begins it, a space alone if there is no other, then the longest piece that
+    goes on with it, and so on; one that can't be spelled counts as one token. Null and empty texts count zero; null ids and repeated rows keep their
     rows; an empty table gives none.
     """
     rows = docs.select(F.col(id_col), F.col(text_col))

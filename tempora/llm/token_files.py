@@ -6,12 +6,14 @@ so that a token's place on the next level is one rank away. A segment holds whol
 
 A token file is a folder of Parquet rows, one for each segment: the range of documents it belongs to (`part`), its
 number there (`seg`), `start` (tokens before it in the part), `n_tokens`, `doc_ids`, and the coded `payload`. So it
-can be written to and read from any store that Spark knows, and a lost executor's segments are written again.
+can be written to and read from any store that Spark knows, and a lost executor's segments are written again. Parquet
+compresses nothing here, and its statistics find the one segment that `read_token` looks into.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import struct
 import zlib
@@ -91,11 +93,12 @@ def encode_segment(ids: np.ndarray, doc_starts: np.ndarray, widths: tuple[int, .
 class Segment:
     """Reads a coded segment in place."""
 
-    def __init__(self, payload: bytes):
-        if payload[:4] != _MAGIC:
+    def __init__(self, payload: bytes | memoryview | pa.Buffer):
+        payload = memoryview(payload)
+        if bytes(payload[:4]) != _MAGIC:
             raise ValueError("no segment of directly addressable codes")
         self.n_tokens, self.n_docs, n_levels = struct.unpack_from("<QII", payload, 4)
-        self.widths, at = tuple(payload[20 : 20 + n_levels]), 20 + n_levels
+        self.widths, at = tuple(bytes(payload[20 : 20 + n_levels])), 20 + n_levels
         self.doc_starts = np.append(np.frombuffer(payload, "<u8", self.n_docs, at).astype(np.int64), self.n_tokens)
         at += 8 * self.n_docs
         self.levels = []
@@ -167,6 +170,21 @@ def split_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.insert(data, cut, 0x20), offsets + np.searchsorted(cut, offsets, side="left")
 
 
+#: The normalizer and the splitter with which no token crosses white space, and lower case and marks split as below.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file splits texts as WordEncoder expects; texts of others go through the library whole."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    return said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _SPLITTER and said.get("post_processor") is None
+
+
 class WordEncoder:
     """Ids of what stands between ASCII white space. No token of the vocabulary and no rule of its splitter crosses that,
     so a text's ids are those of its words. Words of Latin letters alone go to the library's model, in the letters that
@@ -175,7 +193,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole, self.by_words = Tokenizer.from_file(path), by_words(path)
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.young: dict[str, bytes] = {}
@@ -206,6 +224,9 @@ def _encoder(path: str) -> WordEncoder:
 
 def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, end_id after each, and where each text's begin (and the end)."""
+    if not _encoder(path).by_words:
+        each = [[*_encoder(path).whole.encode(t or "", add_special_tokens=False).ids, end_id] for t in texts.to_pylist()]
+        return np.array([i for ids in each for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
     flat, at = words_of(*split_marks(*text_bytes(texts)))
     coded = flat.dictionary_encode()
     parts = _encoder(path)(coded.dictionary.to_pylist())
@@ -258,7 +279,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col), F.col(text_col)).repartitionByRange(n, id_col).sortWithinPartitions(id_col, text_col)
-    in_arrow(rows, lambda batches: _segments(id_col, text_col, tokenizer, end_id, tuple(widths), segment_tokens, batches), _SEGMENTS).write.parquet(path)
+    in_arrow(rows, lambda batches: _segments(id_col, text_col, tokenizer, end_id, tuple(widths), segment_tokens, batches), _SEGMENTS).write.parquet(path, compression="uncompressed")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,3 +307,26 @@ def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     offsets = spark.createDataFrame(rows, "part int, before long")
     found = in_arrow(segments, _read, "part int, doc long, start long, n_tokens long, crc long")
     return found.join(F.broadcast(offsets), "part").select("doc", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "crc")
+
+
+def read_token(spark: SparkSession, path: str, place: int) -> int | None:
+    """Token `place` of the file, counted from zero over all documents; None past its end.
+
+    The counts of tokens name its segment; of that one row the token is read in place, with one rank for each level it
+    goes on to, and nothing else of the file is decoded.
+    """
+    segments = spark.read.schema(_SEGMENTS).parquet(path)
+    for part, n in sorted(segments.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row for each range of ids
+        if place < n:
+            break
+        place -= n
+    else:
+        return None
+    one = segments.where((F.col("part") == part) & (F.col("start") <= place) & (F.col("start") + F.col("n_tokens") > place)).select("start", "payload")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [Segment(p.as_buffer()).token(place - s.as_py()) for s, p in zip(batch.column("start"), batch.column("payload"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
+
+    return in_arrow(one, read, "id long").first().id

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings that speak for toxicity, found in labelled rows, a few patterns of writing, and
-each of these where it is dense or comes again. A generative model of a hidden label estimates how often each voter,
-the given label among them, fires for either label and how voters depend on each other; dependent voters share their
-weight. A linear classifier of all voters but the label is trained on the posterior labels that the model gives.
+Voters are words and word beginnings that speak for toxicity (a lexicon found in labelled rows), a few patterns of
+writing, and each of these where it is dense or comes again. A generative model of a hidden label estimates from the
+votes alone how often each voter fires for either label and how voters depend on each other; dependent voters share
+their weight. The given labels choose the lexicon, the prior and the model's first guess of the rates, but cast no
+vote: a wrong label is outvoted. A linear classifier is trained on the posterior labels that the model gives.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tempora.llm._common import in_arrow, slices, text_bytes, words_of
+from tempora.llm._common import in_arrow, saved, slices, text_bytes, words_of
 
 #: Labelled rows of each label that are learned from, and terms that are kept, at the most.
 SAMPLE, TERMS = 6000, 300
 _SHORTEST, _LONGEST = 3, 7
+#: A lexicon entry has so many characters at the most; longer words vote by their beginnings.
+LONGEST_TERM = 200
 #: A term is dense if it makes up one word in so many, or more.
 DENSE = 150
 _EDGES = ".,;:!?\"'`()[]{}<>|#$%&*+-_=/\\~^@«»“”„…¡¿"
@@ -86,8 +89,7 @@ def _fired(texts: pa.Array, known: dict[str, list[int]]) -> Iterator[list[int]]:
 
 @dataclass
 class LabelModel:
-    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts.
-    The last voter is the given label, whose whole evidence counts: its accuracy is estimated like any other's."""
+    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts."""
 
     prior: float
     fires: np.ndarray
@@ -98,23 +100,26 @@ class LabelModel:
         evidence = votes @ (self.share * (on - off)) + (self.share * off).sum() + math.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(evidence, -40, 40)))
 
+    @classmethod
+    def of(cls, votes: np.ndarray, y: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel:
+        """Rates and shares if y were the labels, soft or not. A row stands for counts[k] rows."""
+        clean, toxic = counts * (1 - y), counts * y
+        weight = np.array([clean.sum(), toxic.sum()])
+        fires = np.clip((np.stack([clean @ votes, toxic @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
+        # what voters have in common beyond the label: the correlation of what the rates leave unexplained
+        rest = votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1]))
+        covariance = rest.T @ (rest * counts[:, None]) / counts.sum()
+        scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
+        correlation = np.abs(covariance / np.outer(scale, scale))
+        return cls(prior, fires, 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1))
+
     @classmethod
     def fit(cls, votes: np.ndarray, guess: np.ndarray, counts: np.ndarray, rounds: int = 15) -> LabelModel:
-        """Expectation and maximisation from a first guess of the labels. A row stands for counts[k] rows."""
-        n, m = counts.sum(), votes.shape[1]
-        y, share = guess.astype(np.float64), np.ones(m)
+        """Expectation and maximisation over the hidden labels. `guess`, a label for each row, sets where they begin and the prior."""
+        prior = float(np.clip((counts * guess).sum() / counts.sum(), 0.01, 0.99))
+        model = cls.of(votes, guess.astype(np.float64), counts, prior)
         for _ in range(rounds):
-            clean, toxic = counts * (1 - y), counts * y
-            weight = np.array([clean.sum(), toxic.sum()])
-            fires = np.clip((np.stack([clean @ votes, toxic @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
-            # what voters have in common beyond the label: the correlation of what the rates leave unexplained
-            rest = (votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1])))[:, :-1]
-            covariance = rest.T @ (rest * counts[:, None]) / n
-            scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
-            correlation = np.abs(covariance / np.outer(scale, scale))
-            share[:-1] = 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1)
-            model = cls(float(np.clip(toxic.sum() / n, 0.01, 0.99)), fires, share)
-            y = model.posterior(votes)
+            model = cls.of(votes, model.posterior(votes), counts, prior)
         return model
 
 
@@ -151,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         for label, (found, n) in zip(batch.column("label").to_pylist(), _documents(batch.column("text"), None), strict=True):
             counts[label].update(_voters(found, n))
-    every = [t for t in counts[0].keys() | counts[1].keys() if len(t[0]) < 200]
+    every = [t for t in counts[0].keys() | counts[1].keys() if len(t[0]) <= LONGEST_TERM]
     for k in range(0, len(every), 100_000):
         part = every[k : k + 100_000]
         yield pa.RecordBatch.from_arrays(
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
     if len(n) < 2:
         prior = 0.5 if prior is None else min(0.99, max(0.01, prior))
         return Classifier({}, np.zeros(0), math.log(prior / (1 - prior)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
+    texts = saved(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text"))
     counts = in_arrow(texts, _counted, "term string, kind int, clean long, toxic long").groupBy("term", "kind").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # terms that hold for toxic rows and seldom for others, the most telling first
     rate1, rate0 = (F.col("toxic") + 0.1) / (n[1] + 0.2), (F.col("clean") + 0.1) / (n[0] + 0.2)
@@ -208,15 +213,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
             yield pa.RecordBatch.from_arrays([batch.column("label"), found], names=["label", "found"])
 
     rows = in_arrow(texts, fired, "label int, found array<int>").groupBy("label", "found").count().orderBy("label", "found").collect()
-    votes, weight = np.zeros((len(rows), len(best))), np.array([r["count"] for r in rows])
+    votes, guess, count = np.zeros((len(rows), len(best))), np.array([r.label for r in rows]), np.array([r["count"] for r in rows], np.float64)
     for k, r in enumerate(rows):
         votes[k, r.found] = 1
-    votes = np.repeat(votes, np.minimum(weight, 2 * sample), axis=0)
-    guess = np.repeat(np.array([r.label for r in rows]), np.minimum(weight, 2 * sample))
     # one on average, so that smoothing and ridge weigh the same however large the table is
-    stands = np.where(guess > 0, total[1] / n[1], total[0] / n[0]) * sum(n.values()) / sum(total.values())
-    with_label = np.hstack([votes, guess[:, None]])
-    posterior = LabelModel.fit(with_label, np.where(guess > 0, 0.9, 0.1), stands).posterior(with_label)
+    stands = count * np.where(guess > 0, total[1] / n[1], total[0] / n[0]) * sum(n.values()) / sum(total.values())
+    posterior = LabelModel.fit(votes, guess, stands).posterior(votes)
     return Classifier(number, *_logistic(votes, posterior, stands))
 
 

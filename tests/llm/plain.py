@@ -31,12 +31,14 @@ def line_dedup(docs, min_chars=40, min_docs=5):
     return out
 
 
-def greedy_pieces(word, first, further):
-    """Number of pieces, 1 if the word can't be spelled. first, further: sets of bytes."""
+def greedy_pieces(word, first, further, lone=False):
+    """Number of pieces, 1 if the word can't be spelled. first, further: sets of bytes; lone: a piece without letters may begin."""
     at, n = 0, 0
     while at < len(word):
-        table = first if at == 0 else further
+        table = first if at == n == 0 else further
         end = next((e for e in range(min(len(word), at + 200), at, -1) if word[at:e] in table), None)
+        if end is None and lone and at == n == 0:
+            end = 0
         if end is None:
             return 1
         at, n = end, n + 1
@@ -106,6 +108,74 @@ def contamination(docs, items, window=10):
     return out
 
 
+def longest_matches(docs, items):
+    """{item: (n_words, doc, start, item_start)}: every pair of places looked at."""
+    out = {}
+    for item, text in items:
+        w = item_words(text)
+        for i, said in docs:
+            d = item_words(said)
+            for a in range(len(w)):
+                for b in range(len(d)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(d) and w[a + n] == d[b + n]:
+                        n += 1
+                    if n:
+                        out[item] = min(out.get(item, (0, 0, 0, 0)), (-n, i, b, a))
+    return {item: (-m[0], *m[1:]) for item, m in out.items()}
+
+
+def posteriors(docs, domain_of, domains, vocabulary, evidence):
+    """{id: (words, [p])} of naive Bayes over even priors, by mean log-likelihood of known words."""
+    from collections import Counter
+    from math import exp, log
+
+    said = {i: [w for w in words((text or "").lower())] for i, text in docs}
+    counts, every = {d: Counter() for d in domains}, Counter()
+    for i, d in domain_of.items():
+        counts[d].update(said[i])
+        every.update(said[i])
+    known = [w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]]
+    total = {d: sum(counts[d][w] for w in known) for d in domains}
+    weight = {d: {w: log((counts[d][w] + 1) / (total[d] + vocabulary)) for w in known} for d in domains}
+    out = {}
+    for i, ws in said.items():
+        hits = [w for w in ws if w in weight[domains[0]]]
+        mean = [sum(weight[d][w] for w in hits) / max(1, len(hits)) for d in domains]
+        e = [exp((m - max(mean)) * min(len(hits), evidence)) for m in mean]
+        out[i] = (len(ws), [x / sum(e) for x in e])
+    return out
+
+
+def vote(row, voters, labels, k):
+    """Similarity-weighted share of label 1 among the k nearest of all voters."""
+    near = sorted(((sum(float(x) * float(y) for x, y in zip(row, v)), l) for v, l in zip(voters, labels)), key=lambda x: -x[0])[:k]
+    weights = [max(c, 1e-6) ** 2 for c, _ in near]
+    return sum(w * l for w, (_, l) in zip(weights, near)) / sum(weights)
+
+
+def kept_lines(lines, window, surge, dive, share):
+    """The texts of (text, weight, marked) that main_text keeps, line by line."""
+    n, half = len(lines), window // 2
+    sums = [sum(lines[j][1] for j in range(n) if abs(j - k) <= half) for k in range(n)]
+    scale = min(1.0, share * max(sums, default=0) / surge)
+    inside = [s > 0 and s >= dive * scale for s in sums]
+    kept = []
+    for k in range(n):
+        stretch = []
+        for step in (-1, 1):
+            j = k
+            while 0 <= j < n and inside[j]:
+                stretch.append(j)
+                j += step
+        if not stretch or max(sums[j] for j in stretch) < surge * scale:
+            continue
+        heavy = [j for j in stretch if lines[j][1] > 0]
+        if heavy and min(heavy) <= k <= max(heavy) and not lines[k][2]:
+            kept.append(lines[k][0])
+    return kept
+
+
 def token_file(docs, tokenizer, end_id=2):
     """[(id, start, n_tokens, crc)] in ascending order of id."""
     import struct

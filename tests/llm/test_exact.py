@@ -9,12 +9,14 @@ from compare import DATA, rows_of_duck, rows_of_spark
 
 from tempora.llm import queries as Q
 from tempora.llm.components import components
-from tempora.llm.decontaminate import contamination, decontaminated
+from tempora.llm.decontaminate import contamination, decontaminated, longest_matches
 from tempora.llm.line_dedup import drop_shared_lines
+from tempora.llm.mixing import mixed
 from tempora.llm.neighbours import nearest_neighbours
 from tempora.llm.simhash import fingerprint_links, near_duplicates, without_near_duplicates
+from tempora.llm.similar import without_similar
 from tempora.llm.token_counts import PieceCounter, token_counts
-from tempora.llm.token_files import Segment, encode_segment, read_token_index, write_token_file
+from tempora.llm.token_files import Segment, by_words, encode_segment, read_token, read_token_index, token_ids, write_token_file
 
 SF = f"{DATA}/sf0.001"
 
@@ -73,8 +75,9 @@ def test_token_counts(spark, odd):
     with open(Q.vocabulary_path(Q.COUNT_VOCABULARY), "rb") as lines:
         tokens = [base64.b64decode(x.split()[0]) for x in lines if x.strip()]
     first, further = {t[1:] for t in tokens if t[:1] == b" " and len(t) > 1}, {t for t in tokens if t[:1] != b" "}
-    each = lambda t: sum(plain.greedy_pieces(w.encode(), first, further) for w in plain.words(t))
-    for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
+    each = lambda t: sum(plain.greedy_pieces(w.encode(), first, further, b" " in tokens) for w in plain.words(t))
+    scripts = spark.createDataFrame([(1, "한국어 단어 中文文字 日本語のテキスト \U0001f469 ab\x01c " + "語" * 500)], "doc_id long, text string")
+    for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd, scripts):
         rows = pairs(df, "doc_id", "text")
         want = {i: (len(plain.words(t)), each(t)) for i, t in rows}
         assert {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(df, Q.vocabulary_path(Q.COUNT_VOCABULARY)).collect()} == want
@@ -87,8 +90,16 @@ def test_piece_counter_by_chance():
         first, further = ({word(int(rng.integers(1, 5))) for _ in range(8)} for _ in range(2))
         said = [word(int(rng.integers(1, 14))) for _ in range(60)]
         at = np.concatenate([[0], np.cumsum([len(w) for w in said])])
-        got = PieceCounter(sorted(first), sorted(further)).count(np.frombuffer(b"".join(said), np.uint8), at)
-        assert got.tolist() == [plain.greedy_pieces(w, first, further) for w in said]
+        for lone in (False, True):
+            got = PieceCounter(sorted(first), sorted(further), lone).count(np.frombuffer(b"".join(said), np.uint8), at)
+            assert got.tolist() == [plain.greedy_pieces(w, first, further, lone) for w in said]
+
+
+def test_token_counts_of_a_long_word(spark):
+    """A word of a million letters is read byte by byte like any other."""
+    df = spark.createDataFrame([(1, "ab" * 500_000)], "doc_id long, text string")
+    row = token_counts(df, Q.vocabulary_path(Q.COUNT_VOCABULARY)).first()
+    assert row.n_words == 1 and 100_000 < row.n_tokens <= 1_000_000
 
 
 def test_token_counts_nulls_and_empty(with_nulls):
@@ -175,6 +186,27 @@ def test_decontamination_nulls_and_empty(spark, with_nulls):
     assert contamination(with_nulls.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("bench_bytes", [1 << 24, 60])
+def test_longest_matches(spark, bench_bytes):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"x{k}" for k in rng.integers(0, 6, n))
+    docs = [(k, text(int(rng.integers(0, 60)))) for k in range(40)] + [(90, None), (91, "unknown words")]
+    items = [(k, text(int(rng.integers(1, 30)))) for k in range(12)] + [(50, "nothing shared"), (51, None), (52, " ".join(docs[3][1].split()[:25]))]
+    found = longest_matches(spark.createDataFrame([*docs, (None, "x1 x2")], "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"), depth=4, bench_bytes=bench_bytes)
+    assert {r.item_id: (r.n_words, r.doc, r.start, r.item_start) for r in found.collect()} == plain.longest_matches(docs, items)
+
+
+def test_windows_by_chance(spark):
+    """Few different words, so that windows overlap and repeat, within items and across them."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"x{k}" for k in rng.integers(0, 3, n))
+    docs = [(k, text(int(rng.integers(0, 80)))) for k in range(60)]
+    items = [(k, text(int(rng.integers(0, 12)))) for k in range(25)]
+    rows = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=6)
+    rows = rows.select("doc_id", "_found.n_words", Q.span_words().alias("n_hit"), Q.item_digest().alias("d"), "_found.item_ids").collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), r.d) for r in rows} == plain.contamination(docs, items, window=6)
+
+
 # ---- token files
 
 
@@ -208,6 +240,28 @@ def test_token_files_nulls_and_empty(spark, with_nulls, tmp_path):
     assert read_token_index(spark, f"file://{tmp_path}/b").collect() == []
 
 
+def test_read_token(spark, texts, tmp_path):
+    """Any token of a file, by its place."""
+    path, file = Q.vocabulary_path(Q.TOKENIZER), f"file://{tmp_path}/t"
+    docs = spark.createDataFrame(texts[:60], "doc_id long, text string")
+    write_token_file(docs, file, path, segment_tokens=700)
+    ids, _ = token_ids(pa.array([t for _, t in sorted(texts[:60])], pa.string()), path, 2)
+    for place in (0, 1, 699, 700, 701, len(ids) // 2, len(ids) - 1):
+        assert read_token(spark, file, place) == ids[place]
+    assert read_token(spark, file, len(ids)) is None
+
+
+def test_other_tokenizers_see_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    path = Q.vocabulary_path("byte_bpe_50k.json")
+    assert by_words(Q.vocabulary_path(Q.TOKENIZER)) and not by_words(path)
+    some = [t for _, t in texts[:20]]
+    ids, at = token_ids(pa.array(some, pa.string()), path, 2)
+    want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in some]
+    assert ids.tolist() == sum(want, []) and np.diff(at).tolist() == [len(x) for x in want]
+
+
 @pytest.mark.parametrize("widths", [(10, 6), (8, 8), (4, 4, 8), (12,)])
 def test_codes_round_trip(widths):
     rng = np.random.default_rng(1)
@@ -250,6 +304,66 @@ def test_neighbours_odd(spark):
     assert nearest_neighbours(df.limit(0), df.vec_id % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 25, 20_000])
+def test_neighbours_recall_at_size(spark, query_bytes):
+    """2,000 vectors in two shards: a tenth of them verified for each query is enough."""
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    vectors = dict(pairs(df, "vec_id", "embedding"))
+    queries = [i for i in vectors if i % 50 == 0]
+    ids, rows = np.array(list(vectors)), np.array([np.array(v, float) for v in vectors.values()])
+    unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+    got = {}
+    for r in nearest_neighbours(df, df.vec_id % 50 == 0, shard=1000, query_bytes=query_bytes).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = 0
+    for q in queries:
+        near = ids[np.argsort(-(unit @ unit[np.flatnonzero(ids == q)[0]]), kind="stable")]
+        found += len(got[q] & set(near[near != q][:5].tolist()))
+    assert set(got) == set(queries) and found >= 0.9 * 5 * len(queries)
+
+
+# ---- names that clash with the operators' own
+
+
+def test_clashing_columns(spark):
+    own = ["_found", "_doc", "_of", "_places", "_keep", "_id", "_rate", "_copy", "_quality", "_goes"]
+    line = "a line that several documents share, and long enough to be a key of its own"
+    docs = spark.createDataFrame([(k, f"{line}\nmore {k}", *[c + str(k) for c in own]) for k in range(6)], f"doc_id long, text string, {', '.join(c + ' string' for c in own)}")
+    bench = spark.createDataFrame([(1, "more 3")], "item_id long, text string")
+    kept = decontaminated(docs, bench)
+    assert kept.columns == docs.columns and {(r.doc_id, r._found) for r in kept.collect()} == {(k, f"_found{k}") for k in range(6) if k != 3}
+    lines = drop_shared_lines(docs, min_docs=3).collect()
+    assert {(r.doc_id, r._doc, r._places, r.lines.n_dropped) for r in lines} == {(k, f"_doc{k}", f"_places{k}", int(k < 5)) for k in range(6)}
+    rates = spark.createDataFrame([(k, 1.0) for k in range(6)], "doc_id long, rate double")
+    assert {(r.doc_id, r._rate, r._copy, r._id) for r in mixed(docs, rates).collect()} == {(k, f"_rate{k}", f"_copy{k}", f"_id{k}") for k in range(6)}
+    for single in (without_near_duplicates(docs), without_similar(docs)):
+        assert single.columns == docs.columns and all(r._keep == f"_keep{r.doc_id}" for r in single.collect())
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Each row loses its own lines, wherever they stand in it."""
+    line = "a line that several documents share, and long enough to be a key of its own"
+    rows = [(1, f"x\n{line}\ny"), (1, f"{line}\nz\n{line}"), (2, line), (3, line), (None, line)]
+    got = sorted((r.doc_id or 0, r.lines.kept_text, r.lines.n_dropped) for r in drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).collect())
+    assert got == [(0, line, 0), (1, "x\ny", 1), (1, "z", 2), (2, "", 1), (3, line, 0)]
+
+
+def test_odd_radius(spark):
+    with pytest.raises(ValueError):
+        fingerprint_links(spark.createDataFrame([(0,), (7,)], "fp long"), 3)
+
+
+def test_scratch_on_a_cluster():
+    """Without a shared folder a cluster's executors would write where nobody else can read."""
+    from types import SimpleNamespace
+
+    from tempora.llm._common import scratch
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch(session)
+
+
 def test_text_slices():
     from tempora.llm._common import slices
 

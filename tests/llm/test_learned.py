@@ -2,15 +2,16 @@
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
 from tempora.llm import queries as Q
-from tempora.llm.html_text import lines_of, main_text, page_texts
-from tempora.llm.mixing import mixed, mixing_rates, posteriors
+from tempora.llm.html_text import DIVE, SHARE, SURGE, lines_of, main_text, page_texts
+from tempora.llm.mixing import EVIDENCE, mixed, mixing_rates, posteriors
 from tempora.llm.quality import held_out, quality_scores
-from tempora.llm.toxicity import toxicity_scores
+from tempora.llm.toxicity import LabelModel, toxicity_scores
 
 SF = f"{DATA}/sf0.01"
 
@@ -57,9 +58,63 @@ def test_toxicity_means_the_same_under_a_cap(spark):
     assert np.mean(np.array(capped) >= 0.5) == pytest.approx(np.mean(np.array(whole) >= 0.5), abs=0.03)
 
 
+def test_wrong_labels_are_outvoted():
+    """A tenth of the labels of either kind turned: the label model doesn't copy them, since they cast no vote."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(4000) < 0.3
+    votes = np.stack([rng.random(4000) < np.where(truth, a, b) for a, b in [(0.6, 0.02), (0.5, 0.03), (0.7, 0.05), (0.4, 0.01), (0.55, 0.04), (0.3, 0.02)]], axis=1).astype(float)
+    votes = np.hstack([votes, votes[:, :1]])  # one voter twice: it must not count twice
+    turned = rng.random(4000) < 0.1
+    model = LabelModel.fit(votes, truth ^ turned, np.ones(4000))
+    label = model.posterior(votes) >= 0.5
+    assert (label[turned] == truth[turned]).mean() >= 0.8 and (label == truth).mean() >= 0.9
+    assert model.share[0] == model.share[-1] < 0.7 and model.share[1:6].min() > model.share[0]
+    assert np.allclose(model.fires[1][1], 0.5, atol=0.06) and np.allclose(model.fires[0][1], 0.03, atol=0.03)
+
+
+def test_toxicity_with_turned_labels(spark):
+    """The whole operator, with a tenth of the learning labels turned, still tells the held-out rows apart."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    rows = toxicity_scores(docs, turned, learn=~held_out(5, 0)).where(held_out(5, 0)).join(labels, "doc_id").collect()
+    assert auc([(r.score, r.toxic) for r in rows if r.toxic is not None]) >= 0.85
+
+
+def test_votes_of_all_voters(spark):
+    """Scores are those of one voter after another."""
+    from tempora.llm.quality import NEIGHBOURS, _unit, fit_voters, terms
+
+    docs, labels = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    voters = fit_voters(docs, labels, ~held_out(4, 2))
+    rows = docs.collect()
+    unit = _unit((terms(pa.array([r.text for r in rows], pa.string())) - voters.mean) @ voters.directions)
+    want = {r.doc_id: plain.vote(u, voters.vectors, voters.labels, NEIGHBOURS) for r, u in zip(rows, unit)}
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels, ~held_out(4, 2)).collect()}
+    assert len(got) == len(want) and sum(abs(got[i] - want[i]) > 1e-3 for i in want) <= 0.01 * len(want)  # single precision may swap near ties
+
+
 # ---- mixing
 
 
+def test_posteriors_by_hand(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = Q.labelled_domains(docs, spark.read.parquet(f"{DATA}/sf0.001/labels.parquet"))
+    domains = sorted(Q.DOMAIN_TARGETS)
+    of = {r.doc_id: r.domain for r in known.collect() if r.domain in domains}
+    want = plain.posteriors([(r.doc_id, r.text) for r in docs.collect()], of, domains, 300, EVIDENCE)
+    rows = mixing_rates(docs, known, Q.DOMAIN_TARGETS, vocabulary=300).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.n_tokens == want[r.doc_id][0] and [r[f"p_{k}"] for k in range(4)] == pytest.approx(want[r.doc_id][1], abs=1e-6)
+    n, p = np.array([r.n_tokens for r in rows], float), np.array([want[r.doc_id][1] for r in rows])
+    goal = np.array([Q.DOMAIN_TARGETS[d] for d in domains]) * n.sum()
+    # the same descent on arrays: steps in the metric of the expected tokens, rates held at zero or more
+    metric, rate = np.linalg.pinv((p * n[:, None]).T @ p), np.ones(len(rows))
+    for _ in range(500):
+        rate = np.maximum(0, rate - p @ (metric @ ((n * rate) @ p - goal)))
+    assert np.abs((n * rate) @ p - goal).max() <= 1e-3 * n.sum()
+    assert [r.rate for r in rows] == pytest.approx(rate.tolist(), abs=1e-2)
+
 def test_mixing_meets_targets(spark):
     rows = Q.op1_mixing(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -144,6 +199,38 @@ def test_link_weights():
     assert weigh(f"<div><p><a href='/x'>open</p><p>{LONG}</p></div>") == [0, len(LONG)]
 
 
+@pytest.mark.parametrize("name", ["post-share", "search-results", "article-tags", "content-side", "alert-story"])
+def test_names_do_not_hide_the_article(name):
+    """A name that hints at an aside says nothing about an element with most of the text."""
+    assert main_text(f"<body><nav>Home</nav><div class='{name}'><h1>Head</h1>{TEXT}</div><footer>Imprint</footer></body>") == f"Head {LONG} {LONG}"
+    assert main_text(f"<body><div id='text'>{TEXT}</div><div class='{name}'><p>{LONG[:70]}!</p></div></body>") == f"{LONG} {LONG}"
+
+
+def test_linked_paragraphs():
+    linked = "<p><a href='/y'>A linked sentence of the article.</a></p>"
+    assert main_text(f"<article>{TEXT}{linked}{TEXT}</article>") == f"{LONG} {LONG} A linked sentence of the article. {LONG} {LONG}"
+
+
+def random_page(rng):
+    out = []
+    for _ in range(int(rng.integers(1, 30))):
+        said = " ".join("abcdefgh"[: int(rng.integers(1, 9))] for _ in range(int(rng.integers(0, 25)) if rng.random() < 0.6 else int(rng.integers(0, 4))))
+        out.append(rng.choice([f"<p>{said}</p>", f"<li><a href='/'>{said}</a></li>", f"<div class='x'>{said}</div>", f"<aside>{said}</aside>"]))
+    return "".join(out)
+
+
+def test_windows_decide():
+    """By chance: the kept lines are those of a plain version; window and thresholds change what is kept."""
+    rng = np.random.default_rng(6)
+    pages, changed = [random_page(rng) for _ in range(300)], {"window": 0, "surge": 0, "dive": 0}
+    for page in pages:
+        for window, surge, dive in ((3, SURGE, DIVE), (5, 200, 20), (1, 40, 40)):
+            assert main_text(page, window, surge, dive) == " ".join(plain.kept_lines(lines_of(page), window, surge, dive, SHARE))
+        for name, value in (("window", 7), ("surge", 300), ("dive", 90)):
+            changed[name] += main_text(page) != main_text(page, **{name: value})
+    assert min(changed.values()) >= 15
+
+
 def test_pages_query(spark):
     rows = Q.op10_html_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
