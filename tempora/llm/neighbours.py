@@ -24,6 +24,10 @@ from tempora.llm._common import in_arrow, saved
 
 #: Vectors of a shard, and bytes of queries that are broadcast at once.
 SHARD, QUERY_BYTES = 8192, 32 << 20
+#: Width at which windows open. Projections are of unit vectors on standard normal axes, so those of vectors with a cosine of 0.8 are 0.6 apart.
+OPENING = 0.6
+#: Vectors of a shard that are verified for each neighbour asked, at the least: among few vectors the nearest hardly stand out.
+AT_LEAST = 120
 _SEED = 7
 
 
@@ -77,7 +81,7 @@ class Shard:
 
     def candidates(self, at: np.ndarray, most: int, least: float, step: float) -> Iterator[tuple[int, np.ndarray]]:
         """(query, candidates) for the queries whose projections are the rows of `at`."""
-        n, left, width = len(self.ids), np.arange(len(at)), step
+        n, left, width = len(self.ids), np.arange(len(at)), OPENING
         counts, low, high = np.zeros((len(at), n), np.uint16), None, None
         while len(left):
             lo, hi = self.windows(at[left], width)
@@ -98,7 +102,7 @@ class Shard:
 
 def _nearest(shard: Shard, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray, k: int, threshold: float, verified: float, step: float) -> list[tuple]:
     """(query_ids, vec_ids, scores) of each query's k nearest in the shard, all that tie with the last of them by smaller id."""
-    out, most = [], max(20 * k, math.ceil(verified * len(shard.ids)))
+    out, most = [], max(AT_LEAST * k, math.ceil(verified * len(shard.ids)))
     for a in range(0, len(ids), 256):
         at = (_unit(vectors[a : a + 256]) @ axes).astype(np.float32)
         for q, found in shard.candidates(at, most, threshold * axes.shape[1], step):
@@ -114,7 +118,7 @@ def _nearest(shard: Shard, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarra
 
 
 def nearest_neighbours(
-    vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, threshold: float = 0.4, verified: float = 0.1, step: float = 0.2,
+    vectors: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 96, threshold: float = 0.6, verified: float = 0.06, step: float = 0.1,
     shard: int = SHARD, query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `query` holds, its k nearest other rows by cosine, nearest first.
