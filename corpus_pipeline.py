@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm._common import saved, scratch
+from tempora.llm._common import saved, scratch, temporary
 from tempora.llm.decontaminate import decontaminated
 from tempora.llm.mixing import mixed, mixing_rates
 from tempora.llm.quality import held_out, quality_scores
@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        with temporary() as area:
+            docs = area.keep(saved(stage(spark, docs, sf_dir)))
     return docs

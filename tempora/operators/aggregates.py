@@ -15,19 +15,53 @@ def long_form(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Da
     return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("_")).select(*keys, "_.feature", "_.value")
 
 
+def value_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n, before, total) for each distinct number of each key: how often it is there, how many rows are less, how many there are.
+
+    For keys that may hold any share of the rows: equal values are counted before the shuffle, and the values are cut
+    at quantiles of the whole table into levels, so that a key is sorted by as many tasks as it has levels. Nulls have no rank.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = known.agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    level = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("_level", level)
+    whole = Window.partitionBy(*keys)
+    levels = counts.groupBy(*keys, "_level").agg(F.sum("n").alias("_m")).withColumn("total", F.sum("_m").over(whole))
+    levels = levels.withColumn("_ahead", F.sum("_m").over(whole.orderBy("_level")) - F.col("_m")).drop("_m")
+    within = F.sum("n").over(Window.partitionBy(*keys, "_level").orderBy(value)) - F.col("n")
+    ranked = counts.withColumn("_within", within).join(levels, [*keys, "_level"])
+    return ranked.select(*keys, value, "n", (F.col("_ahead") + F.col("_within")).alias("before"), "total")
+
+
+def _at(index: Column, value: str) -> Column:
+    """The value at an index of a key's sorted values, as an aggregate over value_ranks."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col(value)))
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """(keys, name, ...) of the values at (n - 1) p of each key's sorted values, between two of them in proportion."""
+    place = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    ends = [c for n, p in parts.items() for c in (_at(F.floor(place(p)), value).alias(f"_low_{n}"), _at(F.ceil(place(p)), value).alias(f"_high_{n}"))]
+    found = value_ranks(rows, keys, value).groupBy(*keys, "total").agg(*ends)
+    mixed = lambda n, p: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (place(p) - F.floor(place(p)))
+    return found.select(*keys, *[mixed(n, p).alias(n) for n, p in parts.items()])
+
+
 def describe(rows: DataFrame, keys: Sequence[str], value: str = "value", digits: int = 6) -> DataFrame:
     """Count, missing, least, quartiles (linear), mean, largest and sample deviation of each group; deviation is null below two."""
-    quartiles = F.percentile(value, [0.25, 0.5, 0.75])
-    out = rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.min(value).alias("least"), quartiles.alias("_q"),
-        F.avg(value).alias("mean"), F.max(value).alias("largest"), F.stddev_samp(value).alias("deviation"),
+    plain = rows.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("largest"), F.stddev_samp(value).alias("deviation"),
     )
-    r = lambda c: F.round(c, digits)
-    return out.select(*keys, "n", "missing", r("least").alias("least"), r(F.col("_q")[0]).alias("q1"), r(F.col("_q")[1]).alias("median"), r("mean").alias("mean"), r(F.col("_q")[2]).alias("q3"), r("largest").alias("largest"), r("deviation").alias("deviation"))
+    out = plain.join(quantiles(rows, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), list(keys), "left")
+    return out.select(*keys, "n", "missing", *[F.round(c, digits).alias(c) for c in ("least", "q1", "median", "mean", "q3", "largest", "deviation")])
 
 
-def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, parts: Sequence[float]) -> DataFrame:
-    """The value at index half_up((n - 1) p) of each group's sorted values, for each p. Ranks come from a window, so no group is a list."""
+def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, parts: Sequence[float], few_keys: bool = False) -> DataFrame:
+    """The value at index half_up((n - 1) p) of each group's sorted values, for each p. Ranks come from a window, so no
+    group is a list; with `few_keys`, a group may be any share of the table and is ranked by several tasks."""
+    if few_keys:
+        return value_ranks(rows, keys, value).groupBy(*keys).agg(*[_at(half_up((F.col("total") - 1) * p), value).alias(f"p{round(100 * p)}") for p in parts])
     ordered = Window.partitionBy(*keys).orderBy(value)
     ranked = rows.where(F.col(value).isNotNull()).withColumn("_rank", F.row_number().over(ordered) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     picks = [F.max(F.when(F.col("_rank") == half_up((F.col("_n") - 1) * p), F.col(value))).alias(f"p{round(100 * p)}") for p in parts]
@@ -36,8 +70,9 @@ def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, parts: Sequen
 
 def standardization(rows: DataFrame, keys: Sequence[str], value: str = "value", digits: int = 6) -> DataFrame:
     """Median and 1.4826 MAD of each group; the sample deviation where the MAD is zero; null where that is zero too."""
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
-    spread = rows.join(centre, list(keys)).groupBy(*keys).agg(F.first("_m").alias("_m"), F.first("_sd").alias("_sd"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("_mad"))
+    centre = quantiles(rows, keys, value, {"_m": 0.5}).join(rows.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd")), list(keys))
+    away = rows.join(centre, list(keys)).withColumn("_away", F.abs(F.col(value) - F.col("_m")))
+    spread = centre.join(quantiles(away, keys, "_away", {"_mad": 0.5}), list(keys))
     scale = F.when(F.col("_mad") > 0, F.col("_mad") * 1.4826).when(F.col("_sd") > 0, F.col("_sd"))
     return spread.select(*keys, F.round("_m", digits).alias("centre"), F.round(scale, digits).alias("scale"))
 
@@ -62,12 +97,15 @@ def confusion(pairs: DataFrame, keys: Sequence[str], left: str, right: str, cate
 def weighted_kappa(pairs: DataFrame, keys: Sequence[str], left: str, right: str, quadratic: bool, categories: int = 4) -> DataFrame:
     """Cohen's kappa of each group, weighted by distance or its square; null where chance leaves nothing to disagree on.
 
-    Observed disagreement is a mean over pairs; the expected one comes from the counts of either side's categories.
+    Pairs with a null take no part; a score that is no category fails the query. Observed disagreement is a mean over pairs; the expected one comes from the counts of either side's categories.
     """
-    d = F.abs(F.col(left) - F.col(right)) / (categories - 1)
+    rated = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    stray = ~F.col(left).isin(*range(categories)) | ~F.col(right).isin(*range(categories))
+    checked = F.when(stray, F.raise_error(F.concat(F.lit("no category: "), F.col(left).cast("string"), F.lit(", "), F.col(right).cast("string"))).cast("double"))
+    d = F.coalesce(checked, F.abs(F.col(left) - F.col(right)) / (categories - 1))
     weight = d * d if quadratic else d
     sides = [F.count_if(F.col(side) == c).alias(f"{name}{c}") for name, side in (("l", left), ("r", right)) for c in range(categories)]
-    sums = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(weight).alias("_observed"), *sides)
+    sums = rated.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(weight).alias("_observed"), *sides)
     cost = lambda i, j: abs(i - j) / (categories - 1)
     expected = sum((F.col(f"l{i}") * F.col(f"r{j}") * (cost(i, j) ** 2 if quadratic else cost(i, j)) for i in range(categories) for j in range(categories) if i != j), F.lit(0.0)) / (F.col("n") * F.col("n"))
     return sums.select(*keys, "n", F.round(1 - F.try_divide(F.col("_observed"), F.nullif(expected, F.lit(0.0))), 4).alias("kappa"))
@@ -84,9 +122,9 @@ def hedges_g(rows: DataFrame, keys: Sequence[str], group: str, low: object, high
 
 
 def average_rank(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 within each group; ties share the mean of theirs."""
-    peers = Window.partitionBy(*keys, value)
-    return rows.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(peers) - 1) / 2)
+    """Ranks from 1 within each group; ties share the mean of theirs. Rows without value go."""
+    ranks = value_ranks(rows, keys, value).select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "r", digits: int = 6) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,24 +37,47 @@ def active_periods(
     return S.merged_periods(wide.where(F.col("end") - F.col("start") >= shortest).select(*keys, "start", "end"), keys, gap)
 
 
-def cycles(
-    rows: DataFrame, keys: Sequence[str], time: str, signal: str, low: float = 0.2, high: float = 0.9, peak_part: float = 0.52, boundary_part: float = 0.22, least: float = 0.05, gap: float = 3.2, width: int = 5, overlap: float = 0.5,
-) -> DataFrame:
-    """(keys, start, peak, end, strength): rises of a signal over `peak_part` of its range, from the boundary level before to that after.
+@dataclass(frozen=True)
+class Cycling:
+    """How cycles are found in a signal: percentiles that span its range, parts of the range where peaks begin and cycles end,
+    the least range, the least gap of peaks, and what is added before and after, in seconds."""
+
+    low: float = 0.2
+    high: float = 0.9
+    peak_part: float = 0.52
+    boundary_part: float = 0.22
+    least: float = 0.05
+    gap: float = 3.2
+    before: float = 0.3
+    after: float = 0.35
+    width: int = 5
+
+
+def cycles(rows: DataFrame, keys: Sequence[str], time: str, signal: str, how: Cycling, visibility: str | None = None, smooth: bool = True) -> DataFrame:
+    """(keys, start, end, anchor, strength, baseline, amplitude, visibility): rises of a signal, smoothed first unless told
+    otherwise, over the peak level, from the boundary level before to that after.
 
-    The range is from the `low` to the `high` percentile of the smoothed signal; keys whose range is under `least` have
-    no cycles. Of peaks within `gap` the stronger stays, and so of cycles that share `overlap` of the shorter one.
+    Keys with fewer than twice the window's rows, or whose range is under the least, have none. Of peaks nearer than
+    the gap the higher stays. Starts and ends are moved out, held within the key's times and rounded to 2 digits;
+    visibility is the mean of the rows from start to end.
     """
     every = Window.partitionBy(*keys)
-    smooth = S.centred_mean(rows, keys, [time], signal, width, "_v").withColumn("_n", F.count("*").over(every)).where(F.col("_n") >= 2 * width)
-    levelled = with_levels(smooth, keys, "_v", low, high).withColumn("_range", F.col("_high") - F.col("_low")).where(F.col("_range") >= least)
-    # in units of the range, so that one level fits all keys
-    unit = levelled.withColumn("_u", (F.col("_v") - F.col("_low")) / F.col("_range"))
-    bounded = S.boundaries(unit, keys, time, "_u", boundary_part)
-    tops = S.islands(bounded, keys, [time], F.col("_u") >= peak_part)
-    best = F.max_by(F.struct(F.col("boundary_start").alias("start"), F.col(time).alias("peak"), F.col("boundary_end").alias("end"), F.col("_u").alias("strength")), F.struct("_u", -F.col(time)))
-    peaks = tops.groupBy(*keys, "island").agg(best.alias("_")).select(*keys, "_.*")
-    return M.drop_overlaps(M.merge_peaks(peaks, keys, "peak", "strength", gap), keys, "strength", overlap)
+    even = S.centred_mean(rows, keys, [time], signal, how.width, "_v") if smooth else rows.withColumn("_v", F.col(signal))
+    even = even.withColumn("_v", F.round("_v", 9)).withColumn("_n", F.count("*").over(every)).where(F.col("_n") >= 2 * how.width)
+    bounded = even.withColumn("_first", F.min(time).over(every)).withColumn("_last", F.max(time).over(every)).withColumn("_seen", F.col(visibility) if visibility else F.lit(None).cast("double"))
+    levelled = with_levels(bounded, keys, "_v", how.low, how.high).withColumn("_range", F.col("_high") - F.col("_low")).where(F.col("_range") >= how.least)
+    level = levelled.withColumn("_edge", F.col("_low") + F.col("_range") * how.boundary_part)
+    near = S.boundaries(level, keys, time, "_v", F.col("_edge"))
+    tops = S.islands(near, keys, [time], F.col("_v") >= F.col("_low") + F.col("_range") * how.peak_part)
+    hold = lambda t: F.round(F.least(F.greatest(t, F.col("_first")), F.col("_last")), 2)
+    start, end = hold(F.col("boundary_start") - how.before), hold(F.col("boundary_end") + how.after)
+    best = F.max_by(F.struct(F.col(time).alias("anchor"), F.col("_v").alias("strength"), start.alias("start"), end.alias("end"), F.col("_low").alias("baseline"), F.col("_range").alias("amplitude")), F.struct("_v", -F.col(time)))
+    found = M.merge_peaks(tops.groupBy(*keys, "island").agg(best.alias("_")).select(*keys, "_.*"), keys, "anchor", "strength", how.gap)
+    seen = levelled.groupBy(*keys).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col("_seen").alias("v"))).alias("_seen"))
+    inside = F.transform(F.filter("_seen", lambda r: (r["t"] >= F.col("start")) & (r["t"] <= F.col("end")) & r["v"].isNotNull()), lambda r: r["v"])
+    mean = F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda a, v: a + v) / F.size(inside))
+    out = found.join(seen, list(keys))
+    return out.select(*keys, "start", "end", F.round("anchor", 2).alias("anchor"), *[F.round(c, 4).alias(c) for c in ("strength", "baseline", "amplitude")], F.round(mean, 6).alias("visibility"))
 
 
 def segment_evaluation(start: Column, end: Column, cycle_start: Column, cycle_end: Column, tolerance: float = 0.35, wide: float = 2.0, coverage: float = 0.85) -> tuple[Column, Column]:

@@ -20,8 +20,8 @@ def must_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, right_id: str) -> DataFrame:
     """left with the right row of the same key whose time is nearest, either way; ties go to the earlier one.
 
-    Both sides are put in one time order, and each left row looks back and ahead: one shuffle and one sort, where a
-    join would make every pair of a key. Left rows of a key without right rows keep nulls.
+    Both sides are put in one time order, and each left row looks back and ahead: one shuffle and a sort for either
+    direction, where a join would make every pair of a key. Left rows of a key without right rows keep nulls.
     """
     a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(f"struct<t:{right.schema[right_time].dataType.simpleString()},id:{right.schema[right_id].dataType.simpleString()}>"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_time).alias("t"), F.col(right_id).alias("id")).alias("_hit"))
@@ -47,9 +47,16 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
     return points.withColumn("_cell", cell(F.col(at))).join(dealt, [*keys, "_cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_cell")
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], least: float = 0.0, of_shorter: bool = False) -> DataFrame:
-    """Pairs of intervals (start, end on the left; r_start, r_end on the right) of the same key, with their overlap ratio over `least`."""
-    pairs = left.join(right, list(keys)).where((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")))
+def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float, least: float = 0.0, of_shorter: bool = False) -> DataFrame:
+    """Pairs of intervals (start, end on the left; r_start, r_end on the right) of the same key, with their overlap ratio over `least`.
+
+    Times are seconds. Both are dealt to each bucket of time that they touch, and a pair is made in the first bucket
+    that it shares. `bucket` should be near the usual interval.
+    """
+    cell = lambda t: F.floor(t / F.lit(bucket))
+    dealt = lambda rows, a, b: rows.withColumn("_cell", F.explode(F.sequence(cell(F.col(a)), cell(F.col(b)))))
+    pairs = dealt(left, "start", "end").join(dealt(right, "r_start", "r_end"), [*keys, "_cell"])
+    pairs = pairs.where((F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end")) & (F.col("_cell") == cell(F.greatest("start", "r_start")))).drop("_cell")
     ratio = overlap_ratio(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"), of_shorter)
     return pairs.withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") > least)
 
@@ -97,13 +104,46 @@ def layered(base: DataFrame, layers: Sequence[tuple[DataFrame, Sequence[str]]],
     return out.select(*base.columns, *[F.coalesce(*picks[f], F.lit(defaults[f])).alias(f) for f in fields])
 
 
-def contained_titles(small: DataFrame, large: DataFrame, title: str, other: str, near: Column | None = None, shortest: int = 10) -> DataFrame:
-    """Pairs in which the small table's title, `shortest` characters and two words or more, stands in the other text, from a word's start on.
+def _inside(short: DataFrame, long: DataFrame, title: str, other: str, shortest: int) -> DataFrame:
+    """Pairs in which `title`, `shortest` characters or more, stands in the longer text `other`.
 
-    Such a text has the title's first word as a word of its own, so the join is on equal words before it looks for the title.
+    A title of three words or more has an inner word with white space on both sides, which any text that holds the
+    title has as a word of its own: the join is on the longest such word. Other titles have none and are looked for
+    by their first `shortest` characters among all runs of so many in the texts.
     """
-    heads = small.where((F.length(title) >= shortest) & F.col(title).rlike(r"^\S+\s+\S")).withColumn("_head", F.regexp_extract(title, r"^(\S+)", 1))
-    said = large.withColumn("_head", F.explode(F.array_distinct(F.split(other, r"\s+"))))
-    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"\s", " "))
-    pairs = said.join(heads, "_head").where(F.contains(padded(F.col(other)), padded(F.col(title))))
-    return (pairs.where(near) if near is not None else pairs).drop("_head")
+    most = long.agg(F.max(F.length(other))).first()[0] or 0
+    titles = short.where(F.length(title).between(shortest, most))
+    inner = F.slice(F.split(title, r"\s+"), 2, F.greatest(F.lit(0), F.size(F.split(title, r"\s+")) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    titles = titles.withColumn("_key", F.nullif(longest, F.lit("")))
+    worded, bare = titles.where("_key IS NOT NULL"), titles.where("_key IS NULL").withColumn("_key", F.substring(title, 1, shortest))
+    said = long.withColumn("_key", F.explode(F.array_distinct(F.split(other, r"\s+"))))
+    runs = long.where(F.length(other) >= shortest).withColumn("_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(other) - shortest + 1), lambda k: F.substr(F.col(other), k, F.lit(shortest))))))
+    found = said.join(worded, "_key")
+    if not bare.isEmpty():
+        found = found.unionByName(runs.join(bare, "_key"))
+    return found.where(F.contains(F.col(other), F.col(title))).drop("_key")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, title: str, other: str, shortest: int = 10) -> DataFrame:
+    """Pairs of rows of the two tables whose titles are equal, or the shorter of which, `shortest` characters or more,
+    stands anywhere in the other."""
+    size, by = F.length(title), F.length(other)
+    columns = [*left.columns, *right.columns]
+    longer = _inside(left, right, title, other, shortest).where(size < by)
+    shorter = _inside(right, left, other, title, shortest).where(by < size)
+    equal = left.where(size > 0).join(right, F.col(title) == F.col(other))
+    return longer.select(columns).unionByName(shorter.select(columns)).unionByName(equal.select(columns))
+
+
+def duplicate_status(pairs: DataFrame, candidates: DataFrame, keys: Sequence[str], match: Sequence[str], duration: str, other_duration: str, near: float = 3.0, most: int = 5) -> DataFrame:
+    """(keys, status, matches) for each candidate: likely_duplicate if a pair's durations are within `near`, possible_duplicate
+    if only titles are alike, else new_candidate; and the first `most` matches, by `match`, each with its kind."""
+    close = F.coalesce(F.abs(F.col(duration) - F.col(other_duration)) <= near, F.lit(False))
+    kind = F.when(close, "title_and_duration").otherwise("title")
+    ranked = pairs.withColumn("_kind", kind).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*match)))
+    first = F.when(F.col("_n") <= most, F.struct("_n", *match, F.col("_kind").alias("kind")))
+    found = ranked.groupBy(*keys).agg(F.bool_or(F.col("_kind") == "title_and_duration").alias("_strong"), F.array_sort(F.collect_list(first)).alias("_m"))
+    out = candidates.select(*keys).join(found, list(keys), "left")
+    status = F.when(F.col("_strong").isNull(), "new_candidate").when(F.col("_strong"), "likely_duplicate").otherwise("possible_duplicate")
+    return out.select(*keys, status.alias("status"), F.transform(F.coalesce("_m", F.array()), lambda m: F.struct(*[m[c].alias(c) for c in match], m["kind"].alias("kind"))).alias("matches"))

@@ -17,25 +17,26 @@ def suggestion(ratings: Sequence[Column], visibility: Column, timing: Column) ->
     return total, F.round(rated * 0.45 + visibility * 0.35 + timing * 0.2, 4)
 
 
-def adjudicated(ai: Column, a: Column, b: Column) -> tuple[Column, Column]:
-    """(status, final score) of two reviewers and a suggestion.
+def adjudicated(ai: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """(status, source, final score) of two reviewers and a suggestion.
 
-    Without both reviewers it is pending. Equal reviewers are final. Reviewers one apart take the suggestion if it is
-    one of theirs; all else goes to an arbiter.
+    Without both reviewers it is pending. Equal reviewers are the consensus. Else a suggestion that equals either of
+    them decides, however far apart they are; without one the label is invalid.
     """
-    near = (F.abs(a - b) == 1) & ((ai == a) | (ai == b))
-    status = F.when(a.isNull() | b.isNull(), "pending").when(a == b, "agreed").when(F.coalesce(near, F.lit(False)), "assisted").otherwise("arbitration")
-    return status, F.when(status == "agreed", a).when(status == "assisted", ai)
+    match = F.coalesce((ai == a) | (ai == b), F.lit(False))
+    status = F.when(a.isNull() | b.isNull(), "pending").when((a == b) | match, "valid").otherwise("invalid")
+    source = F.when(status != "valid", "none").when(a == b, "human_consensus").otherwise("ai_human_match")
+    return status, source, F.when(source == "human_consensus", a).when(source == "ai_human_match", ai)
 
 
 def audit_class(first: Column, second: Column, historical: Column) -> Column:
-    """How a historical score stands to two rounds' consensus: stable, confirmed, disagrees, unstable, unaudited."""
+    """How a historical score stands to the consensus of two blind rounds; both rounds need one. The names are fixed values."""
     return (
-        F.when(first.isNull() & second.isNull(), "unaudited")
-        .when(first.isNotNull() & second.isNotNull() & (first != second), "unstable")
-        .when(historical.isNull(), "stable")
-        .when(F.coalesce(second, first) == historical, "confirmed")
-        .otherwise("disagrees")
+        F.when(first.isNull() | second.isNull(), "no_numeric_consensus_in_both_rounds")
+        .when(first != second, "blind_consensus_changed_between_rounds")
+        .when(historical.isNull(), "stable_blind_historical_label_missing")
+        .when(first == historical, "confirmed_audited_weak_label")
+        .otherwise("stable_blind_disagrees_with_historical")
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tempora.functions.scalars import clamp
+
 
 def _by(keys: Sequence[str], order: Sequence) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -46,7 +48,7 @@ def island_periods(rows: DataFrame, keys: Sequence[str], time: str, value: str)
     )
 
 
-def boundaries(rows: DataFrame, keys: Sequence[str], time: str, value: str, level: float) -> DataFrame:
+def boundaries(rows: DataFrame, keys: Sequence[str], time: str, value: str, level: float | Column) -> DataFrame:
     """For each row, the nearest times before and after it, itself too, where value is at or under level; else the first and the last time."""
     w = _by(keys, [time])
     low = F.when(F.col(value) <= level, F.col(time))
@@ -95,16 +97,30 @@ def switch_rate(rows: DataFrame, keys: Sequence[str], order: Sequence, value: st
     return out.withColumn("switch_rate", F.round(F.try_divide(F.col("switches"), F.nullif(F.col("n") - 1, F.lit(0))), 4))
 
 
-def until_next(rows: DataFrame, keys: Sequence[str], start: str, end: str, most: float) -> DataFrame:
-    """end moved to the next row's start where that is later, `most` away at the most."""
-    following = F.lead(start).over(_by(keys, [start]))
-    return rows.withColumn("extended", F.when((following > F.col(end)) & (following - F.col(end) <= most), following).otherwise(F.col(end)))
+def until_next(rows: DataFrame, keys: Sequence[str], start: str, end: str, recovery: float = 1.2, near: float = 2.5, digits: int = 2) -> DataFrame:
+    """`extended`, an end that takes in the way back: the next row's start if that is `near` or less away, else `recovery`
+    later, but never past the next start nor before the end itself."""
+    following, later = F.lead(start).over(_by(keys, [start, end])), F.col(end) + recovery
+    to = F.when((following - F.col(end)).between(0, near), following).otherwise(F.least(later, following))  # least() passes over null
+    return rows.withColumn("extended", F.round(F.greatest(F.col(end), to), digits))
+
 
+def consecutive_pairs(rows: DataFrame, keys: Sequence[str], start: str, end: str, side: str, expected: str, near: float = 2.5) -> DataFrame:
+    """Rows 1 and 2, 3 and 4, ... of each key as one (pair, start, end, side): forward and return.
 
-def consecutive_pairs(rows: DataFrame, keys: Sequence[str], order: Sequence, carry: str) -> DataFrame:
-    """Rows 1 and 2, 3 and 4, ... of each key as pairs; an odd last one is left alone."""
-    numbered = rows.withColumn("_n", F.row_number().over(_by(keys, order)) - 1).withColumn("pair", F.floor(F.col("_n") / 2))
-    return numbered.groupBy(*keys, "pair").agg(F.max(F.when(F.col("_n") % 2 == 0, F.col(carry))).alias("first"), F.max(F.when(F.col("_n") % 2 == 1, F.col(carry))).alias("second")).where("second IS NOT NULL")
+    All or none: a key has pairs only if it has twice the `expected` rows and each two are of one side, the second
+    starting 0 to `near` after the first's end.
+    """
+    numbered = rows.withColumn("_n", F.row_number().over(_by(keys, [start, end]))).withColumn("pair", F.floor((F.col("_n") - 1) / 2) + 1)
+    odd = F.col("_n") % 2 == 1
+    two = numbered.groupBy(*keys, "pair").agg(
+        F.count("*").alias("_of"), F.min(start).alias(start), F.max(end).alias(end), F.max(expected).alias("_expected"), F.min(side).alias(side), F.max(side).alias("_side"), F.count(side).alias("_sided"),
+        (F.max(F.when(~odd, F.col(start))) - F.max(F.when(odd, F.col(end)))).alias("_gap"),
+    )
+    fits = (F.col("_of") == 2) & (F.col("_sided") == 2) & (F.col(side) == F.col("_side")) & F.col("_gap").between(0, near)
+    whole = Window.partitionBy(*keys)
+    kept = two.withColumn("_fits", F.min(F.coalesce(fits, F.lit(False)).cast("int")).over(whole)).withColumn("_pairs", F.count("*").over(whole))
+    return kept.where((F.col("_fits") == 1) & (F.col("_pairs") == F.col("_expected"))).select(*keys, "pair", start, end, side)
 
 
 def edge_medians(rows: DataFrame, keys: Sequence[str], order: Sequence, value: str, part: float = 0.12, least: int = 3) -> DataFrame:
@@ -133,10 +149,11 @@ def repeated_flag(rows: DataFrame, keys: Sequence[str], name: str = "repeated")
     return rows.withColumn(name, F.count("*").over(Window.partitionBy(*keys)) > 1)
 
 
-def segments(rows: DataFrame, start: str, end: str, count: str, buffer: float, digits: int = 4) -> DataFrame:
-    """start..end cut into `count` equal parts, each widened by `buffer` times its length but held inside."""
-    length = (F.col(end) - F.col(start)) / F.col(count)
+def segments(rows: DataFrame, start: str, end: str, count: str) -> DataFrame:
+    """start..end, half a second at least, cut into `count` equal parts. Each begins 18 % of its length earlier, .55 to 1.4
+    seconds, and ends 22 % later, .65 to 1.6, but stays inside."""
+    length = F.greatest(F.col(end) - F.col(start), F.lit(0.5)) / F.col(count)
     out = rows.where(F.col(count) > 0).withColumn("segment", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
-    from_ = F.greatest(F.col(start), F.col(start) + (F.col("segment") - 1) * length - buffer * length)
-    to = F.least(F.col(end), F.col(start) + F.col("segment") * length + buffer * length)
-    return out.withColumn("segment_start", F.round(from_, digits)).withColumn("segment_end", F.round(to, digits))
+    from_ = F.greatest(F.col(start), F.col(start) + (F.col("segment") - 1) * length - clamp(length * 0.18, 0.55, 1.4))
+    to = F.least(F.col(end), F.col(start) + F.col("segment") * length + clamp(length * 0.22, 0.65, 1.6))
+    return out.withColumn("segment_start", F.round(from_, 2)).withColumn("segment_end", F.round(to, 2))

@@ -32,4 +32,4 @@ def micros(column: str = "ts") -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-from tempora.plans import descriptive, detection, matching, relational, review, temporal  # noqa: E402, F401
+from tempora.plans import descriptive, detection, matching, movements, relational, review, temporal  # noqa: E402, F401

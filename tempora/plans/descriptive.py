@@ -70,7 +70,7 @@ def describe_features(spark, sf_dir):
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(value) FILTER (k = floor((n - 1) * 0.25 + 0.5)) AS p25, max(value) FILTER (k = floor((n - 1) * 0.5 + 0.5)) AS p50, max(value) FILTER (k = floor((n - 1) * 0.92 + 0.5)) AS p92 FROM r GROUP BY 1""")
 def nearest_rank_percentile(spark, sf_dir):
-    return A.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.92])
+    return A.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.92], few_keys=True)
 
 
 _MAD = f"""
@@ -168,7 +168,7 @@ def _z(spark, sf_dir):
 
 
 def _distances(spark, sf_dir):
-    return C.pair_distances(_z(spark, sf_dir), ["p_brand"], "p_partkey", "feature", "z", 2)
+    return C.pair_distances(_z(spark, sf_dir), ["p_brand"], "p_partkey", "feature", "z", 2, ["size", "price"])
 
 
 @query(f"WITH {_PART_LONG} SELECT p_brand, a, b, round(distance, 6) AS distance, shared FROM p")
@@ -185,7 +185,7 @@ def outlier_score(spark, sf_dir):
 WITH {_PART_LONG}, w AS (SELECT p_brand, a, b, distance FROM p UNION ALL SELECT p_brand, b, a, distance FROM p),
 g AS (SELECT p_brand, a, a % 3 AS ga, b % 3 AS gb, avg(distance) AS mean FROM w GROUP BY 1, 2, 3, 4),
 o AS (SELECT p_brand, a AS p_partkey, ga AS grp, max(mean) FILTER (ga = gb) AS own, min(mean) FILTER (ga <> gb) AS other FROM g GROUP BY 1, 2, 3)
-SELECT p_brand, p_partkey, grp, round(own, 6) AS own, round(other, 6) AS other, round(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END, 6) AS silhouette FROM o""")
+SELECT p_brand, p_partkey, grp, round(own, 6) AS own, round(other, 6) AS other, CASE WHEN own IS NOT NULL AND other IS NOT NULL THEN CASE WHEN greatest(own, other) > 0 THEN round((other - own) / greatest(own, other), 6) ELSE 0 END END AS silhouette FROM o""")
 def silhouette(spark, sf_dir):
     groups = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 3).alias("grp"))
     return C.silhouettes(_distances(spark, sf_dir), groups, ["p_brand"], "p_partkey", "grp").withColumn("own", F.round("own", 6)).withColumn("other", F.round("other", 6))

@@ -25,12 +25,6 @@ def adaptive_active_periods(spark, sf_dir):
     return D.active_periods(rows, ["user_id"], "t", "value", before=600.0, after=800.0, shortest=900.0, gap=3600.0)
 
 
-@query()
-def movement_cycles(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("t", micros() / 1e6)
-    return D.cycles(rows, ["user_id"], "t", "value", gap=7200.0)
-
-
 _SEGMENTS = "SELECT o_orderkey, CAST(o_custkey % 7 AS DOUBLE) AS s, CAST(o_custkey % 7 + 5 + o_orderkey % 4 AS DOUBLE) AS e, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 9 AS DOUBLE) END AS cs, CAST(o_orderkey % 9 + 6 AS DOUBLE) AS ce FROM orders"
 
 

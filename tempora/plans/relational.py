@@ -26,9 +26,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(rich, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
-    rich = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    rich = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(rich, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -42,10 +42,11 @@ def full_outer_merge(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer)
+WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
 SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unexpected' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def key_set_difference(spark, sf_dir):
-    return J.key_differences(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+    rich = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))
+    return J.key_differences(rich, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n, 'duplicate' AS problem FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -74,12 +75,28 @@ def override_layers(spark, sf_dir):
     return J.layered(c, [(nations, ["c_nationkey"]), (own, ["c_custkey"])], ["view"], {"view": "default"}).select("c_custkey", "view")
 
 
-@query("""
-WITH b AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 10 AND regexp_matches(text, '^\\S+\\s+\\S'))
-SELECT doc_id, item_id FROM documents d JOIN b ON contains(' ' || regexp_replace(d.text, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g'), ' ' || regexp_replace(b.text, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g'))""")
+_ALIKE = """SELECT item_id, doc_id, CASE WHEN abs(length(b.text) - n_chars) <= 3 THEN 'title_and_duration' ELSE 'title' END AS kind FROM benchmark b JOIN documents d
+ON length(b.text) < length(d.text) AND length(b.text) >= 10 AND contains(d.text, b.text) OR length(d.text) < length(b.text) AND length(d.text) >= 10 AND contains(b.text, d.text) OR b.text = d.text AND b.text <> ''"""
+
+
+def _alike(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"), F.length("text").alias("seconds"))
+    return J.similar_titles(items, table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "title", "text")
+
+
+@query(f"SELECT item_id, doc_id FROM ({_ALIKE})")
 def fuzzy_theta_join(spark, sf_dir):
-    small = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    return J.contained_titles(small, table(spark, sf_dir, "documents").select("doc_id", "text"), "title", "text").select("doc_id", "item_id")
+    return _alike(spark, sf_dir).select("item_id", "doc_id")
+
+
+@query(f"""
+WITH p AS ({_ALIKE}), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM p),
+m AS (SELECT item_id, bool_or(kind = 'title_and_duration') AS strong, string_agg(doc_id || ':' || kind, ',' ORDER BY n) FILTER (n <= 5) AS matches FROM r GROUP BY 1)
+SELECT item_id, CASE WHEN strong IS NULL THEN 'new_candidate' WHEN strong THEN 'likely_duplicate' ELSE 'possible_duplicate' END AS status, coalesce(matches, '') AS matches FROM benchmark LEFT JOIN m USING (item_id)""")
+def duplicate_candidates(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    found = J.duplicate_status(_alike(spark, sf_dir), items, ["item_id"], ["doc_id"], "seconds", "n_chars")
+    return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["doc_id"], m["kind"])), ","))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY 1")
@@ -88,11 +105,11 @@ def content_dedupe(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT text, doc_id, source, sha256(text) AS h FROM documents)
-SELECT left(text, 20) AS head, arg_min(source, doc_id) AS first_source, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(DISTINCT h) AS contents, count(DISTINCT h) > 1 AS conflict FROM h GROUP BY 1""")
+WITH h AS (SELECT turn, role, conv_id, sha256(text) AS h FROM conversations)
+SELECT turn, arg_min(role, conv_id) AS first_source, array_to_string(list_sort(list_distinct(list(role))), ',') AS sources, count(DISTINCT h) AS contents, count(DISTINCT h) > 1 AS conflict FROM h GROUP BY 1""")
 def content_conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.substring("text", 1, 20).alias("head"), "doc_id", "source", F.sha2("text", 256).alias("h"))
-    return D.conflicts(rows, "head", F.col("h"), "doc_id", "source").withColumn("sources", F.array_join("sources", ","))
+    rows = table(spark, sf_dir, "conversations").select("turn", "conv_id", "role", F.sha2("text", 256).alias("h"))
+    return D.conflicts(rows, "turn", F.col("h"), "conv_id", "role").withColumn("sources", F.array_join("sources", ","))
 
 
 @query("""

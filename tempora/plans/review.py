@@ -36,16 +36,17 @@ def _scores(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({_SCORES}), t AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 'pending' WHEN a = b THEN 'agreed' WHEN abs(a - b) = 1 AND (ai = a OR ai = b) THEN 'assisted' ELSE 'arbitration' END AS status FROM s)
-SELECT o_orderkey, status, CASE status WHEN 'agreed' THEN a WHEN 'assisted' THEN ai END AS final FROM t""")
+WITH s AS ({_SCORES}) SELECT o_orderkey, CASE WHEN a IS NULL OR b IS NULL THEN 'pending' WHEN a = b OR ai = a OR ai = b THEN 'valid' ELSE 'invalid' END AS status,
+CASE WHEN a IS NULL OR b IS NULL THEN 'none' WHEN a = b THEN 'human_consensus' WHEN ai = a OR ai = b THEN 'ai_human_match' ELSE 'none' END AS source,
+CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN a WHEN ai = a THEN a WHEN ai = b THEN b END AS final FROM s""")
 def adjudication(spark, sf_dir):
-    status, final = R.adjudicated(F.col("ai"), F.col("a"), F.col("b"))
-    return _scores(spark, sf_dir).select("o_orderkey", status.alias("status"), final.alias("final"))
+    status, source, final = R.adjudicated(F.col("ai"), F.col("a"), F.col("b"))
+    return _scores(spark, sf_dir).select("o_orderkey", status.alias("status"), source.alias("source"), final.alias("final"))
 
 
 @query(f"""
-WITH s AS ({_SCORES}) SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'unaudited' WHEN a IS NOT NULL AND b IS NOT NULL AND a <> b THEN 'unstable' WHEN old IS NULL THEN 'stable'
-WHEN coalesce(b, a) = old THEN 'confirmed' ELSE 'disagrees' END AS class FROM s""")
+WITH s AS ({_SCORES}) SELECT o_orderkey, CASE WHEN a IS NULL OR b IS NULL THEN 'no_numeric_consensus_in_both_rounds' WHEN a <> b THEN 'blind_consensus_changed_between_rounds'
+WHEN old IS NULL THEN 'stable_blind_historical_label_missing' WHEN a = old THEN 'confirmed_audited_weak_label' ELSE 'stable_blind_disagrees_with_historical' END AS class FROM s""")
 def label_audit(spark, sf_dir):
     return _scores(spark, sf_dir).select("o_orderkey", R.audit_class(F.col("a"), F.col("b"), F.col("old")).alias("class"))
 

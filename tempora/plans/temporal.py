@@ -126,19 +126,32 @@ def top_per_group(spark, sf_dir):
     return S.top(table(spark, sf_dir, "events"), ["event_type"], [F.desc("value"), "event_id"], 3).select("event_type", "event_id", "value", "rank")
 
 
-@query("""
-WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS start, epoch_us(ts) + CAST(value * 60000000 AS BIGINT) AS "end" FROM events), n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS nx FROM e)
-SELECT event_id, CASE WHEN nx > "end" AND nx - "end" <= 3600000000 THEN nx ELSE "end" END AS extended FROM n""")
+#: Events as stretches of time, in hours since 2024 began, so that the default gaps and buffers meet some of them.
+_HOURS = "e AS (SELECT event_id, user_id, event_type, (epoch_us(ts) - 1704067200000000) / 3600000000.0 AS s, (epoch_us(ts) - 1704067200000000) / 3600000000.0 + value / 20 AS e FROM events)"
+
+
+def _hours(spark, sf_dir):
+    at = (micros() - F.lit(1704067200000000)) / 3600000000.0
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", at.alias("s"), (at + F.col("value") / 20).alias("e"))
+
+
+@query(f"""
+WITH {_HOURS}, n AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, e) AS nx FROM e)
+SELECT event_id, round(greatest(e, CASE WHEN nx IS NULL THEN e + 1.2 WHEN nx - e >= 0 AND nx - e <= 2.5 THEN nx ELSE least(e + 1.2, nx) END), 2) AS extended FROM n""")
 def lead_extend(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", micros().alias("start"), (micros() + F.round(F.col("value") * 60000000).cast("long")).alias("end"))
-    return S.until_next(rows, ["user_id"], "start", "end", 3600 * 1_000_000).select("event_id", "extended")
+    return S.until_next(_hours(spark, sf_dir), ["user_id"], "s", "e").select("event_id", "extended")
 
 
-@query("""
-WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k FROM events)
-SELECT user_id, CAST(k // 2 AS BIGINT) AS pair, max(event_id) FILTER (k % 2 = 0) AS first, max(event_id) FILTER (k % 2 = 1) AS second FROM n GROUP BY 1, 2 HAVING count(*) = 2""")
+@query(f"""
+WITH {_HOURS}, d AS (SELECT user_id, event_type, CAST(floor(s / 24) AS BIGINT) AS day, s, e FROM e),
+k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id, day) AS n, lead(s) OVER w AS s2, lead(e) OVER w AS e2, lead(event_type) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY user_id, day ORDER BY s, e)),
+p AS (SELECT *, n % 2 = 0 AND event_type = t2 AND s2 - e BETWEEN 0 AND 2.5 AS fits FROM k WHERE k % 2 = 1), g AS (SELECT user_id, day FROM p GROUP BY 1, 2 HAVING bool_and(coalesce(fits, false)))
+SELECT user_id, day, (k + 1) // 2 AS pair, round(s, 6) AS s, round(greatest(e, e2), 6) AS e, event_type FROM p JOIN g USING (user_id, day)""")
 def pair_consecutive(spark, sf_dir):
-    return S.consecutive_pairs(table(spark, sf_dir, "events"), ["user_id"], ["ts"], "event_id")
+    rows = _hours(spark, sf_dir).withColumn("day", F.floor(F.col("s") / 24))
+    expected = rows.groupBy("user_id", "day").agg(F.floor(F.count("*") / 2).alias("reps"))
+    pairs = S.consecutive_pairs(rows.join(expected, ["user_id", "day"]), ["user_id", "day"], "s", "e", "event_type", "reps")
+    return pairs.withColumn("s", F.round("s", 6)).withColumn("e", F.round("e", 6))
 
 
 @query("""
@@ -169,11 +182,13 @@ def duplicate_assignment_flag(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, 0.0 AS s, o_totalprice AS e, 1 + o_custkey % 5 AS k FROM orders), x AS (SELECT *, unnest(range(1, k + 1)) AS segment, (e - s) / k AS len FROM o)
-SELECT o_orderkey, CAST(segment AS INT) AS segment, round(greatest(s, s + (segment - 1) * len - 0.1 * len), 6) AS segment_start, round(least(e, s + segment * len + 0.1 * len), 6) AS segment_end FROM x""")
+WITH o AS (SELECT o_orderkey, CAST(o_custkey % 10 AS DOUBLE) AS s, o_custkey % 10 + o_totalprice / 8192 AS e, 1 + o_custkey % 5 AS k FROM orders), x AS (SELECT *, unnest(range(1, k + 1)) AS segment, greatest(e - s, 0.5) / k AS len FROM o)
+SELECT o_orderkey, CAST(segment AS INT) AS segment, round(greatest(s, s + (segment - 1) * len - greatest(0.55, least(1.4, len * 0.18))), 2) AS segment_start,
+round(least(e, s + segment * len + greatest(0.65, least(1.6, len * 0.22))), 2) AS segment_end FROM x""")
 def sequence_segments(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.0).alias("s"), F.col("o_totalprice").alias("e"), (1 + F.col("o_custkey") % 5).alias("k"))
-    return S.segments(rows, "s", "e", "k", 0.1, 6).select("o_orderkey", "segment", "segment_start", "segment_end")
+    s = (F.col("o_custkey") % 10).cast("double")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s"), (s + F.col("o_totalprice") / 8192).alias("e"), (1 + F.col("o_custkey") % 5).alias("k"))
+    return S.segments(rows, "s", "e", "k").select("o_orderkey", "segment", "segment_start", "segment_end")
 
 
 @query("""
@@ -207,7 +222,7 @@ SELECT span_id, rid, round(greatest(0, least("end", re) - greatest(start, rs)) /
 WHERE start <= re AND rs <= "end" AND round(greatest(0, least("end", re) - greatest(start, rs)) / greatest(0.01, re - rs), 6) > 0.2""")
 def overlap_ratio(spark, sf_dir):
     e = _events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("rid"), "user_id", F.col("t").alias("r_start"), (F.col("t") + 3600).alias("r_end"))
-    return J.overlaps(_spans(spark, sf_dir), e, ["user_id"], 0.2).select("span_id", "rid", "ratio")
+    return J.overlaps(_spans(spark, sf_dir), e, ["user_id"], 7200.0, 0.2).select("span_id", "rid", "ratio")
 
 
 @query("""
