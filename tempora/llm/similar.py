@@ -8,8 +8,8 @@ sets themselves; only what passes is a link.
 
 In a bucket each is paired with the least of those that share its variant, not with all. Of its pairs a document's
 nearest is verified first; the others matter only where they still join different components. Where pairing with the
-least could lose a link, which takes three or more that are alike, a second round compares all bits of all that share a
-variant and are left in different components, and passes on each pair that is near enough once.
+least could lose a link, since not all that share a variant are alike or of one component then, a second round compares
+all bits of those in different components, and passes on each pair that is near enough once.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tempora.llm._common import in_arrow, saved, skew_join, slices, temporary, text_bytes
@@ -145,11 +145,12 @@ def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray,
 
 
 def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (u, v) of each node with the least that shares a variant and is alike by the further bits; and (u, u) for the nodes of runs where this may lose a link."""
+    """Pairs (u, v) of each node with the least that shares a variant and is alike by the further bits; and (u, u) for the
+    nodes of runs in which some were alike and others weren't, so that links may be missed."""
     rows = _unpacked(bucket, _FIRST)
     node, further = rows["node"], rows["further"]
     place, run, _ = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
-    all_place, all_run, unsure, found = place, run, [], []
+    all_place, all_run, some, torn, found = place, run, [], [], []
     while len(run):
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         size = np.diff(np.concatenate([first, [len(run)]]))
@@ -158,14 +159,14 @@ def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
         leads[first] = True
         like = ~leads & (np.bitwise_count(further[place] ^ further[lead]).sum(axis=1) <= FURTHER)
         found.append(np.stack([place[like], lead[like]], axis=1))
-        unsure.append(run[like])
         rest = ~leads & ~like
+        some.append(run[like])
+        torn.append(run[rest])
         place, run = place[rest], run[rest]
     if not found:
         return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
     pairs = np.unique(np.concatenate(found), axis=0)
-    runs, size = np.unique(all_run, return_counts=True)
-    again = np.unique(all_place[np.isin(all_run, np.intersect1d(np.concatenate(unsure), runs[size > 2]))])
+    again = np.unique(all_place[np.isin(all_run, np.intersect1d(np.concatenate(some), np.concatenate(torn)))])
     return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[again]]), "v": np.concatenate([node[pairs[:, 1]], node[again]])})
 
 
@@ -220,11 +221,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (u, v) whose ends have different roots; nodes that roots (node, root) doesn't name are their own."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     named = saved(ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return saved(_with_ends(saved(pairs.select("u", "v")), named).where(F.col("root") != F.col("root_v")).select("u", "v"))
+    return saved(_with_ends(pairs.select("u", "v"), named).where(F.col("root") != F.col("root_v")).select("u", "v"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v), a saved table, whose shingle sets have a similarity of `least` or more. One text of each node is read again, by its hash."""
+    """The pairs (u, v), a saved table, whose shingle sets have a similarity of `least` or more.
+
+    One text of each node is read again, by its hash. Of a shingle's hash 32 bits are compared: of two texts of two
+    thousand words one pair in a thousand seems to share a shingle that it doesn't.
+    """
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = saved(ends.join(nodes.select("node", *_TEXT, "n"), "node"))
     same = F.struct(*_TEXT)
@@ -233,13 +238,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, l
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingle_set(t, width).tobytes() for t in _texts(batch.column("text"))]
+            sets = [np.unique(shingle_set(t, width).astype(np.uint32)).tobytes() for t in _texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set"):
             both = zip(batch.column("set"), batch.column("set_v"), strict=True)
-            good = [jaccard(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= least for a, b in both]
+            good = [jaccard(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)) >= least for a, b in both]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     both = _with_ends(pairs.select("u", "v"), saved(in_arrow(texts, gathered, "node long, set binary")))
@@ -248,25 +253,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, l
 
 def _roots(docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
     """(node, root) of the nodes that are linked to any other."""
-    n = nodes.count()
-    bits = min(24, max(4 if n > 20_000 else 3, math.ceil(math.log2(1 + n * (BITS + 1) / BUCKET_VARIANTS))))
-
-    def dealt(of: DataFrame, kind: np.dtype) -> DataFrame:
-        return in_arrow(of, functools.partial(_dealt, bits, kind), "bucket long, rows binary").groupBy("bucket")
-
-    starred = saved(dealt(nodes.select("node", *_SIGNATURE), _FIRST).applyInPandas(lambda x: _starred(bits, x), "u long, v long").distinct())
-    tried = _close(starred.where("u <> v"), nodes)
+    def dealt(of: DataFrame, least_bits: int, kind: np.dtype) -> tuple[int, GroupedData]:
+        bits = min(24, max(least_bits, math.ceil(math.log2(1 + of.count() * (BITS + 1) / BUCKET_VARIANTS))))
+        return bits, in_arrow(of, functools.partial(_dealt, bits, kind), "bucket long, rows binary").groupBy("bucket")
+
+    bits, buckets = dealt(nodes.select("node", *_SIGNATURE), 3, _FIRST)
+    starred = saved(buckets.applyInPandas(functools.partial(_starred, bits), "u long, v long").distinct())
+    pairs = saved(starred.where("u <> v"))
+    tried = _close(pairs, nodes)
     first = saved(tried.groupBy("u").agg(F.min_by("v", F.struct("d", "v")).alias("v")))
     links = _verified(first, docs, nodes, width, least)
     roots = saved(components(links))
-    rest = _apart(tried.join(first, ["u", "v"], "left_anti"), roots)
+    apart = _apart(pairs, roots)
+    rest = saved(tried.join(apart, ["u", "v"], "left_semi").select("u", "v"))
     if not rest.isEmpty():
         links = saved(links.unionByName(_verified(rest, docs, nodes, width, least)))
         roots = saved(components(links))
-    again = starred.where("u = v").select(F.col("u").alias("node"))
-    if not again.isEmpty():
-        open_ = nodes.join(again, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_SIGNATURE)
-        crossed = dealt(open_, _SECOND).applyInPandas(lambda x: _crossed(bits, x), "u long, v long")
+        apart = _apart(apart, roots)
+    # a run whose members all were alike its least is settled if they are of one component; in others any two may be a link
+    unsettled = saved(apart.select("v").distinct())
+    again = starred.where("u = v").select(F.col("u").alias("node")).unionByName(unsettled.select(F.col("v").alias("node"))).unionByName(pairs.join(unsettled, "v", "left_semi").select(F.col("u").alias("node")))
+    open_ = saved(nodes.join(again.distinct(), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_SIGNATURE))
+    if not open_.isEmpty():
+        bits, buckets = dealt(open_, 2, _SECOND)
+        crossed = buckets.applyInPandas(functools.partial(_crossed, bits), "u long, v long")
         crossed = saved(crossed.join(tried, ["u", "v"], "left_anti"))
         if not crossed.isEmpty():
             roots = saved(components(links.unionByName(_verified(crossed, docs, nodes, width, least))))
