@@ -1,10 +1,7 @@
 """Operators on small made-up inputs: sources, sinks, streams, frames, detectors, matching."""
 
 import hashlib
-import itertools
 import json
-import math
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +10,6 @@ from tempora.functions import scalars as X
 from tempora.operators import detectors as D
 from tempora.operators import frames as P
 from tempora.operators import joins as J
-from tempora.operators import matching as M
 from tempora.operators.constraints import prohibited_fields
 from tempora.sources import readers, writers
 from tempora.streaming import views
@@ -39,11 +35,12 @@ def test_frames_to_cycles(spark, tmp_path):
     subjects = P.subject_rows(P.frame_rows(docs, "id"), "id").where("position = 0")
     y = lambda n: P.mean_of(P.usable(F.col("points"), 0.35), [f"left_{n}", f"right_{n}"], "y")
     signal = subjects.select("id", "second", P.depth_ratio(y("shoulder"), y("hip"), y("ankle")).alias("depth"))
-    found = D.cycles(signal, ["id"], "second", "depth").orderBy("peak").collect()
-    assert [round(r.peak) for r in found] == [3, 8]
-    assert all(r.start < r.peak < r.end and r.end - r.start < 4 for r in found)
+    how = D.Cycling(before=0.0, after=0.0)
+    found = D.cycles(signal, ["id"], "second", "depth", how).orderBy("anchor").collect()
+    assert [round(r.anchor) for r in found] == [3, 8]
+    assert all(r.start < r.anchor < r.end and r.end - r.start < 4 for r in found)
     still = signal.withColumn("depth", F.lit(0.4))
-    assert D.cycles(still, ["id"], "second", "depth").collect() == []
+    assert D.cycles(still, ["id"], "second", "depth", how).collect() == []
     moving = signal.withColumn("move", F.when(F.col("second").between(4, 8), 0.05).otherwise(0.001))
     periods = D.active_periods(moving, ["id"], "second", "move").collect()
     assert len(periods) == 1 and periods[0].start == pytest.approx(3.2, abs=0.6) and periods[0].end == pytest.approx(9.0, abs=0.6)
@@ -108,31 +105,6 @@ def test_streams_equal_batches(spark, tmp_path):
         q.stop()
 
 
-def brute_match(segs, cycs, farthest):
-    """(pairs, least cost) of the best order-keeping matching, by trying all."""
-    best = (0, 0.0)
-    for n in range(1, min(len(segs), len(cycs)) + 1):
-        for some in itertools.combinations(segs, n):
-            for others in itertools.combinations(cycs, n):
-                if all(abs(a["start"] + a["end"] - b["start"] - b["end"]) / 2 <= farthest for a, b in zip(some, others)):
-                    best = min(best, (-n, round(sum(M._cost(a, b) for a, b in zip(some, others)), 9)))
-    return -best[0], best[1]
-
-
-@pytest.mark.parametrize("farthest", [math.inf, 4.0])
-def test_match_in_order_is_best(spark, farthest):
-    random.seed(4)
-    rows = lambda: [(g, k, t, t + random.uniform(0.5, 4)) for g in range(12) for k, t in enumerate(random.uniform(0, 20) for _ in range(random.randint(1, 5)))]
-    kinds = "g int, id int, start double, end double"
-    segments, cycles = rows(), rows()
-    got = M.match_in_order(spark.createDataFrame(segments, kinds), spark.createDataFrame(cycles, kinds), ["g"], farthest).toPandas()
-    listed = lambda table, g: sorted(({"id": r[1], "start": r[2], "end": r[3]} for r in table if r[0] == g), key=lambda r: r["start"])
-    for g in range(12):
-        mine = got[got.g == g]
-        assert (len(mine), pytest.approx(mine.cost.sum(), abs=1e-6)) == brute_match(listed(segments, g), listed(cycles, g), farthest)
-        assert mine.segment_id.is_unique and mine.cycle_id.is_unique
-
-
 def test_must_match_raises(spark):
     left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
     with pytest.raises(Exception, match="no partner"):
