@@ -89,21 +89,37 @@ def _fired(texts: pa.Array, known: dict[str, list[int]]) -> Iterator[list[int]]:
 
 @dataclass
 class LabelModel:
-    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts."""
+    """Hidden labels y; voter j fires with rate fires[1][j] if y is 1 and fires[0][j] if it is 0; share[j] of its evidence counts.
+
+    A voter that doesn't fire says nothing: there are lexicons for several languages. The last voter is silence, which
+    fires where no other does. `bias` is such that as many rows are toxic as the prior has it.
+    """
 
-    prior: float
     fires: np.ndarray
     share: np.ndarray
+    bias: float = 0.0
+
+    def _evidence(self, votes: np.ndarray) -> np.ndarray:
+        return _with_silence(votes) @ (self.share * np.log(self.fires[1] / self.fires[0]))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        evidence = votes @ (self.share * (on - off)) + (self.share * off).sum() + math.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(evidence, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self._evidence(votes) + self.bias, -40, 40)))
+
+    def balanced(self, votes: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel:
+        """With the bias at which the mean posterior is the prior, by bisection."""
+        evidence, low, high = self._evidence(votes), -60.0, 60.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            if (counts / (1 + np.exp(-np.clip(evidence + middle, -40, 40)))).sum() < prior * counts.sum():
+                low = middle
+            else:
+                high = middle
+        return LabelModel(self.fires, self.share, (low + high) / 2)
 
     @classmethod
-    def of(cls, votes: np.ndarray, y: np.ndarray, counts: np.ndarray, prior: float) -> LabelModel:
+    def of(cls, votes: np.ndarray, y: np.ndarray, counts: np.ndarray) -> LabelModel:
         """Rates and shares if y were the labels, soft or not. A row stands for counts[k] rows."""
-        clean, toxic = counts * (1 - y), counts * y
+        votes, clean, toxic = _with_silence(votes), counts * (1 - y), counts * y
         weight = np.array([clean.sum(), toxic.sum()])
         fires = np.clip((np.stack([clean @ votes, toxic @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
         # what voters have in common beyond the label: the correlation of what the rates leave unexplained
@@ -111,18 +127,24 @@ class LabelModel:
         covariance = rest.T @ (rest * counts[:, None]) / counts.sum()
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
         correlation = np.abs(covariance / np.outer(scale, scale))
-        return cls(prior, fires, 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1).clip(1))
+        share = 1 / (np.where(correlation > 0.1, correlation, 0) ** 2).sum(axis=1).clip(1)
+        share[-1] = 1.0
+        return cls(fires, share)
 
     @classmethod
     def fit(cls, votes: np.ndarray, guess: np.ndarray, counts: np.ndarray, rounds: int = 15) -> LabelModel:
         """Expectation and maximisation over the hidden labels. `guess`, a label for each row, sets where they begin and the prior."""
         prior = float(np.clip((counts * guess).sum() / counts.sum(), 0.01, 0.99))
-        model = cls.of(votes, guess.astype(np.float64), counts, prior)
+        model = cls.of(votes, guess.astype(np.float64), counts).balanced(votes, counts, prior)
         for _ in range(rounds):
-            model = cls.of(votes, model.posterior(votes), counts, prior)
+            model = cls.of(votes, model.posterior(votes), counts).balanced(votes, counts, prior)
         return model
 
 
+def _with_silence(votes: np.ndarray) -> np.ndarray:
+    return np.hstack([votes, ~votes.any(axis=1, keepdims=True)])
+
+
 @dataclass
 class Classifier:
     """A linear classifier of terms."""
