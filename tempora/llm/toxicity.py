@@ -122,12 +122,12 @@ class LabelModel:
         votes, clean, toxic = _with_silence(votes), counts * (1 - y), counts * y
         weight = np.array([clean.sum(), toxic.sum()])
         fires = np.clip((np.stack([clean @ votes, toxic @ votes]) + 0.05) / (weight[:, None] + 0.1 + 1e-9), 1e-4, 1 - 1e-4)
-        # what voters have in common beyond the label: the correlation of what the rates leave unexplained
+        # what voters have in common beyond the label: the correlation of what the rates leave unexplained, weak ones cubed away
         rest = votes - (np.outer(1 - y, fires[0]) + np.outer(y, fires[1]))
         covariance = rest.T @ (rest * counts[:, None]) / counts.sum()
         scale = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
         correlation = np.abs(covariance / np.outer(scale, scale))
-        share = 1 / (np.where(correlation > 0.1, correlation, 0) ** 2).sum(axis=1).clip(1)
+        share = 1 / (np.where(correlation > 0.1, correlation, 0) ** 3).sum(axis=1).clip(1)
         share[-1] = 1.0
         return cls(fires, share)
 
