@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.operators import detectors as D
+from tempora.operators import grouping as G
 from tempora.operators import movements as V
 from tempora.plans.catalog import micros, query, table
 
@@ -237,3 +238,10 @@ def nearest_cycle(spark, sf_dir):
     found = V.lunge_cycles(_frames(spark, sf_dir), ["user_id"])
     return V.cycle_of_segment(_pieces(spark, sf_dir), found, ["user_id"]).select("user_id", "id", "anchor")
 
+
+
+@query()
+def cycles_to_count(spark, sf_dir):
+    """As many leg raises as a user has segments that are theirs: three of four."""
+    found = V.leg_raise_cycles(_frames(spark, sf_dir), ["user_id"])
+    return G.cycles_to_count(found, _pieces(spark, sf_dir).where("id < 3").groupBy("user_id").agg(F.count("*").alias("expected")), ["user_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import hints as H
 from tempora.operators import clusters as C
+from tempora.operators import grouping as G
 from tempora.operators import matching as M
 from tempora.operators import rounds as R
 
@@ -123,3 +124,40 @@ def test_feature_values(spark):
     made = R.feature_values(rows, {"squat": ["depth", "lean"], "lunge": ["drift"]}, "action", "m")
     assert {r.id: r.features for r in made.collect()} == {1: {"depth": 0.123457, "lean": None}, 2: {"drift": None}, 3: None}
     assert R.feature_names(made) == ["depth", "drift", "lean"]
+
+
+def cycle(start, end, strength=1.0, side="left", anchor=None):
+    return {"start": start, "end": end, "anchor": (start + end) / 2 if anchor is None else anchor, "strength": strength, "visibility": None, "side": side}
+
+
+def spans(cycles):
+    return [(c["start"], c["end"]) for c in cycles]
+
+
+def test_halves_are_paired():
+    halves = [cycle(0, 2), cycle(3, 5), cycle(9, 11, side="right"), cycle(12, 14, side="right")]
+    assert spans(G.to_count(halves, 2)) == [(0, 6.2), (9, 15.2)]
+    assert len(G.to_count(halves, 4)) == 4
+
+
+def test_whole_cycles_are_taken_from_the_first():
+    assert spans(G.to_count([cycle(10, 14), cycle(0, 4), cycle(5, 8.5)], 2)) == [(0, 5), (5, 10)]
+
+
+def test_short_cycles_join_their_shorter_neighbour():
+    got = G.to_count([cycle(0, 4), cycle(4.5, 6.5, 3.0), cycle(7, 9.5), cycle(20, 25)], 3)
+    assert spans(got) == [(0, 4), (4.5, 9.5), (20, 25)] and got[1]["strength"] == 3.0
+    assert spans(G.to_count([cycle(0, 4, 2), cycle(5, 9, 1, "right"), cycle(10, 14, 3), cycle(15, 16.7, 4, "right")], 2)) == [(0, 4), (10, 16.7)]
+
+
+def test_noise_goes_if_enough_is_left():
+    noisy = [cycle(0, 4), cycle(5, 6), cycle(7, 11)]
+    assert len(G.to_count(noisy, 2)) == 2 and spans(G.to_count(noisy, 2)) == [(0, 5.2), (7, 12.2)]
+    assert spans(G.to_count(noisy, 0)) == [(0, 4), (5, 6), (7, 11)]
+
+
+def test_cycles_to_count_of_keys(spark):
+    rows = [(k % 2, float(s), float(s + 3 + k % 3), float(s + 1), 1.0 + k % 5, 0.5, "left") for k, s in enumerate(range(0, 60, 5))]
+    cycles = spark.createDataFrame(rows, "key long, start double, end double, anchor double, strength double, visibility double, side string")
+    got = G.cycles_to_count(cycles, spark.createDataFrame([(0, 3)], "key long, expected long"), ["key"]).collect()
+    assert sorted((r.key, r.number) for r in got) == [(0, 1), (0, 2), (0, 3), *((1, n) for n in range(1, 7))]
