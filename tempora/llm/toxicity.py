@@ -133,11 +133,14 @@ class LabelModel:
 
     @classmethod
     def fit(cls, votes: np.ndarray, guess: np.ndarray, counts: np.ndarray, rounds: int = 15) -> LabelModel:
-        """Expectation and maximisation over the hidden labels. `guess`, a label for each row, sets where they begin and the prior."""
+        """Expectation and maximisation over the hidden labels. `guess`, a label for each row, sets the prior of toxicity and
+        a prior of the rates, which weighs as much as the votes: else voters of few rows drift to other ways of parting them."""
         prior = float(np.clip((counts * guess).sum() / counts.sum(), 0.01, 0.99))
-        model = cls.of(votes, guess.astype(np.float64), counts).balanced(votes, counts, prior)
+        first = cls.of(votes, guess.astype(np.float64), counts)
+        model = first.balanced(votes, counts, prior)
         for _ in range(rounds):
-            model = cls.of(votes, model.posterior(votes), counts).balanced(votes, counts, prior)
+            found = cls.of(votes, model.posterior(votes), counts)
+            model = cls((found.fires + first.fires) / 2, found.share).balanced(votes, counts, prior)
         return model
 
 

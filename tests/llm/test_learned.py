@@ -50,7 +50,7 @@ def test_toxicity_means_the_same_under_a_cap(spark):
     """Weak voters, one toxic row in nine: a sample that takes as many rows of either label predicts as many toxic rows as all do."""
     rng = np.random.default_rng(5)
     toxic = rng.random(6000) < 0.11
-    text = [" ".join([f"f{x}" for x in rng.integers(0, 40, 30)] + [v for v in ("grobian", "schuft", "lump") if rng.random() < (0.4 if y else 0.03)]) for y in toxic]
+    text = [" ".join([f"f{x}" for x in rng.integers(0, 40, 30)] + [v for v in ("grobian", "schuft", "lump", "wicht", "bengel", "halunke", "strolch") if rng.random() < (0.3 if y else 0.04)]) for y in toxic]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(y)) for k, y in enumerate(toxic)], "doc_id long, toxic int")
     whole, capped = ([r.score for r in toxicity_scores(docs, labels, sample=most).collect()] for most in (6000, 400))
@@ -85,10 +85,11 @@ def test_lexicons_of_two_languages():
 
 def test_toxicity_with_turned_labels(spark):
     """The whole operator, with a tenth of the learning labels turned, still tells the held-out rows apart."""
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
     turned = labels.withColumn("toxic", F.when(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     rows = toxicity_scores(docs, turned, learn=~held_out(5, 0)).where(held_out(5, 0)).join(labels, "doc_id").collect()
-    assert auc([(r.score, r.toxic) for r in rows if r.toxic is not None]) >= 0.85
+    assert auc([(r.score, r.toxic) for r in rows if r.toxic is not None]) >= 0.9
 
 
 def test_votes_of_all_voters(spark):
