@@ -29,11 +29,9 @@ LEG_RAISE_SIDES, HURDLE_SIDES = 0.8, 0.7
 _BODY = tuple(f"{s}_{p}" for p in ("shoulder", "hip", "knee", "ankle") for s in SIDES)
 
 
-def by_name(points: Column) -> Column:
-    """Points as a map; of points that share a name the last counts, those without go."""
-    named = F.filter(points, lambda p: p["name"].isNotNull())
-    last = F.filter(named, lambda p, k: ~F.exists(F.slice(named, k + 2, F.size(named)), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], p)))
+def _point(name: str) -> Column:
+    """The last point of a name, null if there is none."""
+    return F.try_element_at(F.filter("points", lambda p: p["name"] == name), F.lit(-1))
 
 
 def _mean(*values: Column) -> Column:
@@ -43,15 +41,15 @@ def _mean(*values: Column) -> Column:
 
 
 def _at(name: str, axis: str) -> Column:
-    return F.col("_p")[name][axis]
+    return _point(name)[axis]
 
 
 def _named(frames: DataFrame) -> DataFrame:
-    return frames.where(F.col("second").isNotNull()).withColumn("_p", by_name(F.col("points")))
+    return frames.where(F.col("second").isNotNull())
 
 
 def _usable(name: str, least: float) -> Column:
-    p = F.col("_p")[name]
+    p = _point(name)
     seen = p["x"].isNotNull() & p["y"].isNotNull() & (p["visibility"].isNull() | (p["visibility"] >= least))
     return F.coalesce(seen, F.lit(False))
 

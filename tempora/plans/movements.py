@@ -35,7 +35,8 @@ def _frames(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", k.alias("k"))
     state = rows.select("user_id", "event_id", (F.col("k") * 0.5).alias("second"), *[F.expr(e).alias(c) for c, e in _STATE.items()])
     point = lambda s, side, part: F.struct(F.lit(f"{side}_{part}").alias("name"), *[F.expr(e.format(s=s)).alias(a) for a, e in zip("xy", _PLACES[part], strict=True)], F.col("vis").alias("visibility"))
-    return state.select("user_id", "event_id", "second", F.array(*[point(s, side, part) for part in _PARTS for s, side in enumerate(V.SIDES)]).alias("points"))
+    made = state.select("user_id", "event_id", "second", F.array(*[point(s, side, part) for part in _PARTS for s, side in enumerate(V.SIDES)]).alias("points"))
+    return made.repartition("user_id")  # points are made once, not wherever one is read; all that follows is by user
 
 
 def _rounded(df, digits: int = 6):
