@@ -36,8 +36,9 @@ def _point(name: str) -> Column:
 
 def _mean(*values: Column) -> Column:
     """Mean of those that are there."""
-    known = F.array_compact(F.array(*values))
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+    known = F.filter(F.array(*values), lambda v: v.isNotNull())
+    empty = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(known, empty, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 def _at(name: str, axis: str) -> Column:
