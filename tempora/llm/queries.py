@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm._common import scratch
+from tempora.llm.centroids import centroid_clusters
 from tempora.llm.decontaminate import contamination, item_digest, span_words
 from tempora.llm.html_text import page_texts
 from tempora.llm.line_dedup import drop_shared_lines
 from tempora.llm.mixing import mixing_rates
 from tempora.llm.neighbours import nearest_neighbours
+from tempora.llm.packing import packed_pieces
+from tempora.llm.prefix_trie import prefix_trie
 from tempora.llm.quality import held_out, quality_scores
 from tempora.llm.simhash import near_duplicates
 from tempora.llm.token_counts import token_counts
@@ -94,6 +97,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"), group=5, heads=9)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3:")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed_pieces(_table(spark, sf_dir, "documents"), vocabulary_path(TOKENIZER), length=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -105,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_neighbours": op9_neighbours,
     "op10_html_text": op10_html_text,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
 }
 
 
@@ -141,5 +161,42 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
+#: CRC-32 of a decimal number: byte by byte, eight shifts each.
+_CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, CAST(3988292384 AS BIGINT) * (y & 1))))"""
+
+#: A prefix's key is the text of its turns' hashes, so that its ancestors' keys are its own beginnings.
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, sha256(strlen(r) || ':' || r || x) AS d, strlen(x) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS k
+FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT *, xor({_CRC_SQL}, CAST(4294967295 AS BIGINT)) % 9 AS h, conv_id - ((conv_id % 5) + 5) % 5 AS base FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1)),
+e AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lent FROM c LEFT JOIN c AS b ON b.conv_id = c.base),
+m AS (SELECT e.conv_id, k AS depth, d, b FROM e JOIN t ON t.conv_id = e.base WHERE k <= h UNION ALL SELECT e.conv_id, k - h + lent, d, b FROM e JOIN t ON t.conv_id = e.conv_id WHERE k > h),
+p AS (SELECT conv_id, depth, b, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM m UNION ALL SELECT conv_id, 0, 0, '' FROM e),
+l AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM l GROUP BY 1, 2),
+k AS (SELECT path[1 : length(path) - 64] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT a AS path, CAST(count(*) FILTER (n_children IS NULL) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens
+FROM (SELECT n.*, n_children, unnest(list_transform(range(0, depth + 1), lambda j: n.path[1 : 64 * j])) AS a FROM n LEFT JOIN k ON k.path = n.path) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n AS u ON n.depth > 0 AND u.path = n.path[1 : length(n.path) - 64]"""
+
+
+def _centroids_sql(rounds: int = 10) -> str:
+    """Each round by itself; integers of any size, so that nothing is rounded."""
+    nearest = "SELECT r, vec_id, v, arg_min(k, d * 8 + k) AS k, min(d) AS d FROM (SELECT *, CAST(list_sum(list_transform(list_zip(v, c), lambda x: CAST(x[1] - x[2] AS HUGEINT) * (x[1] - x[2]))) AS HUGEINT) AS d FROM v, {c}) GROUP BY 1, 2, 3"
+    steps = "".join(f"""
+a{i} AS MATERIALIZED ({nearest.format(c=f"c{i}")}),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS m FROM
+(SELECT k, place, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(1, 65)) AS place FROM a{i}) GROUP BY 1, 2) GROUP BY 1) USING (k)),""" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM v QUALIFY k < 8),{steps}
+a AS MATERIALIZED ({nearest.format(c=f"c{rounds}")})
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} USING (k)"""
+
+
 #: What SQL can say; tests/llm hold the other queries against plain versions, round trips and held-out rows.
-SQL: dict[str, str] = {"op2_line_dedup": _LINES_SQL, "op6_decontamination": _windows_sql()}
+SQL: dict[str, str] = {"op2_line_dedup": _LINES_SQL, "op6_decontamination": _windows_sql(), "op11_prefix_trie": _TRIE_SQL, "op12_centroids": _centroids_sql()}
