@@ -17,7 +17,8 @@ def half_up(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x, held between low and high; null stays null, which least() and greatest() would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def finite(x: Column) -> Column:
@@ -36,10 +37,15 @@ def rating_score(label: Column) -> Column:
     return F.when(label == "limited", 1).when(label == "watch", 2).otherwise(3)
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """Of a vector of coordinates. hypot() guards against overflow, which these can't reach, at many times the cost."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def joint_angle(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
     """Degrees at b between a and c; null if either leg has no length."""
     dot = (ax - bx) * (cx - bx) + (ay - by) * (cy - by)
-    legs = F.hypot(ax - bx, ay - by) * F.hypot(cx - bx, cy - by)
+    legs = length(ax - bx, ay - by) * length(cx - bx, cy - by)
     return F.degrees(F.acos(clamp(F.try_divide(dot, F.nullif(legs, F.lit(0.0))), -1.0, 1.0)))
 
 
@@ -57,7 +63,7 @@ def axial_difference(a: Column, b: Column) -> Column:
 def line_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point from the line through a and b."""
     area = F.abs((bx - ax) * (ay - py) - (ax - px) * (by - ay))
-    return F.try_divide(area, F.nullif(F.hypot(bx - ax, by - ay), F.lit(0.0)))
+    return F.try_divide(area, F.nullif(length(bx - ax, by - ay), F.lit(0.0)))
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 
 from tempora.operators import matching as M
 from tempora.operators import sequences as S
-from tempora.operators.aggregates import nearest_rank
-
-
-def with_levels(rows: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
-    """rows with _low and _high, the nearest-rank percentiles of value in each key."""
-    names = {f"p{round(100 * low)}": "_low", f"p{round(100 * high)}": "_high"}
-    return rows.join(nearest_rank(rows, keys, value, [low, high]).withColumnsRenamed(names), list(keys))
 
 
 def active_periods(
@@ -30,7 +23,7 @@ def active_periods(
     smooth = S.centred_mean(rows, keys, [time], value, width, "_v").withColumn("_v", F.round("_v", digits))
     every = Window.partitionBy(*keys)
     bounded = smooth.withColumn("_first", F.min(time).over(every)).withColumn("_last", F.max(time).over(every)).withColumn("_n", F.count("*").over(every)).where(F.col("_n") >= 2 * width)
-    levelled = with_levels(bounded, keys, "_v", 0.25, 0.92)
+    levelled = S.with_percentiles(bounded, keys, "_v", {"_low": 0.25, "_high": 0.92})
     threshold = F.greatest(F.lit(floor), F.col("_low") + (F.col("_high") - F.col("_low")) * part)
     found = S.islands(levelled, keys, [time], F.col("_v") >= threshold).groupBy(*keys, "island").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.first("_first").alias("_first"), F.first("_last").alias("_last"))
     wide = S.expanded(found, before, after, F.col("_first"), F.col("_last"))
@@ -61,23 +54,23 @@ def cycles(rows: DataFrame, keys: Sequence[str], time: str, signal: str, how: Cy
     the gap the higher stays. Starts and ends are moved out, held within the key's times and rounded to 2 digits;
     visibility is the mean of the rows from start to end.
     """
-    every = Window.partitionBy(*keys)
+    every, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_t")
     even = S.centred_mean(rows, keys, [time], signal, how.width, "_v") if smooth else rows.withColumn("_v", F.col(signal))
-    even = even.withColumn("_v", F.round("_v", 9)).withColumn("_n", F.count("*").over(every)).where(F.col("_n") >= 2 * how.width)
-    bounded = even.withColumn("_first", F.min(time).over(every)).withColumn("_last", F.max(time).over(every)).withColumn("_seen", F.col(visibility) if visibility else F.lit(None).cast("double"))
-    levelled = with_levels(bounded, keys, "_v", how.low, how.high).withColumn("_range", F.col("_high") - F.col("_low")).where(F.col("_range") >= how.least)
-    level = levelled.withColumn("_edge", F.col("_low") + F.col("_range") * how.boundary_part)
-    near = S.boundaries(level, keys, time, "_v", F.col("_edge"))
-    tops = S.islands(near, keys, [time], F.col("_v") >= F.col("_low") + F.col("_range") * how.peak_part)
+    even = even.select(*keys, F.col(time).alias("_t"), F.round("_v", 9).alias("_v"), (F.col(visibility) if visibility else F.lit(None).cast("double")).alias("_seen"), F.count("*").over(every).alias("_n"))
+    ranged = S.with_percentiles(even.where(F.col("_n") >= 2 * how.width), keys, "_v", {"_low": how.low, "_high": how.high}).withColumn("_range", F.col("_high") - F.col("_low")).where(F.col("_range") >= how.least)
+    bounded = S.boundaries(ranged.withColumn("_first", F.min("_t").over(every)).withColumn("_last", F.max("_t").over(every)), keys, "_t", "_v", F.col("_low") + F.col("_range") * how.boundary_part)
+    inside = F.coalesce(F.col("_v") >= F.col("_low") + F.col("_range") * how.peak_part, F.lit(False))
+    marked = bounded.withColumn("_in", inside).withColumn("_begins", (F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))).cast("int")).withColumn("_island", F.sum("_begins").over(w))
     hold = lambda t: F.round(F.least(F.greatest(t, F.col("_first")), F.col("_last")), 2)
     start, end = hold(F.col("boundary_start") - how.before), hold(F.col("boundary_end") + how.after)
-    best = F.max_by(F.struct(F.col(time).alias("anchor"), F.col("_v").alias("strength"), start.alias("start"), end.alias("end"), F.col("_low").alias("baseline"), F.col("_range").alias("amplitude")), F.struct("_v", -F.col(time)))
-    found = M.merge_peaks(tops.groupBy(*keys, "island").agg(best.alias("_")).select(*keys, "_.*"), keys, "anchor", "strength", how.gap)
-    seen = levelled.groupBy(*keys).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col("_seen").alias("v"))).alias("_seen"))
-    inside = F.transform(F.filter("_seen", lambda r: (r["t"] >= F.col("start")) & (r["t"] <= F.col("end")) & r["v"].isNotNull()), lambda r: r["v"])
-    mean = F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda a, v: a + v) / F.size(inside))
-    out = found.join(seen, list(keys))
-    return out.select(*keys, "start", "end", F.round("anchor", 2).alias("anchor"), *[F.round(c, 4).alias(c) for c in ("strength", "baseline", "amplitude")], F.round(mean, 6).alias("visibility"))
+    # one row for each key, with its peaks and with what is seen: all from the same pass over its rows
+    best = F.max_by(F.struct(F.col("_t").alias("anchor"), F.col("_v").alias("strength"), start.alias("start"), end.alias("end"), F.col("_low").alias("baseline"), F.col("_range").alias("amplitude")), F.when(F.col("_in"), F.struct("_v", -F.col("_t"))))
+    per_island = marked.groupBy(*keys, "_island").agg(best.alias("_best"), F.collect_list(F.when(F.col("_seen").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_seen").alias("v")))).alias("_seen"))
+    per_key = per_island.groupBy(*keys).agg(F.array_sort(F.collect_list("_best")).alias("_peaks"), F.array_sort(F.flatten(F.collect_list("_seen"))).alias("_seen"))
+    found = per_key.select(*keys, "_seen", F.explode(M.merged(F.col("_peaks"), "anchor", "strength", how.gap)).alias("_")).select(*keys, "_seen", "_.*")
+    shown = F.transform(F.filter("_seen", lambda r: (r["t"] >= F.col("start")) & (r["t"] <= F.col("end"))), lambda r: r["v"])
+    mean = F.when(F.size(shown) > 0, F.aggregate(shown, F.lit(0.0), lambda a, v: a + v) / F.size(shown))
+    return found.select(*keys, "start", "end", F.round("anchor", 2).alias("anchor"), *[F.round(c, 4).alias(c) for c in ("strength", "baseline", "amplitude")], F.round(mean, 6).alias("visibility"))
 
 
 def segment_evaluation(start: Column, end: Column, cycle_start: Column, cycle_end: Column, tolerance: float = 0.35, wide: float = 2.0, coverage: float = 0.85) -> tuple[Column, Column]:

@@ -28,8 +28,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left
     both = a.unionByName(b, allowMissingColumns=True)
     ordered = Window.partitionBy(*keys).orderBy("_t", "_side", F.col("_hit.id").desc())
     before = F.last("_hit", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    # ahead of a left row: the least id of the next time
-    after = F.first("_hit", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", F.desc("_side"), "_hit.id").rowsBetween(0, Window.unboundedFollowing))
+    # ahead of a left row: the least id of the next time, in falling order
+    falling = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_side", F.col("_hit.id").desc())
+    after = F.last("_hit", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_before", before).withColumn("_after", after).where("_side = 1")
     gap = lambda c: F.abs(F.col(left_time).cast("double") - F.col(c)["t"].cast("double"))
     nearest = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))

@@ -35,17 +35,23 @@ def _unlisted(lists: DataFrame, keys: Sequence[str], columns: Sequence[str], kep
     return out.select(*picks, *([(F.col("_n") + 1).cast("long").alias(number)] if number else []))
 
 
-def merge_peaks(peaks: DataFrame, keys: Sequence[str], time: str, strength: str, gap: float) -> DataFrame:
-    """Peaks in time order; one within `gap` of the last kept one replaces it if stronger, else goes."""
-    lists = _lists(peaks, keys, [time, strength])
+def merged(peaks: Column, time: str, strength: str, gap: float, inclusive: bool = False) -> Column:
+    """Of an array of structs in order of time: one within `gap` of the last kept one (or just at it, if inclusive) replaces
+    it if stronger, else goes. Each step copies what is kept, so the work grows with the square of one recording's peaks."""
 
     def take(kept: Column, peak: Column) -> Column:
         last, before = F.get(kept, F.size(kept) - 1), F.slice(kept, 1, F.greatest(F.lit(0), F.size(kept) - 1))
+        away = F.round(peak[time] - last[time], 9)
         near = F.when(peak[strength] > last[strength], F.concat(before, F.array(peak))).otherwise(kept)
-        return F.when(F.size(kept) == 0, F.array(peak)).when(peak[time] - last[time] < gap, near).otherwise(F.concat(kept, F.array(peak)))
+        return F.when(F.size(kept) == 0, F.array(peak)).when(away <= gap if inclusive else away < gap, near).otherwise(F.concat(kept, F.array(peak)))
 
-    empty = F.filter("_list", lambda _: F.lit(False))
-    return _unlisted(lists, keys, peaks.columns, F.aggregate("_list", empty, take))
+    return F.aggregate(peaks, F.filter(peaks, lambda _: F.lit(False)), take)
+
+
+def merge_peaks(peaks: DataFrame, keys: Sequence[str], time: str, strength: str, gap: float, inclusive: bool = False) -> DataFrame:
+    """Peaks in time order; one within `gap` of the last kept one replaces it if stronger, else goes."""
+    lists = _lists(peaks, keys, [time, strength])
+    return _unlisted(lists, keys, peaks.columns, merged(F.col("_list"), time, strength, gap, inclusive))
 
 
 def drop_overlaps(cycles: DataFrame, keys: Sequence[str], strength: str, most: float) -> DataFrame:

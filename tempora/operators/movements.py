@@ -11,11 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.scalars import axial_difference, clamp, joint_angle, line_distance
+from tempora.functions.scalars import axial_difference, clamp, joint_angle, length, line_distance
 from tempora.operators import detectors as D
 from tempora.operators import matching as M
 from tempora.operators import sequences as S
-from tempora.operators.aggregates import nearest_rank
 
 SIDES = ("left", "right")
 #: How each movement's cycles are found.
@@ -29,41 +28,51 @@ LEG_RAISE_SIDES, HURDLE_SIDES = 0.8, 0.7
 _BODY = tuple(f"{s}_{p}" for p in ("shoulder", "hip", "knee", "ankle") for s in SIDES)
 
 
-def _point(name: str) -> Column:
-    """The last point of a name, null if there is none."""
-    return F.try_element_at(F.filter("points", lambda p: p["name"] == name), F.lit(-1))
+def _named(frames: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys, second, a struct column for each name): the last point of each name, null if there is none. Points are looked up
+    here once; whatever is computed of them reads columns."""
+    last = frames.where(F.col("second").isNotNull()).select(*keys, "second", F.reverse("points").alias("_points"))
+    listed = last.withColumn("_names", F.transform("_points", lambda p: p["name"]))
+    return computed(listed.select(*keys, "second", *[F.get("_points", F.array_position("_names", F.lit(n)).cast("int") - 1).alias(n) for n in names]))
+
+
+def computed(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed where they stand: filters and projections above aren't merged with the expressions
+    below, which would repeat these at each use. A generator of one row is what the optimizer leaves alone."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
+def _both(*parts: str) -> list[str]:
+    return [f"{s}_{p}" for p in parts for s in SIDES]
 
 
 def _mean(*values: Column) -> Column:
     """Mean of those that are there."""
-    known = F.filter(F.array(*values), lambda v: v.isNotNull())
-    empty = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    return F.aggregate(known, empty, lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+    total, n = F.lit(0.0), F.lit(0)
+    for v in values:
+        total, n = total + F.coalesce(v, F.lit(0.0)), n + v.isNotNull().cast("int")
+    return F.when(n > 0, total / n)
 
 
 def _at(name: str, axis: str) -> Column:
-    return _point(name)[axis]
-
-
-def _named(frames: DataFrame) -> DataFrame:
-    return frames.where(F.col("second").isNotNull())
+    return F.col(name)[axis]
 
 
 def _usable(name: str, least: float) -> Column:
-    p = _point(name)
+    p = F.col(name)
     seen = p["x"].isNotNull() & p["y"].isNotNull() & (p["visibility"].isNull() | (p["visibility"] >= least))
     return F.coalesce(seen, F.lit(False))
 
 
 def _distance(a: str, b: str) -> Column:
-    return F.hypot(_at(a, "x") - _at(b, "x"), _at(a, "y") - _at(b, "y"))
+    return length(_at(a, "x") - _at(b, "x"), _at(a, "y") - _at(b, "y"))
 
 
 def leg_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, second, side, hip_y, knee_y, ankle_y, foot_y, visibility) for each frame and leg whose four points are there."""
     parts = ("hip", "knee", "ankle", "foot_index")
     leg = lambda s: F.struct(F.lit(s).alias("side"), *[_at(f"{s}_{p}", "y").alias(f"{p.removesuffix('_index')}_y") for p in parts], _mean(*[_at(f"{s}_{p}", "visibility") for p in parts]).alias("visibility"))
-    rows = _named(frames).select(*keys, "second", F.explode(F.array(*map(leg, SIDES))).alias("_")).select(*keys, "second", "_.*")
+    rows = _named(frames, keys, _both(*parts)).select(*keys, "second", F.explode(F.array(*map(leg, SIDES))).alias("_")).select(*keys, "second", "_.*")
     return rows.dropna(subset=["hip_y", "knee_y", "ankle_y", "foot_y"])
 
 
@@ -71,8 +80,8 @@ def depth_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, second, depth_ratio, knee_ratio, hip_knee_gap, visibility) for frames whose shoulders, hips and ankles are
     there and at least 0.05 apart from shoulder to ankle."""
     y = lambda part: _mean(_at(f"left_{part}", "y"), _at(f"right_{part}", "y"))
-    rows = _named(frames).select(*keys, "second", *[y(p).alias(p) for p in ("shoulder", "hip", "knee", "ankle")], _mean(*[_at(p, "visibility") for p in _BODY]).alias("visibility"))
-    tall = rows.where("shoulder IS NOT NULL AND hip IS NOT NULL AND ankle - shoulder >= 0.05")
+    rows = _named(frames, keys, _BODY).select(*keys, "second", *[y(p).alias(p) for p in ("shoulder", "hip", "knee", "ankle")], _mean(*[_at(p, "visibility") for p in _BODY]).alias("visibility"))
+    tall = computed(rows).where("shoulder IS NOT NULL AND hip IS NOT NULL AND ankle - shoulder >= 0.05")
     ratio = lambda c: (F.col(c) - F.col("shoulder")) / (F.col("ankle") - F.col("shoulder"))
     return tall.select(*keys, "second", ratio("hip").alias("depth_ratio"), ratio("knee").alias("knee_ratio"), (F.col("knee") - F.col("hip")).alias("hip_knee_gap"), "visibility")
 
@@ -80,48 +89,50 @@ def depth_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reach_rows(frames: DataFrame, keys: Sequence[str], least: float = 0.35) -> DataFrame:
     """(keys, second, wrist_distance, wrist_ratio, shoulder_width, torso, visibility): how far the hands are apart, in
     lengths of the torso, or widths of the shoulders where hips are missing; frames without either or without distance go."""
-    rows = _named(frames).where(_usable("left_wrist", least) & _usable("right_wrist", least) & _usable("left_shoulder", least) & _usable("right_shoulder", least))
+    rows = _named(frames, keys, _both("wrist", "shoulder", "hip")).where(_usable("left_wrist", least) & _usable("right_wrist", least) & _usable("left_shoulder", least) & _usable("right_shoulder", least))
     seen = _mean(*[_at(f"{s}_{p}", "visibility") for p in ("wrist", "shoulder", "hip") for s in SIDES])
     out = rows.select(*keys, "second", _distance("left_wrist", "right_wrist").alias("wrist_distance"), _distance("left_shoulder", "right_shoulder").alias("shoulder_width"), _mean(_distance("left_shoulder", "left_hip"), _distance("right_shoulder", "right_hip")).alias("torso"), seen.alias("visibility"))
-    length = F.coalesce("torso", "shoulder_width")
-    return out.where((length > 0) & (F.col("wrist_distance") > 0)).withColumn("wrist_ratio", F.col("wrist_distance") / F.greatest(F.lit(0.01), length))
+    size = F.coalesce("torso", "shoulder_width")
+    return computed(out).where((size > 0) & (F.col("wrist_distance") > 0)).withColumn("wrist_ratio", F.col("wrist_distance") / F.greatest(F.lit(0.01), size))
 
 
 def push_up_rows(frames: DataFrame, keys: Sequence[str], least: float = 0.35) -> DataFrame:
     """(keys, second, lift, hip_offset, elbow_angle, length, visibility): the shoulders over the hands and the hips off the
     line from shoulders to ankles, in body lengths (of the torso where ankles are missing), and the mean angle of the elbows."""
-    needed = [f"{s}_{p}" for p in ("shoulder", "hip", "wrist") for s in SIDES]
-    rows = _named(frames)
+    needed = _both("shoulder", "hip", "wrist")
+    rows = _named(frames, keys, [*needed, *_both("ankle", "elbow")])
     for name in needed:
         rows = rows.where(_usable(name, least))
     ankles = _usable("left_ankle", least) & _usable("right_ankle", least)
     middle = lambda part, axis: (_at(f"left_{part}", axis) + _at(f"right_{part}", axis)) / 2
     for part in ("shoulder", "hip", "wrist"):
         rows = rows.withColumn(f"_{part}_x", middle(part, "x")).withColumn(f"_{part}_y", middle(part, "y"))
-    rows = rows.withColumn("_ankle_x", F.when(ankles, middle("ankle", "x"))).withColumn("_ankle_y", F.when(ankles, middle("ankle", "y")))
-    span = lambda a, b: F.hypot(F.col(f"_{a}_x") - F.col(f"_{b}_x"), F.col(f"_{a}_y") - F.col(f"_{b}_y"))
+    rows = computed(rows.withColumn("_ankle_x", F.when(ankles, middle("ankle", "x"))).withColumn("_ankle_y", F.when(ankles, middle("ankle", "y"))))
+    span = lambda a, b: length(F.col(f"_{a}_x") - F.col(f"_{b}_x"), F.col(f"_{a}_y") - F.col(f"_{b}_y"))
     elbow = lambda s: joint_angle(*[_at(f"{s}_{p}", axis) for p in ("shoulder", "elbow", "wrist") for axis in ("x", "y")])
     seen = _mean(*[_at(f"{s}_{p}", "visibility") for p in ("shoulder", "hip", "ankle", "wrist", "elbow") for s in SIDES])
-    rows = rows.withColumn("length", F.coalesce(span("shoulder", "ankle"), span("shoulder", "hip"))).where("length > 0")
+    rows = computed(rows.withColumn("length", F.coalesce(span("shoulder", "ankle"), span("shoulder", "hip"))).withColumns({f"_elbow_{s}": elbow(s) for s in SIDES})).where("length > 0")
     whole = F.greatest(F.lit(0.01), F.col("length"))
     offset = line_distance(*[F.col(f"_{p}_{axis}") for p in ("hip", "shoulder", "ankle") for axis in ("x", "y")])
-    return rows.select(*keys, "second", ((F.col("_wrist_y") - F.col("_shoulder_y")) / whole).alias("lift"), (offset / whole).alias("hip_offset"), _mean(elbow("left"), elbow("right")).alias("elbow_angle"), "length", seen.alias("visibility"))
+    return rows.select(*keys, "second", ((F.col("_wrist_y") - F.col("_shoulder_y")) / whole).alias("lift"), (offset / whole).alias("hip_offset"), _mean(*[F.col(f"_elbow_{s}") for s in SIDES]).alias("elbow_angle"), "length", seen.alias("visibility"))
 
 
 def rotary_rows(frames: DataFrame, keys: Sequence[str], least: float = 0.35) -> DataFrame:
     """(keys, second, pattern, side, score, confidence, twist, centre_offset, hip_gap, visibility): which arm and leg reach
-    farthest, in lengths of the body's frame; the first of patterns that tie."""
-    needed = [f"{s}_{p}" for p in ("shoulder", "hip", "wrist", "ankle") for s in SIDES]
-    rows = _named(frames)
+    farthest, in lengths of the body's frame (to nine digits); the first of patterns that tie."""
+    needed = _both("shoulder", "hip", "wrist", "ankle")
+    rows = _named(frames, keys, needed)
     for name in needed:
         rows = rows.where(_usable(name, least))
-    torso = _mean(_distance("left_shoulder", "left_hip"), _distance("right_shoulder", "right_hip"))
-    rows = rows.withColumn("_length", _mean(_distance("left_shoulder", "right_shoulder"), _distance("left_hip", "right_hip"), torso)).where("_length > 0")
-    for s in SIDES:
-        rows = rows.withColumn(f"_{s}_arm", _distance(f"{s}_wrist", f"{s}_shoulder") / F.col("_length")).withColumn(f"_{s}_leg", _distance(f"{s}_ankle", f"{s}_hip") / F.col("_length"))
+    spans = {"_shoulders": ("left_shoulder", "right_shoulder"), "_hips": ("left_hip", "right_hip"), **{f"_torso_{s}": (f"{s}_shoulder", f"{s}_hip") for s in SIDES}}
+    spans |= {f"_arm_{s}": (f"{s}_wrist", f"{s}_shoulder") for s in SIDES} | {f"_leg_{s}": (f"{s}_ankle", f"{s}_hip") for s in SIDES}
+    rows = computed(rows.withColumns({name: _distance(*ends) for name, ends in spans.items()}))
+    size = _mean(F.col("_shoulders"), F.col("_hips"), _mean(*[F.col(f"_torso_{s}") for s in SIDES]))
+    rows = computed(rows.withColumn("_length", size)).where("_length > 0")
+    rows = rows.withColumns({f"_{s}_{part}": F.col(f"_{part}_{s}") / F.col("_length") for part in ("arm", "leg") for s in SIDES})
     kinds = [("left_same_side", "left", "left", "left"), ("right_same_side", "right", "right", "right"), ("left_arm_right_leg", "right", "left", "right"), ("right_arm_left_leg", "left", "right", "left")]
-    patterns = F.array(*[F.struct(F.col(f"_{arm}_arm") + F.col(f"_{leg}_leg"), F.lit(-k), F.lit(name), F.lit(side)) for k, (name, side, arm, leg) in enumerate(kinds)]).cast("array<struct<score:double,turn:int,pattern:string,side:string>>")
-    rows = rows.withColumn("_sorted", F.sort_array(patterns, asc=False)).withColumn("_best", F.col("_sorted")[0])
+    patterns = F.array(*[F.struct(F.round(F.col(f"_{arm}_arm") + F.col(f"_{leg}_leg"), 9), F.lit(-k), F.lit(name), F.lit(side)) for k, (name, side, arm, leg) in enumerate(kinds)]).cast("array<struct<score:double,turn:int,pattern:string,side:string>>")
+    rows = computed(rows.withColumn("_sorted", F.sort_array(patterns, asc=False))).withColumn("_best", F.col("_sorted")[0])
     slope = lambda p: F.degrees(F.atan2(_at(f"left_{p}", "y") - _at(f"right_{p}", "y"), _at(f"left_{p}", "x") - _at(f"right_{p}", "x")))
     middle_x = lambda p: (_at(f"left_{p}", "x") + _at(f"right_{p}", "x")) / 2
     sure = clamp((F.col("_best.score") - F.greatest(F.lit(0.0), F.col("_sorted")[1]["score"])) / F.greatest(F.lit(0.01), F.col("_best.score")), 0.0, 1.0)
@@ -140,15 +151,13 @@ def best_frame(rows: DataFrame, keys: Sequence[str], value: str, largest: bool =
 def elevations(legs: DataFrame, keys: Sequence[str], least: float = 0.35) -> DataFrame:
     """Rows of legs that are seen, with `elevation`: how far the ankle is over where it is at its 90th percentile."""
     seen = legs.where(F.col("visibility").isNull() | (F.col("visibility") >= least))
-    base = nearest_rank(seen, [*keys, "side"], "ankle_y", [0.9])
-    return seen.join(base, [*keys, "side"]).withColumn("elevation", F.col("p90") - F.col("ankle_y")).drop("p90")
+    return S.with_percentiles(seen, [*keys, "side"], "ankle_y", {"p90": 0.9}).withColumn("elevation", F.col("p90") - F.col("ankle_y")).drop("p90")
 
 
 def merge_sides(found: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
     """Of cycles of either side whose anchors are `gap` or less apart, the stronger stays: .8 strength + .2 visibility."""
     strength = F.col("strength") * 0.8 + F.coalesce("visibility", F.lit(0.0)) * 0.2
-    # the gap itself still merges here, unlike among the peaks of one signal: anchors have two digits
-    return M.merge_peaks(found.withColumn("_strength", F.round(strength, 9)), keys, "anchor", "_strength", gap + 0.001).drop("_strength")
+    return M.merge_peaks(found.withColumn("_strength", F.round(strength, 9)), keys, "anchor", "_strength", gap, inclusive=True).drop("_strength")
 
 
 def numbered(found: DataFrame, keys: Sequence[str], name: str = "number") -> DataFrame:
@@ -185,7 +194,7 @@ def squat_cycles(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     both see one by half, the stronger stays. `signal` names which it is."""
     rows = depth_rows(frames, keys)
     smooth = S.centred_mean(rows, keys, ["second"], "hip_knee_gap", SQUAT_DEPTH.width, "_gap").withColumn("_gap", F.round("_gap", 9))
-    squeezed = smooth.join(nearest_rank(smooth, keys, "_gap", [0.8]), list(keys)).withColumn("_squeeze", F.when(F.col("_gap").isNotNull(), F.greatest(F.lit(0.0), F.col("p80") - F.col("_gap"))))
+    squeezed = S.with_percentiles(smooth, keys, "_gap", {"p80": 0.8}).withColumn("_squeeze", F.when(F.col("_gap").isNotNull(), F.greatest(F.lit(0.0), F.col("p80") - F.col("_gap"))))
     depth = D.cycles(rows, keys, "second", "depth_ratio", SQUAT_DEPTH, "visibility").withColumn("signal", F.lit("depth_ratio"))
     squeeze = D.cycles(squeezed, keys, "second", "_squeeze", SQUAT_COMPRESSION, "visibility", smooth=False).withColumn("signal", F.lit("hip_knee_compression"))
     return without_overlaps(depth.unionByName(squeeze), keys, 0.5)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tempora.functions.scalars import clamp
+from tempora.functions.scalars import clamp, half_up, length
 
 
 def _by(keys: Sequence[str], order: Sequence) -> WindowSpec:
@@ -20,10 +20,19 @@ def centred_mean(rows: DataFrame, keys: Sequence[str], order: Sequence, value: s
     return rows.withColumn(name, F.avg(value).over(_by(keys, order).rowsBetween(-radius, radius)))
 
 
+def with_percentiles(rows: DataFrame, keys: Sequence[str], value: str, parts: Mapping[str, float]) -> DataFrame:
+    """rows with columns that hold the value at index half_up((n - 1) p) of the key's sorted values, by windows over the key
+    alone: rows that are dealt by key stay where they are. Nulls have no rank; a key of nulls has nulls."""
+    ordered, whole = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value)), Window.partitionBy(*keys)
+    ranked = rows.withColumn("_rank", F.row_number().over(ordered) - 1).withColumn("_known", F.count(value).over(whole))
+    picks = {name: F.max(F.when(F.col("_rank") == half_up((F.col("_known") - 1) * p), F.col(value))).over(whole) for name, p in parts.items()}
+    return ranked.withColumns(picks).drop("_rank", "_known")
+
+
 def motion(rows: DataFrame, keys: Sequence[str], order: Sequence, x: str, y: str, name: str = "motion") -> DataFrame:
     """Distance from the point before; zero for the first."""
     w = _by(keys, order)
-    return rows.withColumn(name, F.coalesce(F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), F.lit(0.0)))
+    return rows.withColumn(name, F.coalesce(length(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), F.lit(0.0)))
 
 
 def interval_median(rows: DataFrame, keys: Sequence[str], order: str, name: str = "interval") -> DataFrame:
@@ -53,7 +62,8 @@ def boundaries(rows: DataFrame, keys: Sequence[str], time: str, value: str, leve
     w = _by(keys, [time])
     low = F.when(F.col(value) <= level, F.col(time))
     back = F.coalesce(F.last(low, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min(time).over(Window.partitionBy(*keys)))
-    ahead = F.coalesce(F.first(low, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.max(time).over(Window.partitionBy(*keys)))
+    # ahead by the last one in falling order: a frame that shrinks from its end is read anew for each row
+    ahead = F.coalesce(F.last(low, ignorenulls=True).over(_by(keys, [F.desc(time)]).rowsBetween(Window.unboundedPreceding, 0)), F.max(time).over(Window.partitionBy(*keys)))
     return rows.withColumn("boundary_start", back).withColumn("boundary_end", ahead)
 
 

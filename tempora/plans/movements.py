@@ -93,14 +93,18 @@ def push_up_frames(spark, sf_dir):
     return _rounded(V.push_up_rows(_frames(spark, sf_dir), ["user_id"])).withColumn("elbow_angle", F.round("elbow_angle", 4))
 
 
+def _slope(part: str) -> str:
+    return f"degrees(atan2(left_{part}_y - right_{part}_y, left_{part}_x - right_{part}_x))"
+
+
 @query(f"""
 WITH {_FRAMES}, q AS (SELECT *, ({_span('left_shoulder', 'right_shoulder')} + {_span('left_hip', 'right_hip')} + ({_span('left_shoulder', 'left_hip')} + {_span('right_shoulder', 'right_hip')}) / 2) / 3 AS len FROM f WHERE vis >= 0.35),
-a AS (SELECT user_id, second, vis, abs(left_hip_y - right_hip_y) AS hip_gap, {_span('left_wrist', 'left_shoulder')} / len AS la, {_span('right_wrist', 'right_shoulder')} / len AS ra, {_span('left_ankle', 'left_hip')} / len AS ll, {_span('right_ankle', 'right_hip')} / len AS rl FROM q),
+a AS (SELECT user_id, second, vis, abs(left_hip_y - right_hip_y) AS hip_gap, abs((left_shoulder_x + right_shoulder_x) / 2 - (left_hip_x + right_hip_x) / 2) AS off, abs({_slope('shoulder')} - {_slope('hip')}) AS turn, {_span('left_wrist', 'left_shoulder')} / len AS la, {_span('right_wrist', 'right_shoulder')} / len AS ra, {_span('left_ankle', 'left_hip')} / len AS ll, {_span('right_ankle', 'right_hip')} / len AS rl FROM q),
 p AS (SELECT *, unnest([{{'n': 1, 'p': 'left_same_side', 's': 'left', 'v': round(la + ll, 9)}}, {{'n': 2, 'p': 'right_same_side', 's': 'right', 'v': round(ra + rl, 9)}}, {{'n': 3, 'p': 'left_arm_right_leg', 's': 'right', 'v': round(la + rl, 9)}}, {{'n': 4, 'p': 'right_arm_left_leg', 's': 'left', 'v': round(ra + ll, 9)}}]) AS x FROM a),
-r AS (SELECT user_id, second, vis, hip_gap, list(x ORDER BY x.v DESC, x.n) AS xs FROM p GROUP BY 1, 2, 3, 4)
-SELECT user_id, second, round(xs[1].v, 6) AS score, round(greatest(0, least(1, (xs[1].v - greatest(0, xs[2].v)) / greatest(0.01, xs[1].v))), 6) AS confidence, round(hip_gap, 6) AS hip_gap, round(vis, 6) AS visibility FROM r""")
+r AS (SELECT user_id, second, vis, hip_gap, off, turn, list(x ORDER BY x.v DESC, x.n) AS xs FROM p GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT user_id, second, xs[1].p AS pattern, xs[1].s AS side, round(xs[1].v, 6) AS score, round(greatest(0, least(1, (xs[1].v - greatest(0, xs[2].v)) / greatest(0.01, xs[1].v))), 6) AS confidence, round(hip_gap, 6) AS hip_gap, round(off, 6) AS centre_offset, round(CASE WHEN turn % 180 > 90 THEN 180 - turn % 180 ELSE turn % 180 END, 6) AS twist, round(vis, 6) AS visibility FROM r""")
 def rotary_frames(spark, sf_dir):
-    return _rounded(V.rotary_rows(_frames(spark, sf_dir), ["user_id"])).select("user_id", "second", "score", "confidence", "hip_gap", "visibility")
+    return _rounded(V.rotary_rows(_frames(spark, sf_dir), ["user_id"]))
 
 
 # ---- cycles
@@ -112,7 +116,8 @@ def cycle_sql(name: str, source: str, keys: str, how: D.Cycling, smooth: bool =
     of = f"PARTITION BY {keys} ORDER BY t"
     value = f"avg(v0) OVER ({of} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)" if smooth else "v0"
     same = " AND ".join(f"r.{k} = m.{k}" for k in keys.split(", "))
-    old = f"r.t - m.t < {how.gap} AND NOT r.v > m.v"
+    near = f"round(r.t - m.t, 9) < {how.gap}"
+    old = f"{near} AND NOT r.v > m.v"
     kept = ", ".join(f"CASE WHEN {old} THEN m.{x} ELSE r.{x} END AS {x}" for x in ("t", "v", "s", "e", "lo", "rg"))
     plain_keys, their = keys, ", ".join(f"r.{k}" for k in keys.split(", "))
     return f"""
@@ -126,7 +131,7 @@ CASE WHEN v >= pk AND NOT coalesce(lag(v >= pk) OVER ({of}), false) THEN 1 ELSE
 {c}p AS (SELECT *, row_number() OVER (PARTITION BY {keys}, isl ORDER BY v DESC, t) AS first FROM {c}i WHERE v >= pk),
 {c}r AS (SELECT {keys}, t, v, lo, rg, round(least(greatest(bs - {how.before}, t0), t1), 2) AS s, round(least(greatest(be + {how.after}, t0), t1), 2) AS e, row_number() OVER ({of}, v) AS k FROM {c}p WHERE first = 1),
 {c}m AS (SELECT {keys}, k, 1 AS g, t, v, s, e, lo, rg FROM {c}r WHERE k = 1 UNION ALL
-SELECT {their}, r.k, CASE WHEN r.t - m.t < {how.gap} THEN g ELSE g + 1 END, {kept} FROM {c}m m JOIN {c}r r ON {same} AND r.k = m.k + 1),
+SELECT {their}, r.k, CASE WHEN {near} THEN g ELSE g + 1 END, {kept} FROM {c}m m JOIN {c}r r ON {same} AND r.k = m.k + 1),
 {c}z AS (SELECT {plain_keys}, g, arg_max(t, k) AS t, arg_max(v, k) AS v, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(lo, k) AS lo, arg_max(rg, k) AS rg FROM {c}m GROUP BY {keys}, g),
 {name} AS (SELECT {their}, r.s, r.e, round(r.t, 2) AS anchor, round(r.v, 4) AS strength, round(lo, 4) AS baseline, round(rg, 4) AS amplitude, round(avg(m.vis), 6) AS visibility
 FROM {c}z r LEFT JOIN {c}a m ON {same} AND m.t BETWEEN r.s AND r.e GROUP BY {their}, g, r.s, r.e, r.t, r.v, lo, rg)"""
@@ -134,13 +139,14 @@ FROM {c}z r LEFT JOIN {c}a m ON {same} AND m.t BETWEEN r.s AND r.e GROUP BY {the
 
 def sides_sql(name: str, source: str, gap: float) -> str:
     """Of cycles of either side that are near, the stronger."""
-    old = f"r.anchor - m.anchor < {gap + 0.001} AND NOT r.p > m.p"
+    near = f"round(r.anchor - m.anchor, 9) <= {gap}"
+    old = f"{near} AND NOT r.p > m.p"
     columns = ("side", "s", "e", "anchor", "strength", "baseline", "amplitude", "visibility", "p")
     kept = ", ".join(f"CASE WHEN {old} THEN m.{x} ELSE r.{x} END AS {x}" for x in columns)
     return f"""
 {name}_p AS (SELECT *, round(strength * 0.8e0 + coalesce(visibility, 0) * 0.2e0, 9) AS p FROM {source}), {name}_r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY anchor, p) AS k FROM {name}_p),
 {name}_m AS (SELECT user_id, k, 1 AS g, {', '.join(columns)} FROM {name}_r WHERE k = 1 UNION ALL
-SELECT r.user_id, r.k, CASE WHEN r.anchor - m.anchor < {gap + 0.001} THEN g ELSE g + 1 END, {kept} FROM {name}_m m JOIN {name}_r r ON r.user_id = m.user_id AND r.k = m.k + 1),
+SELECT r.user_id, r.k, CASE WHEN {near} THEN g ELSE g + 1 END, {kept} FROM {name}_m m JOIN {name}_r r ON r.user_id = m.user_id AND r.k = m.k + 1),
 {name} AS (SELECT user_id, {', '.join(f'arg_max({x}, k) AS {x}' for x in columns[:-1])} FROM {name}_m GROUP BY user_id, g)"""
 
 
