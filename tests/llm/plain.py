@@ -154,26 +154,88 @@ def vote(row, voters, labels, k):
     return sum(w * l for w, (_, l) in zip(weights, near)) / sum(weights)
 
 
-def kept_lines(lines, window, surge, dive, share):
-    """The texts of (text, weight, marked) that main_text keeps, line by line."""
-    n, half = len(lines), window // 2
-    sums = [sum(lines[j][1] for j in range(n) if abs(j - k) <= half) for k in range(n)]
-    scale = min(1.0, share * max(sums, default=0) / surge)
-    inside = [s > 0 and s >= dive * scale for s in sums]
-    kept = []
+def stretches(weight, window, surge, dive):
+    """Maximal runs of window sums of dive or more, with one of surge or more, trimmed to lines of weight."""
+    n = len(weight)
+    sums = [sum(weight[j] for j in range(n) if abs(j - k) <= window // 2) for k in range(n)]
+    runs = []
     for k in range(n):
-        stretch = []
-        for step in (-1, 1):
-            j = k
-            while 0 <= j < n and inside[j]:
-                stretch.append(j)
-                j += step
-        if not stretch or max(sums[j] for j in stretch) < surge * scale:
-            continue
-        heavy = [j for j in stretch if lines[j][1] > 0]
-        if heavy and min(heavy) <= k <= max(heavy) and not lines[k][2]:
-            kept.append(lines[k][0])
-    return kept
+        if sums[k] > 0 and sums[k] >= dive:
+            if runs and runs[-1][-1] == k - 1:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+    runs = [(r, [j for j in r if weight[j] > 0]) for r in runs if max(sums[j] for j in r) >= surge]
+    return [list(range(h[0], h[-1] + 1)) for r, h in runs if h]
+
+
+def kept_lines(page, window, surge, dive, share, alone, several):
+    """The texts of the lines that stay, from lists of each line's containers."""
+    lines, names = page.lines, page.names
+    n = len(lines)
+    paths = []
+    for line in lines:
+        path, node = [], line.node
+        while node >= 0:
+            path.append(node)
+            node = page.around[node]
+        paths.append(path)
+    weight = [x.weight for x in lines]
+    heaviest = max((sum(weight[j] for j in range(n) if abs(j - k) <= window // 2) for k in range(n)), default=0)
+    scale = min(1.0, share * heaviest / surge)
+    runs = stretches(weight, window, surge * scale, dive * scale)
+    if not runs:
+        return []
+    best = max(runs, key=lambda r: sum(weight[j] for j in r))
+    total = sum(weight[j] for j in best)
+    held = {c: sum(weight[j] for j in best if c in paths[j]) for c in range(len(names))}
+    said = [c for c in held if names[c] in ("article", "main")]
+    kept = set()
+    first = max(said, key=lambda c: (held[c], c), default=None)
+    if first is not None and held[first] >= alone * total:
+        full = {c: sum(weight[j] for j in range(n) if c in paths[j]) for c in said}
+        roots = {c for c in said if c == first or full[c] >= alone * full[first]}
+        kept = {j for j in range(n) if roots & set(paths[j])}
+    else:
+        root = max((c for c in held if c == 0 or 2 * held[c] > total and all(2 * held[x] > total for x in ancestors(page, c) if x)), key=lambda c: len(ancestors(page, c)))
+        roots = {root}
+        inside = [root in p for p in paths]
+        own = [next(c for c in p if names[c] != "td") for p in paths]
+        heavy = [j for r in runs for j in r if inside[j] and weight[j] > 0]
+        kept = {j for j in range(min(heavy), max(heavy) + 1) if inside[j]}
+        owners = {own[j] for j in heavy}
+        for way in (range(min(heavy) - 1, -1, -1), range(max(heavy) + 1, n)):
+            for j in way:
+                if not (lines[j].marked or inside[j] and own[j] in owners):
+                    break
+                if weight[j] > 0 or lines[j].heading:
+                    kept.add(j)
+        article = sum(weight[j] for j in range(n) if inside[j])
+        for r in stretches([0 if inside[j] else weight[j] for j in range(n)], window, surge * scale, dive * scale):
+            r = [j for j in r if not inside[j]]
+            many = len([j for j in r if weight[j] >= dive * scale]) >= 2
+            if sum(weight[j] for j in r) >= article * (several if many else alone):
+                kept |= set(r)
+    start = min(kept, default=0)
+    above = {0, *ancestors(page, min(roots)), min(roots)}
+    if not lines[start].heading:
+        for j in range(start - 1, -1, -1):
+            if weight[j] >= surge * scale and not (lines[j].heading and not lines[j].marked):
+                break
+            if lines[j].heading and not lines[j].marked:
+                c = lines[j].node
+                if c in above or page.around[c] in above and page.around[c] > 0:
+                    kept |= {i for i in range(j, start) if lines[i].node == c and (weight[i] > 0 or i == j)}
+                break
+    return [lines[j].text for j in sorted(kept) if not lines[j].marked]
+
+
+def ancestors(page, c):
+    out = []
+    while page.around[c] >= 0:
+        c = page.around[c]
+        out.append(c)
+    return out
 
 
 def token_file(docs, tokenizer, end_id=2):
@@ -200,3 +262,47 @@ def nearest(vectors, queries, k=5):
             scored = [(-float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())), i) for i, b in good.items() if i != q]
             out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
     return out
+
+
+def prefix_trie(rows, group=5, heads=9):
+    """rows: (conv, turn, role, text). {(smallest member, depth, parent, members, children, leaves, saved, ends)}, sorted."""
+    turns = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            turns.setdefault(c, []).append((turn is not None, turn or 0, digest, role, text))
+    turns = {c: [x[3:] for x in sorted(own)] for c, own in turns.items()}
+    members, rebuilt = {}, {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        rebuilt[c] = tuple(turns.get(c - c % group, [])[:h] + own[h:])
+        for d in range(len(rebuilt[c]) + 1):
+            members.setdefault(rebuilt[c][:d], []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for p in members:
+        if p:
+            children[p[:-1]] = children.get(p[:-1], 0) + 1
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] = leaves.get(p[:d], 0) + (p not in children)
+            saved[p[:d]] = saved.get(p[:d], 0) + (len(m) - 1) * (len(p[-1][1].encode()) if p else 0)
+    ends = lambda p, m: hashlib.sha256(",".join(str(c) for c in sorted(m) if rebuilt[c] == p).encode()).hexdigest()
+    return sorted((min(m), len(p), min(members[p[:-1]]) if p else -1, len(m), children.get(p, 0), leaves[p], saved[p], ends(p, m)) for p, m in members.items())
+
+
+def clusters(rows, k, rounds, dim=64, scale=1024, seed="3:"):
+    """rows: (id, vector). ([(id, cluster, distance)] sorted, centroids), by integers alone."""
+    import math
+
+    vectors = [(i, [math.floor(x * scale) if abs(x) < 2.0**52 else int(x) * scale for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    name = lambda r: hashlib.sha256(f"{seed}{'' if r[0] is None else r[0]}".encode()).hexdigest()
+    centroids = [v for _, v in sorted(vectors, key=lambda r: (name(r), r[1]))[:k]]
+    far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
+    nearest = lambda v: min(range(len(centroids)), key=lambda c: (far(v, centroids[c]), c))
+    for _ in range(rounds):
+        own = {}
+        for _, v in vectors:
+            own.setdefault(nearest(v), []).append(v)
+        centroids = [[sum(x) // len(own[c]) for x in zip(*own[c])] if c in own else old for c, old in enumerate(centroids)]
+    return sorted(((-1 if i is None else i, nearest(v), far(v, centroids[nearest(v)])) for i, v in vectors)), centroids

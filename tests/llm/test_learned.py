@@ -1,5 +1,7 @@
 """Operators that learn, on held-out rows; main text of pages; the pipeline against the plain versions of its stages."""
 
+import re
+
 import numpy as np
 import plain
 import pyarrow as pa
@@ -8,7 +10,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from tempora.llm import queries as Q
-from tempora.llm.html_text import DIVE, SHARE, SURGE, lines_of, main_text, page_texts
+from tempora.llm.html_text import ALONE, DIVE, SEVERAL, SHARE, SURGE, main_text, page_of, page_texts
 from tempora.llm.mixing import EVIDENCE, mixed, mixing_rates, posteriors
 from tempora.llm.quality import held_out, quality_scores
 from tempora.llm.toxicity import LabelModel, toxicity_scores
@@ -189,7 +191,7 @@ TEXT = f"<p>{LONG}</p><p>{LONG}</p>"
 
 
 @pytest.mark.parametrize(("page", "text", "gone"), [
-    (f"{PLAIN}<div>{TEXT}</div>{PLAIN}", f"{LONG} {LONG}", ["Our offers", "Contact us", "Imprint"]),  # boilerplate without a telling name; the lines next to the text share its windows
+    (f"{PLAIN}<div>{TEXT}</div>{PLAIN}", f"{LONG} {LONG}", ["Our offers", "Contact us", "Imprint"]),  # boilerplate without a telling name
     (f"<article><h1 class='entry-header'>Title</h1>{TEXT}</article>", f"Title {LONG} {LONG}", []),
     (f"<div class='content with-sidebar'>{TEXT}</div><div class='sidebar'><p>{LONG}!</p></div>", f"{LONG} {LONG}", ["!"]),
 ])
@@ -205,7 +207,7 @@ def test_links_inside_the_text(between):
 
 
 def test_link_weights():
-    weigh = lambda page: [w for _, w, _ in lines_of(page)]
+    weigh = lambda page: [line.weight for line in page_of(page).lines]
     assert weigh("<p>By <a href='/x'>J&oacute;s&eacute;   Mart&iacute;nez</a></p>") == [len("By ")]
     assert weigh(f"<p><a name=top>{LONG}</p><p>{LONG}</p>") == [len(LONG)] * 2
     assert weigh(f"<div><p><a href='/x'>open</p><p>{LONG}</p></div>") == [0, len(LONG)]
@@ -223,26 +225,54 @@ def test_linked_paragraphs():
     assert main_text(f"<article>{TEXT}{linked}{TEXT}</article>") == f"{LONG} {LONG} A linked sentence of the article. {LONG} {LONG}"
 
 
-def random_page(rng):
+def random_page(rng, depth=0):
     out = []
-    for _ in range(int(rng.integers(1, 30))):
-        said = " ".join("abcdefgh"[: int(rng.integers(1, 9))] for _ in range(int(rng.integers(0, 25)) if rng.random() < 0.6 else int(rng.integers(0, 4))))
-        out.append(rng.choice([f"<p>{said}</p>", f"<li><a href='/'>{said}</a></li>", f"<div class='x'>{said}</div>", f"<aside>{said}</aside>"]))
+    for _ in range(int(rng.integers(1, 12))):
+        said = " ".join("abcdefgh"[: int(rng.integers(1, 9))] for _ in range(int(rng.integers(0, 40)) if rng.random() < 0.5 else int(rng.integers(0, 4))))
+        made = [f"<p>{said}</p>", f"<li><a href='/'>{said}</a></li>", f"<div class='x'>{said}</div>", f"<aside>{said}</aside>", f"<h2>{said[:20]}</h2>", f"<table><tr><td>{said}<td>x</table>"]
+        if depth < 3 and rng.random() < 0.3:
+            name = rng.choice(["div", "div", "section", "td", "article"], p=[0.4, 0.3, 0.15, 0.1, 0.05])
+            made = [f"<{name}>{random_page(rng, depth + 1)}</{name}>"]
+        out.append(rng.choice(made))
     return "".join(out)
 
 
 def test_windows_decide():
     """By chance: the kept lines are those of a plain version; window and thresholds change what is kept."""
     rng = np.random.default_rng(6)
-    pages, changed = [random_page(rng) for _ in range(300)], {"window": 0, "surge": 0, "dive": 0}
+    pages, changed = [random_page(rng) for _ in range(400)], {"window": 0, "surge": 0, "dive": 0}
     for page in pages:
         for window, surge, dive in ((3, SURGE, DIVE), (5, 200, 20), (1, 40, 40)):
-            assert main_text(page, window, surge, dive) == " ".join(plain.kept_lines(lines_of(page), window, surge, dive, SHARE))
+            assert main_text(page, window, surge, dive) == " ".join(plain.kept_lines(page_of(page), window, surge, dive, SHARE, ALONE, SEVERAL))
         for name, value in (("window", 7), ("surge", 300), ("dive", 90)):
             changed[name] += main_text(page) != main_text(page, **{name: value})
     assert min(changed.values()) >= 15
 
 
+def test_articles_stay_whole_and_boilerplate_goes(spark):
+    """Over all pages: with their own names, with names that say nothing, and with no telling element either."""
+    same = {"named": 0, "unnamed": 0, "bare": 0}
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/sf0.1/pages.parquet").select("html").collect()]
+    for page in pages:
+        article = page[page.index("<article>") : page.index("</article>")]
+        text = " ".join(line.text for line in page_of(article).lines)
+        unnamed = re.sub(r"class=\"\w+\"", 'class="x1"', page)
+        same["named"] += main_text(page) == text
+        same["unnamed"] += main_text(unnamed) == text
+        same["bare"] += main_text(re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", unnamed)) == text
+    assert same["named"] == len(pages) and same["unnamed"] >= len(pages) - 2 and same["bare"] >= 0.96 * len(pages)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><h1>Head</h1><p>By A. Author</p><p>{LONG}</p>{''.join(f'<li>item {k}</li>' for k in range(9))}<p>{LONG}</p><p>End.</p></div>", f"Head By A. Author {LONG} {' '.join(f'item {k}' for k in range(9))} {LONG} End."),
+    (f"<div>{TEXT}<table><tr><td>a<td>b<tr><td>c<td>d</table></div><div>Imprint</div>", f"{LONG} {LONG} a b c d"),
+    (f"<div class=x>We use cookies to make this site better for everyone who visits it.</div><div><h1>T</h1><div class=x>By X</div><div>{TEXT}{TEXT}</div></div>", f"T {LONG} {LONG} {LONG} {LONG}"),
+    (f"<div>{TEXT}</div><div class=x>Sign up to our weekly email, and never miss it.</div><section>{TEXT}</section>", f"{LONG} {LONG} Sign up to our weekly email, and never miss it. {LONG} {LONG}"),  # between two halves nothing tells it from the article
+])
+def test_light_lines_of_the_article_stay(page, text):
+    assert main_text(page) == text
+
+
 def test_pages_query(spark):
     rows = Q.op10_html_text(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
