@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Phrases that stand for others, in this order, after letters are folded.
 _SAME = ((r"&amp;", "and"), (r"\bfunction(?:al)? movement screen\b", "fms"), (r"\bassessment\b", "test"), (r"\bpush-up\b", "push up"))
 _DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 _NUMERAL = r"[一二三四五六七八九十两\d]+"
-_ACCENTED, _BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart: accents by themselves, ligatures, full-width and other forms of letters as letters."""
+    return texts.str.normalize("NFKD")
 
 
 def folded(text: Column) -> Column:
-    """A title for comparison: Latin accents off, lower case, phrases that mean the same made one, all else than a-z and 0-9 one space."""
-    out = F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _BARE), "[̀-ͯ]", ""))
+    """A title for comparison: accents off, lower case, phrases that mean the same made one, all else than a-z and 0-9 one space.
+    Only texts beyond ASCII are taken apart, in batches; all others pass as nulls there."""
+    plain = F.octet_length(text) == F.char_length(text)
+    out = F.coalesce(F.when(plain, text).otherwise(_decomposed(F.when(~plain, text))), F.lit(""))
+    out = F.lower(F.regexp_replace(out, "[\u0300-\u036f]", ""))
     for phrase, other in _SAME:
         out = F.regexp_replace(out, phrase, other)
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))

@@ -126,15 +126,17 @@ def _inside(short: DataFrame, long: DataFrame, title: str, other: str, shortest:
     return found.where(F.contains(F.col(other), F.col(title))).drop("_key")
 
 
-def similar_titles(left: DataFrame, right: DataFrame, title: str, other: str, shortest: int = 10) -> DataFrame:
+def similar_titles(left: DataFrame, right: DataFrame, title: str, other: str, shortest: int = 10, action: tuple[str, str] | None = None) -> DataFrame:
     """Pairs of rows of the two tables whose titles are equal, or the shorter of which, `shortest` characters or more,
-    stands anywhere in the other."""
+    stands anywhere in the other. With `action`, columns of the left and of the right, a right row must be of the same
+    action or of an unknown one."""
     size, by = F.length(title), F.length(other)
     columns = [*left.columns, *right.columns]
     longer = _inside(left, right, title, other, shortest).where(size < by)
     shorter = _inside(right, left, other, title, shortest).where(by < size)
     equal = left.where(size > 0).join(right, F.col(title) == F.col(other))
-    return longer.select(columns).unionByName(shorter.select(columns)).unionByName(equal.select(columns))
+    found = longer.select(columns).unionByName(shorter.select(columns)).unionByName(equal.select(columns))
+    return found.where((F.col(action[1]) == "unknown") | F.col(action[1]).eqNullSafe(F.col(action[0]))) if action else found
 
 
 def duplicate_status(pairs: DataFrame, candidates: DataFrame, keys: Sequence[str], match: Sequence[str], duration: str, other_duration: str, near: float = 3.0, most: int = 5) -> DataFrame:

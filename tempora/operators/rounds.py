@@ -59,15 +59,22 @@ def against_consensus(suggested: DataFrame, consensus: DataFrame, key: str, acti
 
 
 def completion(expected: DataFrame, latest: DataFrame, key: str, keys: Sequence[str]) -> DataFrame:
-    """For each of `keys`: expected items, those reviewed, scored, unscorable and missing, and whether all are done and no other is."""
-    each = expected.crossJoin(F.broadcast(latest.select(*keys).distinct().limit(1000))) if keys else expected  # a row for each reviewer and round
-    both = each.withColumn("_expected", F.lit(True)).join(latest.select(*keys, key, "status").withColumn("_found", F.lit(True)), [*keys, key], "full")
-    n = lambda c, name: F.count_if(c).alias(name)
-    out = both.groupBy(*keys).agg(
-        n(F.col("_expected"), "expected"), n(F.col("_expected") & F.col("_found"), "reviewed"), n(F.col("_expected") & (F.col("status") == "scored"), "scored"), n(F.col("_expected") & (F.col("status") == "unscorable"), "unscorable"),
-        n(F.col("_expected") & F.col("_found").isNull(), "missing"), n(F.col("_expected").isNull(), "unexpected"),
-    )
-    return out.withColumn("complete", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+    """For each of `keys` with a latest review of anything: items expected and reviewed, reviews scored, unscorable, deferred,
+    items missing and unexpected, and whether the round is complete: some items are expected, as many reviews are resolved
+    (scored or unscorable), none is deferred, nothing is missing and nothing unexpected.
+
+    Expected items are counted once; each review looks itself up among them, so no pairs of reviewers and items are made.
+    """
+    wanted = expected.select(key).where(F.col(key).isNotNull()).distinct()
+    n_expected = wanted.count()
+    found = latest.select(*keys, key, "status").join(wanted.withColumn("_expected", F.lit(True)), key, "left")
+    n = lambda status: F.count_if(F.col("status") == status).alias(status)
+    known = F.coalesce("_expected", F.lit(False))
+    out = found.groupBy(*keys).agg(F.count_if(known).alias("reviewed"), *map(n, ("scored", "unscorable", "deferred")), F.count_if(~known).alias("unexpected"))
+    out = out.withColumn("expected", F.lit(n_expected).cast("long")).withColumn("missing", F.col("expected") - F.col("reviewed"))
+    resolved = F.col("scored") + F.col("unscorable") == F.col("expected")
+    done = (F.col("expected") > 0) & resolved & (F.col("deferred") == 0) & (F.col("missing") == 0) & (F.col("unexpected") == 0)
+    return out.select(*keys, "expected", "reviewed", "scored", "unscorable", "deferred", "missing", "unexpected", done.alias("complete"))
 
 
 # ---- features and their contract
@@ -150,13 +157,13 @@ def attempt_score(pain: Column, human: Column, human_source: Column, pose: Colum
 # ---- groups of profiles
 
 
-def characterised(rows: DataFrame, long: DataFrame, keys: Sequence[str], row: str, source: str, z: str = "z", most: int = 3) -> DataFrame:
+def characterised(rows: DataFrame, long: DataFrame, keys: Sequence[str], row: str, source: str, z: str = "z", most: int = 3, digits: int = 4) -> DataFrame:
     """For each group of rows (keys, row, source): rows, sources, the largest source's share, whether that is .75 or all, and
     the `most` features of long (row, feature, z) with the farthest median."""
     per = rows.groupBy(*keys, source).agg(F.count("*").alias("_n"))
     counts = per.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("sources"), F.max("_n").alias("_most"))
     share = F.col("_most") / F.col("n")
-    medians = rows.select(*keys, row).join(long.where(F.col(z).isNotNull()), row).groupBy(*keys, "feature").agg(F.round(F.median(z), 4).alias("median"))
+    medians = rows.select(*keys, row).join(long.where(F.col(z).isNotNull()), row).groupBy(*keys, "feature").agg(F.round(F.median(z), digits).alias("median"))
     far = medians.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("median")), "feature"))).where(F.col("_r") <= most)
     named = far.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "feature", "median"))).alias("_f"))
     out = counts.join(named, list(keys), "left")
@@ -195,7 +202,7 @@ def snapshot_id(digests: Mapping[str, str]) -> str:
     return hashlib.sha256("\n".join(f"{name}:{digests[name]}" for name in sorted(digests)).encode()).hexdigest()
 
 
-def table_digest(rows: DataFrame, key: str) -> str:
+def table_digest(rows: DataFrame) -> str:
     """A digest of a table's content, whatever the order of its rows."""
     line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256)
     parts = rows.select(F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(38,0)").alias("a"), F.conv(F.substring(line, 16, 15), 16, 10).cast("decimal(38,0)").alias("b"))
@@ -204,8 +211,13 @@ def table_digest(rows: DataFrame, key: str) -> str:
 
 
 def ingest_snapshot(spark: SparkSession, path: str, sources: Mapping[str, DataFrame], keys: Mapping[str, str]) -> tuple[str, bool]:
-    """(snapshot, written): writes each source under its name, partitioned by the snapshot's id; sources that are there already are left alone."""
-    name = snapshot_id({n: table_digest(df, keys[n]) for n, df in sources.items()})
+    """(snapshot, written): writes each source under its name, partitioned by the snapshot's id; sources that are there already are left alone.
+    A source in which a key, named in `keys`, is missing or repeats is an error, before anything is written."""
+    for source, df in sources.items():
+        bad = df.groupBy(keys[source]).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(keys[source]).isNull()).first()
+        if bad:
+            raise ValueError(f"{source}: {keys[source]} {bad[0]} is missing or repeats")
+    name = snapshot_id({n: table_digest(df) for n, df in sources.items()})
     files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_done/{name}")
     system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if system.exists(files):

@@ -55,11 +55,22 @@ def eligibility(excluding: Sequence[tuple[Column, str]], pending: Sequence[tuple
     return status, list_of(*excluding, *pending)
 
 
-def staged_score(rows: DataFrame, keys: Sequence[str], score: str, stage: str, pain: Column) -> DataFrame:
-    """Final score of a subject's attempts: 0 if any hurt; 3 if one on the floor scored 3; 2 if one on the board scored 2 or
-    more; 1 if there was one on the board; else none yet."""
-    floor, board = F.col(stage) == "floor", F.col(stage) == "board"
+def staged_score(rows: DataFrame, keys: Sequence[str], score: str, elevated: Column) -> DataFrame:
+    """(keys, final_score, status, reason, attempts, scorable): the final score of a subject's attempts, each with its own
+    score (null: it can't be scored) and whether heels were elevated.
+
+    An attempt that scored 0 makes it 0. Of those that can be scored, one on the floor with 3 makes it 3, one with elevated
+    heels and 2 or more makes it 2, any other with elevated heels 1; floor attempts alone below 3 ask for one with elevated
+    heels. The names are fixed values.
+    """
+    s, raised = F.col(score), F.coalesce(elevated, F.lit(False))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    s = F.col(score)
-    final = F.when(any_(pain | (s == 0)), 0).when(any_(floor & (s >= 3)), 3).when(any_(board & (s >= 2)), 2).when(any_(board), 1)
-    return rows.groupBy(*keys).agg(final.alias("final_score"), F.count("*").alias("attempts"))
+    outcomes = [
+        (any_(s == 0), 0, "pain_zero", "pain_or_clearing_zero"), (~any_(s.isNotNull()), None, "insufficient_evidence", "no_scorable_attempts"), (any_(~raised & (s == 3)), 3, "final_ready", "floor_attempt_earned_three"),
+        (any_(raised & (s >= 2)), 2, "final_ready", "heel_elevated_attempt_earned_two"), (any_(raised & s.isNotNull()), 1, "final_ready", "heel_elevated_attempt_below_two"),
+    ]
+    final = F.struct(F.lit(None).cast("int").alias("score"), F.lit("needs_heel_elevated_attempt").alias("status"), F.lit("floor_attempt_no_three_needs_board").alias("reason"))
+    for test, value, status, reason in reversed(outcomes):
+        final = F.when(test, F.struct(F.lit(value).cast("int").alias("score"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))).otherwise(final)
+    found = rows.groupBy(*keys).agg(final.alias("_"), F.count("*").alias("attempts"), F.count(s).alias("scorable"))
+    return found.select(*keys, F.col("_.score").alias("final_score"), "_.status", "_.reason", "attempts", "scorable")

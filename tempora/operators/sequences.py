@@ -67,13 +67,25 @@ def boundaries(rows: DataFrame, keys: Sequence[str], time: str, value: str, leve
     return rows.withColumn("boundary_start", back).withColumn("boundary_end", ahead)
 
 
-def merged_periods(periods: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
-    """Periods (start, end) joined where one begins within `gap` of the furthest end before it."""
+def merged_periods(periods: DataFrame, keys: Sequence[str], gap: float, mean: str | None = None, peak: str | None = None) -> DataFrame:
+    """Periods (start, end) joined where one begins within `gap` of the furthest end before it.
+
+    The mean of joined periods is taken pair by pair in order, so that each further one counts as much as all before it:
+    of n known means the first counts 2^(1-n), the k-th 2^(k-n-1). The peak is the largest, 0 if none is known.
+    """
     w = _by(keys, ["start", "end"])
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = (reach.isNull() | (F.col("start") - reach > gap)).cast("int")
     grouped = periods.withColumn("_new", new).withColumn("_group", F.sum("_new").over(w))
-    return grouped.groupBy(*keys, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("merged")).drop("_group")
+    out = [F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("merged")]
+    if mean:
+        known = F.when(F.col(mean).isNotNull(), 1)
+        grouped = grouped.withColumn("_k", F.count(known).over(_by([*keys, "_group"], ["start", "end"]))).withColumn("_m", F.count(known).over(Window.partitionBy(*keys, "_group")))
+        halvings = F.col("_m") - F.when(F.col("_k") == 1, 1).otherwise(F.col("_k") - 1)
+        out.append(F.sum(F.col(mean) * F.pow(F.lit(0.5), halvings)).alias(mean))
+    if peak:
+        out.append(F.coalesce(F.max(peak), F.lit(0.0)).alias(peak))
+    return grouped.groupBy(*keys, "_group").agg(*out).drop("_group")
 
 
 def expanded(periods: DataFrame, before: float, after: float, low: Column, high: Column, digits: int = 2) -> DataFrame:

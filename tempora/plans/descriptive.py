@@ -181,19 +181,30 @@ def outlier_score(spark, sf_dir):
     return C.outlier_scores(_z(spark, sf_dir), ["p_brand"], "p_partkey")
 
 
-@query(f"""
+_SILHOUETTES = f"""
 WITH {_PART_LONG}, w AS (SELECT p_brand, a, b, distance FROM p UNION ALL SELECT p_brand, b, a, distance FROM p),
 g AS (SELECT p_brand, a, a % 3 AS ga, b % 3 AS gb, avg(distance) AS mean FROM w GROUP BY 1, 2, 3, 4),
 o AS (SELECT p_brand, a AS p_partkey, ga AS grp, max(mean) FILTER (ga = gb) AS own, min(mean) FILTER (ga <> gb) AS other FROM g GROUP BY 1, 2, 3)
-SELECT p_brand, p_partkey, grp, round(own, 6) AS own, round(other, 6) AS other, CASE WHEN own IS NOT NULL AND other IS NOT NULL THEN CASE WHEN greatest(own, other) > 0 THEN round((other - own) / greatest(own, other), 6) ELSE 0 END END AS silhouette FROM o""")
+SELECT p_brand, p_partkey, grp, round(own, 6) AS own, round(other, 6) AS other, CASE WHEN own IS NOT NULL AND other IS NOT NULL THEN CASE WHEN greatest(own, other) > 0 THEN round((other - own) / greatest(own, other), 6) ELSE 0 END END AS silhouette FROM o"""
+
+
+@query(_SILHOUETTES)
 def silhouette(spark, sf_dir):
     groups = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 3).alias("grp"))
     return C.silhouettes(_distances(spark, sf_dir), groups, ["p_brand"], "p_partkey", "grp").withColumn("own", F.round("own", 6)).withColumn("other", F.round("other", 6))
 
 
+@query(f"""SELECT p_brand, n, m AS mean_silhouette, CASE WHEN m IS NULL THEN 'not_estimable' WHEN m >= 0.5 THEN 'strong_separation_exploratory' WHEN m >= 0.25 THEN 'moderate_separation_exploratory' ELSE 'weak_separation_do_not_name_as_discrete_phenotypes' END AS quality
+FROM (SELECT p_brand, count(silhouette) AS n, round(avg(silhouette), 4) AS m FROM ({_SILHOUETTES}) GROUP BY 1)""")
+def silhouette_quality(spark, sf_dir):
+    return C.mean_silhouette(silhouette(spark, sf_dir), ["p_brand"])
+
+
+
 @query(f"""
-WITH {_PART_LONG}, e AS (SELECT p_brand, median(distance) FILTER (a % 5 = b % 5) AS within_, median(distance) FILTER (a % 5 <> b % 5) AS between_ FROM p GROUP BY 1)
-SELECT p_brand, round(within_, 6) AS "within", round(between_, 6) AS "between", round(between_ / nullif(within_, 0), 4) AS ratio, between_ / nullif(within_, 0) >= 1.5 AS source_signature FROM e""")
+WITH {_PART_LONG}, e AS (SELECT p_brand, count(distance) FILTER (a % 5 = b % 5) AS within_pairs, count(distance) FILTER (a % 5 <> b % 5) AS between_pairs, round(median(distance) FILTER (a % 5 = b % 5), 4) AS w, round(median(distance) FILTER (a % 5 <> b % 5), 4) AS b FROM p GROUP BY 1),
+r AS (SELECT *, CASE WHEN b > 0 THEN round(w / b, 4) END AS ratio FROM e)
+SELECT p_brand, within_pairs, between_pairs, w AS "within", b AS "between", ratio, CASE WHEN ratio IS NULL THEN 'not_estimable' WHEN ratio < 0.6 THEN 'strong_source_video_signature' WHEN ratio < 0.85 THEN 'moderate_source_video_signature' ELSE 'weak_source_video_signature' END AS signature FROM r""")
 def source_signature(spark, sf_dir):
     sources = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 5).alias("source"))
     return C.source_effect(_distances(spark, sf_dir), sources, ["p_brand"], "p_partkey", "source")

@@ -75,13 +75,14 @@ def override_layers(spark, sf_dir):
     return J.layered(c, [(nations, ["c_nationkey"]), (own, ["c_custkey"])], ["view"], {"view": "default"}).select("c_custkey", "view")
 
 
-_ALIKE = """SELECT item_id, doc_id, CASE WHEN abs(length(b.text) - n_chars) <= 3 THEN 'title_and_duration' ELSE 'title' END AS kind FROM benchmark b JOIN documents d
+_ALIKE = """SELECT item_id, doc_id, lang, CASE WHEN abs(length(b.text) - n_chars) <= 3 THEN 'title_and_duration' ELSE 'title' END AS kind FROM benchmark b JOIN documents d
 ON length(b.text) < length(d.text) AND length(b.text) >= 10 AND contains(d.text, b.text) OR length(d.text) < length(b.text) AND length(d.text) >= 10 AND contains(b.text, d.text) OR b.text = d.text AND b.text <> ''"""
 
 
-def _alike(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"), F.length("text").alias("seconds"))
-    return J.similar_titles(items, table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "title", "text")
+def _alike(spark, sf_dir, by_action: bool = False):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"), F.length("text").alias("seconds"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr"))), (F.col("item_id") % 3 + 1).cast("int")).alias("wanted"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", F.when(F.col("lang") == "es", "unknown").otherwise(F.col("lang")).alias("kind_of"))
+    return J.similar_titles(items, documents, "title", "text", action=("wanted", "kind_of") if by_action else None)
 
 
 @query(f"SELECT item_id, doc_id FROM ({_ALIKE})")
@@ -90,12 +91,12 @@ def fuzzy_theta_join(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS ({_ALIKE}), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM p),
+WITH p AS (SELECT * FROM ({_ALIKE}) WHERE lang = 'es' OR lang = ['en', 'de', 'fr'][1 + item_id % 3]), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM p),
 m AS (SELECT item_id, bool_or(kind = 'title_and_duration') AS strong, string_agg(doc_id || ':' || kind, ',' ORDER BY n) FILTER (n <= 5) AS matches FROM r GROUP BY 1)
 SELECT item_id, CASE WHEN strong IS NULL THEN 'new_candidate' WHEN strong THEN 'likely_duplicate' ELSE 'possible_duplicate' END AS status, coalesce(matches, '') AS matches FROM benchmark LEFT JOIN m USING (item_id)""")
 def duplicate_candidates(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id")
-    found = J.duplicate_status(_alike(spark, sf_dir), items, ["item_id"], ["doc_id"], "seconds", "n_chars")
+    found = J.duplicate_status(_alike(spark, sf_dir, by_action=True), items, ["item_id"], ["doc_id"], "seconds", "n_chars")
     return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["doc_id"], m["kind"])), ","))
 
 

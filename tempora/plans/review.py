@@ -111,13 +111,27 @@ def min_score_and_confidence(spark, sf_dir):
     return _rated(spark, sf_dir).select("p_partkey", total.alias("total"), confidence.alias("confidence"))
 
 
-@query("""
-WITH a AS (SELECT l_orderkey, l_partkey % 4 AS score, CASE WHEN l_linenumber <= 2 THEN 'floor' ELSE 'board' END AS stage, l_discount >= 0.1 AS pain FROM lineitem)
-SELECT l_orderkey, CASE WHEN bool_or(pain OR score = 0) THEN 0 WHEN bool_or(stage = 'floor' AND score >= 3) THEN 3 WHEN bool_or(stage = 'board' AND score >= 2) THEN 2 WHEN bool_or(stage = 'board') THEN 1 END AS final_score,
-count(*) AS attempts FROM a GROUP BY 1""")
+#: Attempts: pain, a human score or none, a pose's score or none, elevated heels, a score to fall back on. Read by both engines.
+_ATTEMPTS = {
+    "pain": "l_discount >= 0.1 AND l_suppkey % 5 = 0", "human": "CASE WHEN l_partkey % 5 = 0 THEN 1 + l_partkey % 3 END", "pose": "CASE WHEN l_partkey % 3 <> 0 THEN 1 + l_suppkey % 3 END", "raised": "l_linenumber > 2 AND l_suppkey % 3 <> 0",
+    "fallback": "CASE WHEN l_suppkey % 4 = 0 THEN 1 + l_orderkey % 3 END",
+}
+
+
+@query(f"""
+WITH a AS (SELECT l_orderkey, {', '.join(f'{e} AS {c}' for c, e in _ATTEMPTS.items())} FROM lineitem WHERE l_linenumber < 5 AND l_partkey % 4 <> 1),
+b AS (SELECT *, raised AND human IS NULL AND fallback IS NOT NULL AND (pose IS NULL OR (fallback >= 2 AND pose < 2)) AS falls FROM a), c AS (SELECT *, CASE WHEN human IS NOT NULL THEN human WHEN falls THEN fallback ELSE pose END AS raw FROM b),
+s AS (SELECT l_orderkey, raised, CASE WHEN pain THEN 0 WHEN raised AND raw IS NOT NULL THEN least(raw, 2) ELSE raw END AS score FROM c),
+g AS (SELECT l_orderkey, count(*) AS attempts, count(score) AS scorable, CASE WHEN count(*) FILTER (score = 0) > 0 THEN 1 WHEN count(score) = 0 THEN 2 WHEN count(*) FILTER (NOT raised AND score = 3) > 0 THEN 3 WHEN count(*) FILTER (raised AND score >= 2) > 0 THEN 4 WHEN count(*) FILTER (raised AND score IS NOT NULL) > 0 THEN 5 ELSE 6 END AS k FROM s GROUP BY 1)
+SELECT l_orderkey, [0, NULL, 3, 2, 1, NULL][k] AS final_score, ['pain_zero', 'insufficient_evidence', 'final_ready', 'final_ready', 'final_ready', 'needs_heel_elevated_attempt'][k] AS status,
+['pain_or_clearing_zero', 'no_scorable_attempts', 'floor_attempt_earned_three', 'heel_elevated_attempt_earned_two', 'heel_elevated_attempt_below_two', 'floor_attempt_no_three_needs_board'][k] AS reason, attempts, scorable FROM g""")
 def staged_final_score(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 4).alias("score"), F.when(F.col("l_linenumber") <= 2, "floor").otherwise("board").alias("stage"), (F.col("l_discount") >= 0.1).alias("pain"))
-    return R.staged_score(a, ["l_orderkey"], "score", "stage", F.col("pain"))
+    from tempora.operators.rounds import attempt_score
+
+    a = table(spark, sf_dir, "lineitem").where("l_linenumber < 5 AND l_partkey % 4 <> 1").select("l_orderkey", *[F.expr(e).alias(c) for c, e in _ATTEMPTS.items()])
+    c = F.col
+    score, _, _ = attempt_score(c("pain"), c("human"), F.lit("human_final"), c("pose"), F.lit("pose_suggestion"), c("raised"), c("fallback"))
+    return R.staged_score(a.withColumn("score", score), ["l_orderkey"], "score", c("raised"))
 
 
 @query("""

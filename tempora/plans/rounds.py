@@ -68,16 +68,16 @@ def suggestions_against_consensus(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0), l AS (SELECT o_custkey AS id, o_orderpriority AS reviewer, CASE WHEN o_orderkey % 5 = 0 THEN 'unscorable' ELSE 'scored' END AS status, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS n FROM orders),
-f AS (SELECT * FROM l WHERE n = 1), r AS (SELECT DISTINCT reviewer FROM f), x AS (SELECT e.id, reviewer FROM e, r),
-j AS (SELECT coalesce(x.reviewer, f.reviewer) AS reviewer, x.id IS NOT NULL AS ex, f.id IS NOT NULL AS fo, status FROM x FULL JOIN f ON x.id = f.id AND x.reviewer = f.reviewer)
-SELECT reviewer, count(*) FILTER (ex) AS expected, count(*) FILTER (ex AND fo) AS reviewed, count(*) FILTER (ex AND status = 'scored') AS scored, count(*) FILTER (ex AND status = 'unscorable') AS unscorable, count(*) FILTER (ex AND NOT fo) AS missing, count(*) FILTER (NOT ex) AS unexpected,
-count(*) FILTER (ex AND NOT fo) = 0 AND count(*) FILTER (NOT ex) = 0 AS complete FROM j GROUP BY 1""")
+WITH e AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0), l AS (SELECT o_custkey AS id, o_orderpriority AS reviewer, CASE o_orderkey % 7 WHEN 0 THEN 'deferred' WHEN 5 THEN 'unscorable' ELSE 'scored' END AS status, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS n FROM orders),
+f AS (SELECT l.*, e.id IS NOT NULL AS known FROM l LEFT JOIN e ON e.id = l.id WHERE n = 1), k AS (SELECT count(*) AS expected FROM e),
+s AS (SELECT reviewer, count(*) FILTER (known) AS reviewed, count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status = 'unscorable') AS unscorable, count(*) FILTER (status = 'deferred') AS deferred, count(*) FILTER (NOT known) AS unexpected FROM f GROUP BY 1)
+SELECT reviewer, expected, reviewed, scored, unscorable, deferred, expected - reviewed AS missing, unexpected, expected > 0 AND scored + unscorable = expected AND deferred = 0 AND expected = reviewed AND unexpected = 0 AS complete FROM s, k""")
 def completion_summary(spark, sf_dir):
     from tempora.operators.sequences import latest
 
     expected = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"))
-    reviews = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("reviewer"), "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "unscorable").otherwise("scored").alias("status"))
+    k = F.col("o_orderkey") % 7
+    reviews = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("reviewer"), "o_orderkey", F.when(k == 0, "deferred").when(k == 5, "unscorable").otherwise("scored").alias("status"))
     return R.completion(expected, latest(reviews, ["id", "reviewer"], ["o_orderkey"]), "id", ["reviewer"])
 
 
@@ -161,12 +161,12 @@ def attempt_scores(spark, sf_dir):
 
 @query(f"""
 WITH {_PART_LONG}, r AS (SELECT p_brand, p_partkey, p_partkey % 3 AS grp, p_type FROM part), c AS (SELECT p_brand, grp, p_type, count(*) AS n FROM r GROUP BY 1, 2, 3), k AS (SELECT p_brand, grp, sum(n) AS n, count(*) AS sources, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM c GROUP BY 1, 2),
-f AS (SELECT r.p_brand, grp, feature, round(median(z), 4) AS med FROM r JOIN z USING (p_partkey) WHERE z IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT p_brand, grp, string_agg(feature || ':' || med, ',' ORDER BY abs(med) DESC, feature) AS characteristic FROM f GROUP BY 1, 2)
-SELECT k.p_brand, k.grp, CAST(n AS BIGINT) AS n, sources, round(share, 4) AS largest_share, sources = 1 OR share >= 0.75 AS concentrated, len(string_split(characteristic, ',')) AS features FROM k JOIN t ON k.p_brand = t.p_brand AND k.grp = t.grp""")
+f AS (SELECT r.p_brand, grp, feature, round(median(z), 6) AS med FROM r JOIN z USING (p_partkey) WHERE z IS NOT NULL GROUP BY 1, 2, 3), t0 AS (SELECT p_brand, grp, list({{'feature': feature, 'median': med}} ORDER BY abs(med) DESC, feature)[1:3] AS xs FROM f GROUP BY 1, 2), t AS (SELECT p_brand, grp, array_to_string(list_transform(xs, lambda x: x.feature || ':' || CAST(CAST(round(x.median * 100000) AS BIGINT) AS VARCHAR)), ',') AS characteristic FROM t0)
+SELECT k.p_brand, k.grp, CAST(n AS BIGINT) AS n, sources, round(share, 4) AS largest_share, sources = 1 OR share >= 0.75 AS concentrated, characteristic FROM k JOIN t ON k.p_brand = t.p_brand AND k.grp = t.grp""")
 def group_characterisation(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 3).alias("grp"), "p_type")
     long = _z(spark, sf_dir).select("p_partkey", "feature", "z")
-    return R.characterised(rows, long, ["p_brand", "grp"], "p_partkey", "p_type").withColumn("features", F.size("characteristic").cast("long")).drop("characteristic")
+    return R.characterised(rows, long, ["p_brand", "grp"], "p_partkey", "p_type", digits=6).withColumn("characteristic", F.array_join(F.transform("characteristic", lambda x: F.concat_ws(":", x["feature"], F.round(x["median"] * 100000).cast("long").cast("string"))), ","))
 
 
 @query(f"WITH {_PART_LONG} SELECT p_brand, count(distance) AS n, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(min(distance), 6) AS least, round(max(distance), 6) AS largest FROM p GROUP BY 1")

@@ -40,7 +40,7 @@ _SMOOTH = "s AS (SELECT event_id, user_id, epoch_us(ts) AS us, round(avg(value)
 _ISLANDS = f"""
 {_SMOOTH}, f AS (SELECT *, coalesce(v >= 14, false) AS inside FROM s), g AS (SELECT *, CASE WHEN inside AND NOT coalesce(lag(inside) OVER w, false) THEN 1 ELSE 0 END AS st FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us)),
 i AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM g),
-p AS (SELECT user_id, CAST(island AS BIGINT) AS island, min(us) AS start, max(us) AS "end", count(*) AS n, avg(v) AS mean FROM i WHERE inside GROUP BY 1, 2)"""
+p AS (SELECT user_id, CAST(island AS BIGINT) AS island, min(us) AS start, max(us) AS "end", count(*) AS n, avg(v) AS mean, max(v) AS peak FROM i WHERE inside GROUP BY 1, 2)"""
 
 
 def _smooth(spark, sf_dir):
@@ -52,9 +52,9 @@ def _periods(spark, sf_dir):
     return S.island_periods(S.islands(_smooth(spark, sf_dir), ["user_id"], ["us"], F.col("v") >= 14), ["user_id"], "us", "v")
 
 
-@query(f'WITH {_ISLANDS} SELECT user_id, island, start, "end", n, round(mean, 5) AS mean FROM p')
+@query(f'WITH {_ISLANDS} SELECT user_id, island, start, "end", n, round(mean, 11) AS mean FROM p')
 def active_islands(spark, sf_dir):
-    return _periods(spark, sf_dir).select("user_id", "island", "start", "end", "n", F.round("mean", 5).alias("mean"))
+    return _periods(spark, sf_dir).select("user_id", "island", "start", "end", "n", F.round("mean", 11).alias("mean"))
 
 
 @query(f"""WITH {_ISLANDS}, k AS (SELECT user_id, CAST(island AS BIGINT) AS island, us, v, row_number() OVER (PARTITION BY user_id, island ORDER BY v DESC, us) AS r FROM i WHERE inside)
@@ -69,11 +69,12 @@ def peak_boundaries(spark, sf_dir):
     return S.boundaries(_smooth(spark, sf_dir), ["user_id"], "us", "v", 10.0).select("event_id", "boundary_start", "boundary_end")
 
 
-@query(f"""WITH {_ISLANDS}, q AS (SELECT user_id, start, "end", max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+@query(f"""WITH {_ISLANDS}, q AS (SELECT user_id, start, "end", mean, peak, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR start - reach > 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM q)
-SELECT user_id, min(start) AS start, max("end") AS "end", count(*) AS merged FROM n GROUP BY user_id, g""")
+SELECT user_id, min(n.start) AS start, max(n."end") AS "end", count(*) AS merged, round(list_reduce(list(n.mean ORDER BY n.start, n."end"), lambda a, b: (a + b) / 2), 11) AS mean, round(max(n.peak), 5) AS peak FROM n GROUP BY user_id, g""")
 def merged_periods(spark, sf_dir):
-    return S.merged_periods(_periods(spark, sf_dir).select("user_id", "start", "end"), ["user_id"], 4 * 3600 * 1_000_000)
+    found = S.merged_periods(_periods(spark, sf_dir).select("user_id", "start", "end", "mean", "peak"), ["user_id"], 4 * 3600 * 1_000_000, "mean", "peak")
+    return found.withColumn("mean", F.round("mean", 11)).withColumn("peak", F.round("peak", 5))
 
 
 @query("""

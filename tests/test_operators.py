@@ -123,3 +123,82 @@ def test_scalars(spark):
 def test_prohibited_fields(spark):
     df = spark.createDataFrame([], "a int, b struct<score:int, c array<struct<label_x:int>>>, m map<string, struct<score:int>>")
     assert prohibited_fields(df, "score|label") == ["b.score", "b.c.label_x", "m.score"]
+
+
+# ---- rules that were once departed from
+
+
+def test_completion_of_many_reviewers(spark):
+    from tempora.operators.rounds import completion
+
+    expected = spark.createDataFrame([(k,) for k in range(3)], "id long")
+    done = [(r, k, "scored" if k else "unscorable") for r in range(1500) for k in range(3)]
+    odd = [(2000, 0, "scored"), (2000, 1, "scored"), (2001, 0, "scored"), (2001, 1, "scored"), (2001, 2, "deferred"), (2002, 0, "scored"), (2002, 1, "scored"), (2002, 2, "scored"), (2002, 9, "scored"), (2003, 9, "deferred")]
+    reviews = spark.createDataFrame(done + odd, "reviewer long, id long, status string")
+    got = {r.reviewer: r for r in completion(expected, reviews, "id", ["reviewer"]).collect()}
+    assert len(got) == 1504 and all(got[r].complete and got[r].expected == 3 and got[r].missing == 0 for r in range(1500))
+    said = {r: (got[r].reviewed, got[r].scored, got[r].deferred, got[r].missing, got[r].unexpected, got[r].complete) for r in range(2000, 2004)}
+    assert said == {2000: (2, 2, 0, 1, 0, False), 2001: (3, 2, 1, 0, 0, False), 2002: (3, 4, 0, 0, 1, False), 2003: (0, 0, 1, 3, 1, False)}
+    assert not any(r.complete for r in completion(expected.limit(0), reviews, "id", ["reviewer"]).collect())
+    assert completion(expected, reviews.limit(0), "id", ["reviewer"]).collect() == []
+
+
+@pytest.mark.parametrize(("attempts", "final"), [
+    ([(3, False), (1, True)], (3, "final_ready", "floor_attempt_earned_three")), ([(2, False), (2, True)], (2, "final_ready", "heel_elevated_attempt_earned_two")), ([(2, False), (1, True)], (1, "final_ready", "heel_elevated_attempt_below_two")),
+    ([(2, False), (None, True)], (None, "needs_heel_elevated_attempt", "floor_attempt_no_three_needs_board")), ([(None, True)], (None, "insufficient_evidence", "no_scorable_attempts")), ([(3, False), (0, True)], (0, "pain_zero", "pain_or_clearing_zero")),
+    ([(2, None)], (None, "needs_heel_elevated_attempt", "floor_attempt_no_three_needs_board")),
+])
+def test_staged_score(spark, attempts, final):
+    from tempora.operators.scoring import staged_score
+
+    r = staged_score(spark.createDataFrame([("a", *x) for x in attempts], "k string, score int, raised boolean"), ["k"], "score", F.col("raised")).first()
+    assert (r.final_score, r.status, r.reason) == final and (r.attempts, r.scorable) == (len(attempts), sum(s is not None for s, _ in attempts))
+
+
+def test_source_effect(spark):
+    """Pairs within a source at half the distance of those between: a strong signature, not a weak one."""
+    from tempora.operators.clusters import source_effect
+
+    sources = spark.createDataFrame([("a", k, k // 2) for k in range(4)], "g string, id int, source int")
+    pairs = [("a", a, b, 0.5 if a // 2 == b // 2 else 1.0) for a in range(4) for b in range(a + 1, 4)]
+    r = source_effect(spark.createDataFrame(pairs, "g string, a int, b int, distance double"), sources, ["g"], "id", "source").first()
+    assert (r.within_pairs, r.between_pairs, r.within, r.between, r.ratio, r.signature) == (2, 4, 0.5, 1.0, 0.5, "strong_source_video_signature")
+
+
+def test_merged_periods_average_pair_by_pair(spark):
+    from tempora.operators.sequences import merged_periods
+
+    rows = [("a", 0.0, 1.0, 0.2, 0.5), ("a", 1.5, 2.0, 0.4, 0.9), ("a", 2.1, 2.2, None, None), ("a", 2.5, 3.0, 0.8, 0.1), ("a", 9.0, 9.5, 0.3, None)]
+    got = merged_periods(spark.createDataFrame(rows, "k string, start double, end double, mean double, peak double"), ["k"], 1.6, "mean", "peak").orderBy("start").collect()
+    assert [(r.start, r.end, r.merged, r.peak) for r in got] == [(0.0, 3.0, 4, 0.9), (9.0, 9.5, 1, 0.0)]
+    assert got[0].mean == pytest.approx(((0.2 + 0.4) / 2 + 0.8) / 2) and got[1].mean == 0.3
+
+
+def test_folding_of_other_letters(spark):
+    """Against the same rules letter by letter, for all letters that come apart."""
+    import re
+    import unicodedata
+
+    from tempora.functions.hints import folded
+
+    texts = ["őű Şirin čeština", "ﬁt ﬂow ½ ㎏", "ＦＵＬＬ　ｗｉｄｔｈ", "Việt Nam ấ", "日本 x", "", None, "İstanbul", *[f"a{chr(c)}b" for c in range(0x80, 0x2FF)]]
+    plain = lambda t: re.sub(r"[^a-z0-9]+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", t or "")).lower()).strip()
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(folded(F.col("t"))).collect()]
+    assert got == [plain(t) for t in texts]
+
+
+def test_similar_titles_of_an_action(spark):
+    from tempora.operators.joins import similar_titles
+
+    left = spark.createDataFrame([("deep squat practice", "squat")], "title string, wanted string")
+    right = spark.createDataFrame([("my deep squat practice one", k) for k in ("squat", "lunge", "unknown", None)], "other string, kind string")
+    assert {r.kind for r in similar_titles(left, right, "title", "other", action=("wanted", "kind")).collect()} == {"squat", "unknown"}
+    assert similar_titles(left, right, "title", "other").count() == 4
+
+
+def test_snapshot_of_repeated_keys(spark, tmp_path):
+    from tempora.operators.rounds import ingest_snapshot
+
+    with pytest.raises(ValueError, match="repeats"):
+        ingest_snapshot(spark, str(tmp_path), {"a": spark.createDataFrame([(1,), (1,)], "id long")}, {"a": "id"})
+    assert not list(tmp_path.iterdir())
