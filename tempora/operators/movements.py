@@ -15,6 +15,7 @@ from tempora.functions.scalars import axial_difference, clamp, joint_angle, leng
 from tempora.operators import detectors as D
 from tempora.operators import matching as M
 from tempora.operators import sequences as S
+from tempora.operators.joins import interval_join
 
 SIDES = ("left", "right")
 #: How each movement's cycles are found.
@@ -28,6 +29,10 @@ LEG_RAISE_SIDES, HURDLE_SIDES = 0.8, 0.7
 _BODY = tuple(f"{s}_{p}" for p in ("shoulder", "hip", "knee", "ankle") for s in SIDES)
 
 
+#: The points whose motion counts.
+TRACKED = tuple(f"{s}_{p}" for p in ("shoulder", "elbow", "wrist", "hip", "knee", "ankle", "heel", "foot_index") for s in SIDES)
+
+
 def _named(frames: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """(keys, second, a struct column for each name): the last point of each name, null if there is none. Points are looked up
     here once; whatever is computed of them reads columns."""
@@ -189,6 +194,31 @@ def lunge_cycles(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return without_overlaps(D.cycles(rows, keys, "second", "depth", LUNGE, "visibility"), keys)
 
 
+def squat_cycles_of_windows(frames: DataFrame, windows: DataFrame, keys: Sequence[str], bucket: float = 10.0) -> DataFrame:
+    """The strongest squat cycle (strength + .05 visibility, the first of two) of each window (id, start, end), each window by
+    itself: its own percentiles, its own times. Windows may overlap; frames are dealt to all that hold them. Numbered in the
+    order of windows' starts."""
+    asked = windows.where(F.col("end") > F.col("start")).select(*keys, F.col("id").alias("window"), F.col("start").alias("window_start"), F.col("end").alias("window_end"))
+    dealt = interval_join(frames.where(F.col("second").isNotNull()), asked, keys, "second", "window_start", "window_end", bucket)
+    key = [*keys, "window", "window_start", "window_end"]
+    found = squat_cycles(dealt, key)
+    power = F.round(F.col("strength") + F.coalesce("visibility", F.lit(0.0)) * 0.05, 9)
+    best = found.groupBy(*key).agg(F.count("*").alias("candidates"), F.max_by(F.struct("start", "end", "anchor", "strength", "visibility", "signal"), F.struct(power, -F.col("number"))).alias("_"))
+    return best.select(*key, "candidates", "_.*").withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("window_start", "window_end", "window")))
+
+
+def landmark_motion(frames: DataFrame, keys: Sequence[str], names: Sequence[str] = TRACKED, least: float = 0.35) -> DataFrame:
+    """(keys, second, motion, tracked): the mean distance that points have moved since the frame before, over those that both
+    frames show; 0 for the first frame, and where they show none in common. Frames that show no point are left out."""
+    rows = _named(frames, keys, names)
+    shown = rows.select(*keys, "second", *[F.when(_usable(n, least), F.struct(F.col(n)["x"].alias("x"), F.col(n)["y"].alias("y"))).alias(n) for n in names])
+    tracked = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    seen = computed(shown.withColumn("tracked", tracked)).where("tracked > 0")
+    before = seen.withColumn("_before", F.lag(F.struct(*names)).over(Window.partitionBy(*keys).orderBy("second")))
+    moved = computed(before.select(*keys, "second", "tracked", *[length(F.col(n)["x"] - F.col("_before")[n]["x"], F.col(n)["y"] - F.col("_before")[n]["y"]).alias(f"_{n}") for n in names]))
+    return moved.select(*keys, "second", F.coalesce(_mean(*[F.col(f"_{n}") for n in names]), F.lit(0.0)).alias("motion"), "tracked")
+
+
 def squat_cycles(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cycles of depth and of compression, what hips and knees lack of their gap when standing (its 80th percentile); where
     both see one by half, the stronger stays. `signal` names which it is."""

@@ -252,3 +252,38 @@ def cycles_to_count(spark, sf_dir):
     """As many leg raises as a user has segments that are theirs: three of four."""
     found = V.leg_raise_cycles(_frames(spark, sf_dir), ["user_id"])
     return G.cycles_to_count(found, _pieces(spark, sf_dir).where("id < 3").groupBy("user_id").agg(F.count("*").alias("expected")), ["user_id"])
+
+
+# ---- windows, and motion of all points
+
+_WINDOWED = """w AS (SELECT user_id, c AS id, c * 6e0 AS s, c * 6e0 + 14 AS e FROM (SELECT user_id, unnest(range(0, 5)) AS c FROM (SELECT DISTINCT user_id FROM events))),
+f AS (SELECT f0.* REPLACE (f0.user_id * 10 + w.id AS user_id) FROM f0 JOIN w ON f0.user_id = w.user_id AND f0.second BETWEEN w.s AND w.e)"""
+
+
+@query(f"""
+WITH RECURSIVE {_FRAMES.replace('f AS (SELECT user_id, event_id', 'f0 AS (SELECT user_id, event_id')}, {_WINDOWED}, {_DEPTHS}, sig AS (SELECT user_id, second AS t, depth AS v0, vis FROM d), {cycle_sql('c', 'sig', 'user_id', V.SQUAT_DEPTH)},
+g AS (SELECT user_id, second AS t, vis, round(avg(gap) OVER (PARTITION BY user_id ORDER BY second ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS gap FROM d), g8 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap) - 1 AS q, count(*) OVER (PARTITION BY user_id) AS n FROM g),
+stand AS (SELECT user_id, max(gap) FILTER (q = floor((n - 1) * 0.8e0 + 0.5)) AS p80 FROM g8 GROUP BY 1), sig2 AS (SELECT user_id, t, greatest(0, p80 - gap) AS v0, vis FROM g JOIN stand USING (user_id)), {cycle_sql('c2', 'sig2', 'user_id', V.SQUAT_COMPRESSION, smooth=False)},
+every AS (SELECT * FROM c UNION ALL SELECT * FROM c2), {overlaps_sql('o', 'every', 0.5).replace("x.strength AS strength FROM", "x.strength AS strength, x.p AS p FROM")},
+b AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS candidates, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, anchor, s, e) AS first FROM o)
+SELECT user_id // 10 AS user_id, user_id % 10 AS "window", candidates, s AS start, e AS "end", anchor, strength, CAST(row_number() OVER (PARTITION BY user_id // 10 ORDER BY user_id % 10) AS INT) AS number FROM b WHERE first = 1""")
+def squat_windows(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    windows = users.select("user_id", "id", (F.col("id") * 6.0).alias("start"), (F.col("id") * 6.0 + 14).alias("end"))
+    return V.squat_cycles_of_windows(_frames(spark, sf_dir), windows, ["user_id"]).select("user_id", "window", "candidates", "start", "end", "anchor", "strength", "number")
+
+
+_SEEN_POINTS = [f"{side}_{part}" for part in _PARTS for side in V.SIDES]
+
+
+@query(f"""
+WITH {_FRAMES}, q AS (SELECT user_id, second, [{', '.join(f"CASE WHEN (event_id + {k}) % 5 <> 0 AND event_id % 13 <> 0 THEN {{'x': {n}_x, 'y': {n}_y}} END" for k, n in enumerate(_SEEN_POINTS))}] AS ps FROM f),
+c AS (SELECT *, len(list_filter(ps, lambda p: p IS NOT NULL)) AS tracked FROM q), l AS (SELECT *, lag(ps) OVER (PARTITION BY user_id ORDER BY second) AS bs FROM c WHERE tracked > 0),
+d AS (SELECT user_id, second, tracked, CASE WHEN bs IS NULL THEN [] ELSE list_filter(list_transform(list_zip(ps, bs), lambda z: sqrt(pow(z[1].x - z[2].x, 2) + pow(z[1].y - z[2].y, 2))), lambda v: v IS NOT NULL) END AS moves FROM l)
+SELECT user_id, second, CAST(tracked AS INT) AS tracked, round(coalesce(list_sum(moves) / nullif(len(moves), 0), 0), 9) AS motion FROM d""")
+def landmark_motion(spark, sf_dir):
+    """Points that come and go: each is hardly seen in every fifth frame, and some frames show none."""
+    k = F.create_map(*[x for i, n in enumerate(_SEEN_POINTS) for x in (F.lit(n), F.lit(i))])
+    hidden = lambda p: ((F.col("event_id") + F.try_element_at(k, p["name"])) % 5 == 0) | (F.col("event_id") % 13 == 0)
+    frames = _frames(spark, sf_dir).withColumn("points", F.transform("points", lambda p: p.withField("visibility", F.when(hidden(p), 0.2).otherwise(0.9))))
+    return V.landmark_motion(frames, ["user_id"]).withColumn("motion", F.round("motion", 9))

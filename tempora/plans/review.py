@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempora.functions import scalars as X
 from tempora.operators import aggregates as A
+from tempora.operators import reviews as E
 from tempora.operators import scoring as R
 from tempora.operators import sequences as S
 from tempora.plans.catalog import query, table
@@ -141,3 +143,65 @@ def eligibility_reasons(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     status, reasons = R.eligibility([(F.col("n_chars") < 100, "too_short"), (F.col("lang") == "es", "wrong_language")], [(F.col("quality").isNull(), "unlabelled")])
     return docs.select("doc_id", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))
+
+
+# ---- exports of review events
+
+#: Events: orders of a customer supersede the one before, but for broken links. Read by both engines.
+_EVENT = {
+    "status": "CASE o_orderkey % 11 WHEN 3 THEN 'unscorable' WHEN 4 THEN 'deferred' WHEN 5 THEN 'done' ELSE 'scored' END", "score": "CASE WHEN o_orderkey % 11 NOT IN (3, 4) OR o_orderkey % 23 = 0 THEN o_orderkey % 5 END",
+    "confidence": "CASE o_custkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END", "unscorable_reason": "CASE WHEN o_orderkey % 11 = 3 AND o_orderkey % 2 = 0 THEN 'view' WHEN o_orderkey % 37 = 0 THEN 'dark' END",
+    "zero_reason": "CASE WHEN o_orderkey % 41 = 0 THEN 'guess' END", "comment": "CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE 'seen' END", "eligible": "o_orderkey % 11 <> 3 OR o_orderkey % 7 = 0", "cue": "CASE WHEN o_orderkey % 19 = 0 THEN true WHEN o_orderkey % 19 = 1 THEN false END",
+    "view": "CASE WHEN o_custkey % 29 <> 0 THEN 'front' END", "side": "CASE WHEN o_custkey % 31 <> 0 THEN 'left' ELSE 'up' END", "started": "CASE WHEN o_orderkey % 43 <> 0 THEN o_orderkey END", "created": "o_orderkey + 5 - CASE WHEN o_orderkey % 47 = 0 THEN 9 ELSE 0 END",
+    "duration": "CASE WHEN o_orderkey % 53 <> 0 THEN o_totalprice END",
+}
+_EVENTS = f"""v AS (SELECT o_orderkey AS event_id, o_custkey AS repetition_id, {', '.join(f'{e} AS {c}' for c, e in _EVENT.items())} FROM orders),
+t AS (SELECT o_orderkey AS event_id, o_custkey AS repetition_id, CASE WHEN o_orderkey % 97 = 0 THEN -o_orderkey WHEN o_orderkey % 89 = 0 THEN first_value(o_orderkey) OVER (ORDER BY o_orderkey) WHEN o_orderkey % 83 = 0 THEN lag(o_orderkey, 2) OVER w
+WHEN o_custkey % 50 = 0 AND lag(o_orderkey) OVER w IS NULL THEN max(o_orderkey) OVER (PARTITION BY o_custkey) ELSE lag(o_orderkey) OVER w END AS target FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"""
+
+
+def _events(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("repetition_id"), *[F.expr(e).alias(c) for c, e in _EVENT.items()])
+
+
+def _targets(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    k, own = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    target = F.when(k % 97 == 0, -k).when(k % 89 == 0, F.lit(least)).when(k % 83 == 0, F.lag(k, 2).over(own)).when((F.col("o_custkey") % 50 == 0) & F.lag(k).over(own).isNull(), F.max(k).over(Window.partitionBy("o_custkey"))).otherwise(F.lag(k).over(own))
+    return orders.select(k.alias("event_id"), F.col("o_custkey").alias("repetition_id"), target.alias("target"))
+
+
+_RULES = {
+    "status_invalid": "status NOT IN ('scored', 'unscorable', 'deferred')", "score_invalid": "status = 'scored' AND (score IS NULL OR score > 3)", "confidence_invalid": "status IN ('scored', 'unscorable') AND confidence IS NULL", "unscorable_reason_invalid": "unscorable_reason <> 'view'",
+    "zero_reason_invalid": "zero_reason <> 'confirmed_pain'", "unscorable_reason_required": "status = 'unscorable' AND unscorable_reason IS DISTINCT FROM 'view'", "unscorable_with_score": "status = 'unscorable' AND score IS NOT NULL", "comment_required": "status = 'unscorable' AND trim(comment) = ''",
+    "unscorable_not_excluded": "status = 'unscorable' AND eligible", "started_missing": "started IS NULL", "duration_invalid": "duration IS NULL", "started_after_created": "started > created", "view_invalid": "view IS NULL", "side_invalid": "side = 'up'",
+    "cue_inconsistent": "cue AND eligible", "eligibility_inconsistent": "eligible <> (status <> 'unscorable' AND NOT coalesce(cue, false))",
+}
+
+
+@query(f"WITH {_EVENTS} " + " UNION ALL ".join(f"SELECT event_id, '{name}' AS error FROM v WHERE {test}" for name, test in _RULES.items()))
+def event_errors(spark, sf_dir):
+    return E.event_errors(_events(spark, sf_dir), ["view"])
+
+
+_CHAINED = f"""{_EVENTS},
+s AS (SELECT t.*, CASE WHEN t.target IS NULL THEN 'first' WHEN o.event_id IS NULL THEN 'missing_target' WHEN o.repetition_id <> t.repetition_id THEN 'other_group' ELSE 'linked' END AS status FROM t LEFT JOIN t o ON o.event_id = t.target),
+n AS (SELECT event_id, CASE WHEN status = 'linked' THEN target END AS next FROM s), w AS (SELECT event_id, event_id AS spot, next, 0 AS d FROM n UNION ALL SELECT w.event_id, n.event_id, n.next, d + 1 FROM w JOIN n ON n.event_id = w.next WHERE d < 150),
+e AS (SELECT event_id, max(d) AS d, arg_max(spot, d) AS root, arg_max(next, d) IS NOT NULL AS cyclic FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d DESC) AS r FROM w) WHERE r = 1 GROUP BY 1), c AS (SELECT target, count(*) AS n FROM s WHERE status = 'linked' GROUP BY 1),
+ch AS (SELECT s.event_id, CASE WHEN cyclic THEN 'cycle' ELSE status END AS status, CASE WHEN NOT cyclic THEN root END AS root, CASE WHEN NOT cyclic THEN CAST(d AS BIGINT) END AS steps, status = 'linked' AND c.n > 1 AS forked, h.target IS NULL AS head FROM s JOIN e USING (event_id) LEFT JOIN c ON c.target = s.target LEFT JOIN c h ON h.target = s.event_id)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINED} SELECT event_id, status, root, steps, coalesce(forked, false) AS forked, head FROM ch")
+def superseded_chains(spark, sf_dir):
+    return E.chains(_targets(spark, sf_dir), "event_id", "target", "repetition_id")
+
+
+@query(f"""
+WITH RECURSIVE {_CHAINED} SELECT event_id, error FROM (SELECT event_id, CASE status WHEN 'missing_target' THEN 'superseded_missing' WHEN 'other_group' THEN 'superseded_of_another_repetition' WHEN 'cycle' THEN 'superseded_in_a_cycle' END AS error FROM ch) WHERE error IS NOT NULL
+UNION ALL SELECT event_id, 'superseded_twice' FROM ch WHERE forked UNION ALL SELECT event_id, 'outside_manifest' FROM t WHERE repetition_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0)""")
+def reference_errors(spark, sf_dir):
+    events = _targets(spark, sf_dir)
+    expected = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("repetition_id"))
+    return E.reference_errors(events, E.chains(events, "event_id", "target", "repetition_id"), expected)
