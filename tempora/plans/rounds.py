@@ -209,3 +209,28 @@ def folded_titles(spark, sf_dir):
     title = F.concat(F.lit("Functional Movement Screen: "), "p_name", F.lit(" -- Assessment #"), F.col("p_size").cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", H.folded(title).alias("folded"))
 
+
+
+#: Notes made of numbers: a and b in Arabic digits, z the Chinese numeral of a. Read by both engines.
+_MADE_NOTES = (
+    "concat('第', a, '个正面，rep ', b, ' side')", "concat(a, '到', b, '侧面')", "concat('first ', a, ' front, last ', b, ' side')", "concat('rep ', a, '-', b, ' heels elevated; rep ', n, ' fms board')",
+    "concat(n, ' reps, all but the first heels raised')", "concat('前', z, '个侧面')", "concat('后', z, '个正面，第', b, '个脚跟抬起')", "'nothing to say'",
+)
+_NOTE_NUMBERS = "event_id, 1 + event_id % 5 AS a, 1 + event_id % 5 + event_id % 3 AS b, 8 + event_id % 7 AS n"
+_CHINESE = "一二三四五"
+
+
+@query(f"""
+WITH e AS (SELECT {_NOTE_NUMBERS}, event_id % 8 AS t FROM events), r AS (SELECT *, unnest(range(1, n + 1)) AS k FROM e)
+SELECT event_id, CAST(k AS INT) AS repetition, CASE t WHEN 0 THEN CASE k WHEN a THEN 'front' WHEN b THEN 'side' END WHEN 1 THEN CASE WHEN k BETWEEN a AND b THEN 'side' END WHEN 2 THEN CASE WHEN k <= a THEN 'front' ELSE 'side' END
+WHEN 5 THEN CASE WHEN k <= a THEN 'side' END WHEN 6 THEN CASE WHEN k > n - a THEN 'front' END END AS view,
+CASE t WHEN 3 THEN k BETWEEN a AND b OR k = n WHEN 4 THEN k > 1 WHEN 6 THEN k = b ELSE false END AS raised FROM r""")
+def note_rules(spark, sf_dir):
+    from tempora.operators.notes import repetition_rules
+
+    z = F.element_at(F.array(*map(F.lit, _CHINESE)), F.col("a").cast("int"))
+    rows = table(spark, sf_dir, "events").selectExpr(*_NOTE_NUMBERS.split(", ")).withColumn("z", z)
+    notes = F.lit(None).cast("string")
+    for k, made in enumerate(_MADE_NOTES):
+        notes = F.when(F.col("event_id") % 8 == k, F.expr(made)).otherwise(notes)
+    return repetition_rules(rows.withColumn("notes", notes), ["event_id"], "notes", "n")

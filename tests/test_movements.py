@@ -113,3 +113,24 @@ def test_merging_at_the_gap(spark):
     peaks = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.8, 2.0), ("a", 3.0, 1.0)], "k string, t double, s double")
     at = lambda inclusive: sorted(r.t for r in merge_peaks(peaks, ["k"], "t", "s", 0.8, inclusive).collect())
     assert at(False) == [1.0, 1.8, 3.0] and at(True) == [1.8, 3.0]
+
+
+def test_motion_of_points_that_come_and_go(spark):
+    frames = [("a", 0.0, [("left_hip", 0.0, 0.0, None), ("left_knee", 0.0, 0.0, 0.9), ("nose", 0.0, 0.0, 1.0)]), ("a", 1.0, [("left_hip", 0.3, 0.4, 0.9), ("left_knee", 0.0, 0.1, 0.9), ("nose", 9.0, 9.0, 1.0)]), ("a", 2.0, [("left_hip", 0.3, 0.4, 0.1)]), ("a", 3.0, [("right_hip", 0.0, 0.0, 0.9)]), ("a", 4.0, None)]
+    got = [(r.second, pytest.approx(r.motion), r.tracked) for r in V.landmark_motion(spark.createDataFrame(frames, POINTS), ["k"]).orderBy("second").collect()]
+    assert got == [(0.0, 0.0, 2), (1.0, 0.3, 2), (3.0, 0.0, 1)]
+
+
+def test_each_window_has_its_own_cycle(spark):
+    """A bend in either of two windows far apart; each window is measured by its own frames."""
+    frames = []
+    for begin, size in ((0.0, 0.28), (40.0, 0.2)):
+        for k in range(41):
+            t = begin + k / 10
+            low = size * max(0.0, 1 - abs(t - begin - 2) / 1.2)
+            ys = {"shoulder": 0.2, "hip": 0.45 + low, "knee": 0.7, "ankle": 0.9}
+            frames.append(("a", t, [(f"{s}_{p}", 0.5, y, 0.9) for p, y in ys.items() for s in V.SIDES]))
+    windows = spark.createDataFrame([("a", 7, 0.0, 4.0), ("a", 3, 40.0, 44.0), ("a", 1, 50.0, 60.0), ("a", 2, 5.0, 5.0)], "k string, id int, start double, end double")
+    got = V.squat_cycles_of_windows(spark.createDataFrame(frames, POINTS), windows, ["k"]).orderBy("number").collect()
+    assert [(r.window, r.number) for r in got] == [(7, 1), (3, 2)] and [round(r.anchor) for r in got] == [2, 42]
+    assert all(r.window_start <= r.start < r.anchor < r.end <= r.window_end for r in got)

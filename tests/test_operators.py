@@ -202,3 +202,50 @@ def test_snapshot_of_repeated_keys(spark, tmp_path):
     with pytest.raises(ValueError, match="repeats"):
         ingest_snapshot(spark, str(tmp_path), {"a": spark.createDataFrame([(1,), (1,)], "id long")}, {"a": "id"})
     assert not list(tmp_path.iterdir())
+
+
+# ---- notes
+
+
+NOTES = [
+    ("第二个正面，rep 3 side", 4, [None, "front", "side", None], []), ("一到三正面，4-5侧面", 6, ["front"] * 3 + ["side"] * 2 + [None], []), ("前三个正面，后四个侧面", 7, ["front"] * 3 + ["side"] * 4, []),
+    ("first 2 reps front, last 1 side", 5, ["front"] * 2 + ["side"] * 3, []), ("last 9 from the front", 3, ["front"] * 3, []), ("第2个侧面，前三个正面", 4, ["front", "side", "front", None], []), ("5到3正面", 5, [None] * 5, []),
+    ("rep 2-4 heels elevated; rep 6 fms board", 6, [None] * 6, [2, 3, 4, 6]), ("第一到第三个", 2, [None] * 2, []), ("第2到3个脚跟抬起", 4, [None] * 4, [2, 3]), ("2个到3个垫脚跟", 4, [None] * 4, [2, 3]),
+    ("last two with heel lift", 5, [None] * 5, [4, 5]), ("all but the first heels raised", 3, [None] * 3, [2, 3]), ("除了第一个都脚跟垫高", 3, [None] * 3, [1, 2, 3]), ("其余脚跟垫高", 3, [None] * 3, [2, 3]), ("后两个垫高脚跟", 2, [None] * 2, [1, 2]), ("last two", 3, [None] * 3, []),
+    (None, 2, [None] * 2, []), ("", 1, [None], []), ("前二十三个侧面", 2, ["side"] * 2, []),
+]
+
+
+def test_rules_of_notes(spark):
+    from tempora.operators.notes import repetition_rules
+
+    rows = [(k, notes, count) for k, (notes, count, _, _) in enumerate(NOTES)] + [(-1, "first 2 front", 0), (-2, "first 2 front", None)]
+    got = repetition_rules(spark.createDataFrame(rows, "k int, notes string, n int"), ["k"], "notes", "n").orderBy("k", "repetition").collect()
+    for k, (notes, count, views, raised) in enumerate(NOTES):
+        own = [r for r in got if r.k == k]
+        assert ([r.repetition for r in own], [r.view for r in own], [r.repetition for r in own if r.raised]) == (list(range(1, count + 1)), views, raised), notes
+    assert min(r.k for r in got) == 0
+
+
+# ---- chains
+
+
+def test_chains_of_many_links(spark, monkeypatch):
+    """A thousand links in about ten rounds; forks, a cycle with a tail, other groups, missing targets and repeated ids."""
+    from tempora.operators import reviews as E
+
+    rounds = []
+    kept = E._kept
+    monkeypatch.setattr(E, "_kept", lambda df: rounds.append(1) or kept(df))
+    rows = [(k, k - 1 if k else None, "g") for k in range(1001)] + [(2000, 5, "g"), (2001, 4, "h"), (2002, 9999, "g"), (3000, 3001, "c"), (3001, 3002, "c"), (3002, 3000, "c"), (3003, 3000, "c"), (3004, 3004, "c"), (4000, None, "g"), (4000, 3, "g"), (4001, 4000, "g"), (None, 1, "g")]
+    events = spark.createDataFrame(rows, "event_id int, target int, repetition_id string").repartition(4)
+    found = E.chains(events, "event_id", "target", "repetition_id")
+    got = {r.event_id: r for r in found.collect()}
+    assert len(rounds) <= 14
+    assert all((got[k].root, got[k].steps, got[k].status) == (0, k, "linked" if k else "first") for k in range(1001)) and [k for k in range(1001) if got[k].head] == [1000]
+    assert [k for k in got if got[k].forked] == [6, 2000, 3002, 3003] or {k for k in got if got[k].forked} == {6, 2000, 3002, 3003}
+    assert (got[2000].root, got[2000].steps, got[2001].status, got[2002].status, got[4001].status) == (0, 6, "other_group", "missing_target", "missing_target")
+    assert {k for k in got if got[k].status == "cycle"} == {3000, 3001, 3002, 3003, 3004} and {k for k in got if got[k].status == "repeated_id"} == {4000, None}
+    errors = {(r.event_id, r.error) for r in E.reference_errors(events, found, spark.createDataFrame([("g",), ("c",)], "repetition_id string")).collect()}
+    assert (2001, "outside_manifest") in errors and (2002, "superseded_missing") in errors and (3004, "superseded_in_a_cycle") in errors and (2000, "superseded_twice") in errors and (4000, "event_id_repeats") in errors
+    assert E.chains(events.limit(0), "event_id", "target", "repetition_id").collect() == []
