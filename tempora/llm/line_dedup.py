@@ -110,7 +110,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Documents enter the runs in `batches` ranges of falling id; ids are numbers. Null or empty text is one empty line.
     Rows with a null id keep all lines and count for none; rows that repeat an id are one document to the counts, and
-    each is cleaned. An empty table gives an empty table. Other columns pass unchanged, but for one named `lines`, a struct column that holds what is new
+    each is cleaned. An empty table gives an empty table. Other columns pass unchanged, but for one named `lines`, in any case of letters, a struct column that holds what is new
     (n_lines, n_dropped, kept_text).
     """
     spark = docs.sparkSession
@@ -130,4 +130,4 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines, whole, none = lines_of(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")), F.col(places).isNull()
     kept = F.when(none, whole).otherwise(F.array_join(_without(lines, F.col(places)), "\n"))
     found = F.struct(F.size(lines).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size(places)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
-    return rows.select(*[docs[c] for c in docs.columns if c != "lines"], found.alias("lines"))
+    return rows.select(*[docs[c] for c in docs.columns if c.lower() != "lines"], found.alias("lines"))

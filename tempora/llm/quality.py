@@ -135,20 +135,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
     Null and empty texts have the vector of no terms and are scored like any other; repeated rows score alike, to the
     last digit but one; without
-    labelled rows all score 0.5; an empty table gives no rows; other columns pass unchanged.
+    labelled rows all score 0.5; an empty table gives no rows; other columns pass unchanged, but for one named `column`, in any case of letters, which is replaced.
     """
     found = fit_voters(docs, labels, learn, label_col, voters)
     shared = docs.sparkSession.sparkContext.broadcast(found)
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    fields = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.DoubleType())])
+    fields = T.StructType([f for f in docs.schema.fields if f.name.lower() != column.lower()] + [T.StructField(column, T.DoubleType())])
     schema = to_arrow_schema(fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TEXT_BYTES):
             made = shared.value.scores(terms(batch.column("text")), neighbours)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != column], pa.array(made, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c.lower() != column.lower()], pa.array(made, pa.float64())], schema=schema)
 
     return in_arrow(docs, score, fields)
 

@@ -251,18 +251,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     """docs with a column `column`: 0 to 1, higher if label 1 is likelier, from the whole text alone.
 
     Null and empty texts have no terms and get the score of such; repeated rows score alike; an empty table gives no
-    rows; other columns pass unchanged.
+    rows; other columns pass unchanged, but for one named `column`, in any case of letters, which is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, label_col, sample, terms))
-    fields = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.DoubleType())])
+    fields = T.StructType([f for f in docs.schema.fields if f.name.lower() != column.lower()] + [T.StructField(column, T.DoubleType())])
     schema = to_arrow_schema(fields)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = shared.value
         for batch in slices(batches, "text", 16 << 20):
             made = [classifier.score(fired) for fired in _fired(batch.column("text"), classifier.terms)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != column], pa.array(made, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c.lower() != column.lower()], pa.array(made, pa.float64())], schema=schema)
 
     return in_arrow(docs, score, fields)

@@ -13,9 +13,11 @@ from tempora.llm.decontaminate import contamination, decontaminated, longest_mat
 from tempora.llm.line_dedup import drop_shared_lines
 from tempora.llm.mixing import mixed
 from tempora.llm.neighbours import nearest_neighbours
+from tempora.llm.quality import quality_scores
 from tempora.llm.simhash import fingerprint_links, near_duplicates, without_near_duplicates
 from tempora.llm.similar import without_similar
 from tempora.llm.token_counts import PieceCounter, token_counts
+from tempora.llm.toxicity import toxicity_scores
 from tempora.llm.token_files import Segment, by_words, encode_segment, read_token, read_token_index, token_ids, write_token_file
 
 SF = f"{DATA}/sf0.001"
@@ -340,6 +342,14 @@ def test_clashing_columns(spark):
         assert single.columns == docs.columns and all(r._keep == f"_keep{r.doc_id}" for r in single.collect())
 
 
+def test_columns_that_clash_in_another_case(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", 1.0, "x", "y") for k in range(4)], "doc_id long, text string, Score double, LINES string, Note string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    for scores in (toxicity_scores, quality_scores):
+        assert sorted(scores(docs, labels).columns) == ["LINES", "Note", "doc_id", "score", "text"] and scores(docs, labels).select("score", "Note").count() == 4
+    assert sorted(drop_shared_lines(docs).columns) == ["Note", "Score", "doc_id", "lines", "text"]
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     """Each row loses its own lines, wherever they stand in it."""
     line = "a line that several documents share, and long enough to be a key of its own"
