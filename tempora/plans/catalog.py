@@ -32,4 +32,4 @@ def micros(column: str = "ts") -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-from tempora.plans import descriptive, detection, features, matching, movements, relational, review, rounds, temporal  # noqa: E402, F401
+from tempora.plans import canonical, descriptive, detection, features, matching, movements, relational, review, rounds, temporal  # noqa: E402, F401

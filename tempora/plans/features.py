@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import anchors as N
 from tempora.operators import rotary as R
+from tempora.operators import suggestions as G
 from tempora.plans.catalog import query, table
 from tempora.plans.movements import _FRAMES, _PIECES, _frames, _pieces, _slope, _span
 
@@ -190,6 +191,45 @@ def rating_counts(spark, sf_dir):
     return N.rating_counts(N.features(_frames(spark, sf_dir), _repetitions(spark, sf_dir), ["user_id"]))
 
 
+# ---- suggested scores
+
+#: What timing says of a repetition, and what it asks for. Read by both engines.
+_TIMED = {"visibility": "CASE WHEN id % 5 <> 0 THEN 0.4e0 + 0.05e0 * (id % 9) END", "coverage": "CASE WHEN id % 7 <> 0 THEN 0.1e0 * (id % 11) END", "raised": "id % 6 = 0", "version": "CASE WHEN id % 16 = 10 THEN 2 WHEN id = 23 THEN 9 END"}
+#: Written from the rules: groups of ratings whose least makes a sub-score, and the version.
+_SUBSCORES = {
+    "deep_squat": (2, ["depth"], ["knee_alignment"], ["torso_control"]), "active_leg_raise": (3, ["leg_raise"], ["down_leg_control", "pelvic_stability"], ["knee_extension", "side_confidence"]),
+    "hurdle_step": (3, ["clearance"], ["stance_leg_control", "pelvis_trunk_control"], ["step_leg_alignment", "side_confidence"]), "inline_lunge": (2, ["depth_zone"], ["trunk_pelvis_control", "rear_leg_control"], ["knee_foot_line", "side_confidence"]),
+    "shoulder_mobility": (1, ["reach_distance"], ["reach_distance", "shoulder_reference"], ["hand_visibility", "side_context"]), "trunk_stability": (1, ["core_stability", "trunk_visibility"], ["push_up", "arm_extension"], ["compensation"]),
+}
+
+
+def _suggestion_sql(action: str) -> str:
+    version, *groups = _SUBSCORES[action]
+    names = list(dict.fromkeys(n for g in groups for n in g))
+    value = lambda n: f"CASE r_{n} WHEN 'limited' THEN 1 {'' if n == 'knee_extension' else chr(39).join(('WHEN ', 'watch', ' THEN 2'))} ELSE 3 END"
+    subs = ", ".join(f"least({', '.join(value(n) for n in g)}, 3) AS s{k}" for k, g in enumerate(groups))
+    seen = "coalesce(visibility, 0)" if action != "shoulder_mobility" else "least(1, coalesce(round(hand_visibility, 4), visibility, 0) * 0.55e0 + coalesce(visibility, round(hand_visibility, 4), 0) * 0.45e0)"
+    rated = " + ".join(f"CAST(r_{n} <> 'not_applicable' AS INT)" for n in names)
+    gate = "version IS NULL AND least(s0, s1, s2) = 1" if action == "hurdle_step" else "false"
+    staged = action == "deep_squat"
+    return f"""SELECT user_id, id, '{action}' AS action, ok, coalesce(version, {version}) AS v, coalesce(version, {version}) IN ({'2, 3' if action == 'hurdle_step' else version}) AS has, {gate} AS manual, {'NOT raised AND least(s0, s1, s2) < 3' if staged else 'false'} AS asks, {'raised' if staged else 'false'} AS up, s0, s1, s2,
+round(least(1, ({rated}) / {len(names)}e0 * 0.45e0 + {seen} * 0.35e0 + coalesce(coverage, 0) * 0.2e0), 9) AS conf
+FROM (SELECT *, {subs} FROM (SELECT *, {', '.join(f'{e} AS r_{c}' for c, e in _RATED[action].items() if c in names)} FROM (SELECT user_id, id, view, side, "start" IS NOT NULL AS ok, {', '.join(f'{e} AS {c}' for c, e in _TIMED.items())}, {', '.join(f'{e} AS {c}' for c, e in _METRICS[action].items())} FROM p WHERE action = '{action}')))"""
+
+
+@query(f"""WITH {_FRAMES}, {_REPS}, {_NEAR}, each AS ({' UNION ALL '.join(map(_suggestion_sql, _SUBSCORES))}),
+told AS (SELECT *, CASE WHEN NOT has THEN 'unsupported' WHEN NOT ok THEN 'insufficient_evidence' WHEN manual THEN 'needs_manual_review' WHEN asks THEN 'needs_heel_elevated_attempt' ELSE 'suggested' END AS suggestion_status, has AND ok AS made, CASE WHEN has AND ok THEN CASE WHEN manual THEN 0.48 ELSE round(conf, 2) END ELSE 0 END AS confidence FROM each)
+SELECT user_id, id, action, suggestion_status, CASE WHEN suggestion_status = 'suggested' THEN CASE WHEN up THEN least(s0, s1, s2, 2) ELSE least(s0, s1, s2) END END AS total, CASE WHEN made THEN least(s0, s1, s2) END AS raw,
+CASE WHEN made THEN concat_ws(',', CASE WHEN up THEN least(s0, 2) ELSE s0 END, CASE WHEN up THEN least(s1, 2) ELSE s1 END, CASE WHEN up THEN least(s2, 2) ELSE s2 END) END AS subscores, CAST(confidence AS DOUBLE) AS confidence,
+CASE WHEN confidence >= 0.72 THEN 'high' WHEN confidence >= 0.52 THEN 'medium' ELSE 'low' END AS confidence_label, CASE WHEN has THEN v END AS model FROM told
+UNION ALL SELECT user_id, id, action, 'unsupported', NULL, NULL, NULL, 0, 'low', NULL FROM r WHERE action IN ('rotary_stability', 'jump')""")
+def suggested_scores(spark, sf_dir):
+    """All actions and two versions of one model in one plan."""
+    made = N.features(_frames(spark, sf_dir), _repetitions(spark, sf_dir), ["user_id"]).select("*", *[F.expr(e).alias(c) for c, e in _TIMED.items()])
+    found = G.suggestions(made)
+    return found.select("user_id", "id", "action", "suggestion_status", "total", "raw", F.array_join("subscores", ",").alias("subscores"), "confidence", "confidence_label", "model")
+
+
 # ---- full cycles
 
 _ALL = [f"{s}_{p}" for p in ("shoulder", "hip", "wrist", "knee", "ankle") for s in R.SIDES]

@@ -249,3 +249,73 @@ def test_chains_of_many_links(spark, monkeypatch):
     errors = {(r.event_id, r.error) for r in E.reference_errors(events, found, spark.createDataFrame([("g",), ("c",)], "repetition_id string")).collect()}
     assert (2001, "outside_manifest") in errors and (2002, "superseded_missing") in errors and (3004, "superseded_in_a_cycle") in errors and (2000, "superseded_twice") in errors and (4000, "event_id_repeats") in errors
     assert E.chains(events.limit(0), "event_id", "target", "repetition_id").collect() == []
+
+
+# ---- canonical entries
+
+
+def test_assets_in_four_states(spark):
+    from tempora.operators import canonical as C
+
+    files = spark.createDataFrame([(p,) for p in ("/d/Deep Squat/a.MP4", "/d/squat/b.mp4", "/d/x/squat/b.mp4", "/d/sample videos/squat/c.mp4", "/d/squat/c.mp4", "/d/other/d.mp4", "C:\\d\\squat\\e.mp4", "/d/sample videos/g.mp4")], "path string")
+    ranked = C.ranked_files(files, "path", {"squat": ("/squat/", "/deep squat/"), "lunge": ("/lunge/",)})
+    asked = [("A.mp4", "squat"), ("b.mp4", "squat"), ("c.mp4", "squat"), ("d.mp4", "squat"), ("e.MP4", "squat"), (None, "squat"), ("", "squat"), ("a.mp4", "lunge"), ("zz.mp4", "squat"), ("g.mp4", None), ("g.mp4", "jump")]
+    refs = spark.createDataFrame([(k, *a) for k, a in enumerate(asked)], "k int, name string, action string")
+    got = [(r.asset_status, r.asset_path, r.asset_candidates) for r in C.resolved(refs, ranked, "name", "action", ["squat", "lunge"]).orderBy("k").collect()]
+    assert got == [
+        ("found", "/d/Deep Squat/a.MP4", 1), ("ambiguous", "/d/squat/b.mp4", 2), ("found", "/d/sample videos/squat/c.mp4", 1), ("missing", None, 1), ("found", "C:\\d\\squat\\e.mp4", 1), ("not_referenced", None, 0), ("not_referenced", None, 0),
+        ("missing", None, 1), ("missing", None, 0), ("found", "/d/sample videos/g.mp4", 1), ("found", "/d/sample videos/g.mp4", 1),
+    ]
+
+
+def test_repeated_exports(spark):
+    from tempora.operators import canonical as C
+
+    rows = [("e1", "same", "b.json", 1, [("s", 0.0, 1.0)]), ("e1", "same", "a.json", 2, [("s", 0.0, 1.0), ("s", 0.0, 1.0)]), ("e2", "first", "a.json", 1, []), ("e2", "second", "b.json", 1, None)]
+    occurrences = spark.createDataFrame(rows, "id string, content string, source string, at int, segments array<struct<segment_id:string,start:double,end:double>>")
+    found = C.deduplicated(occurrences, "id", "content", "source", ["source", "at"])
+    got = {r.id: (r.content, r["at"], r.occurrences, r.source_files, r.conflict) for r in found.collect()}
+    assert got == {"e1": ("same", 2, 2, ["a.json", "b.json"], False), "e2": ("first", 1, 2, ["a.json", "b.json"], True)}
+    reps = C.repetitions(found, "id", "segments", ["id"]).orderBy("repetition").collect()
+    assert [(r.id, r.repetition, r.start) for r in reps] == [("e1", 1, 0.0), ("e1", 2, 0.0)] and len({r.repetition_id for r in reps}) == 2
+    with pytest.raises(Exception, match="has no id"):
+        C.deduplicated(occurrences.withColumn("id", F.nullif("id", F.lit("e2"))), "id", "content", "source", ["source", "at"]).collect()
+
+
+# ---- exports and predictions
+
+
+def test_records_round_trip(spark):
+    """Nested records with the last of repeated evidence, to flat text and back."""
+    from tempora.operators import export as X
+
+    segments = spark.createDataFrame([("s1", 1, True), ("s2", None, False), ("a;b", 3, None)], "id string, n int, pain boolean")
+    timing = spark.createDataFrame([("s1", 1, 0.5, ["x"], {"a": 1.5}), ("s1", 2, 0.75, ["a;b", "c\\d", None, "", "\\0"], {"b;": None}), ("zz", 1, 1.0, [], None), ("a;b", 1, None, [], {})], "id string, at int, start double, issues array<string>, metrics map<string,double>")
+    deep = spark.createDataFrame([("s1", 1, (4, ("x", [1, None, 3])))], "id string, at int, score struct<total:int,by:struct<name:string,parts:array<int>>>")
+    records = X.with_evidence(segments, {"timing": (timing, ["at"]), "deep": (deep, ["at"])}, "id")
+    flat = X.flattened(records)
+    assert flat.columns == ["id", "n", "pain", "timing__start", "timing__issues", "timing__metrics", "deep__score__total", "deep__score__by__name", "deep__score__by__parts"] and set(dict(flat.dtypes).values()) == {"string"}
+    first = flat.where("id = 's1'").first()
+    assert (first.pain, first.timing__start, first.timing__issues, first.deep__score__by__parts) == ("true", "0.75", r"a\;b;c\\d;\0;;\\0", r"1;\0;3")
+    assert X.nested(flat, records.schema).orderBy("id").collect() == records.orderBy("id").collect()
+    assert X.flattened(records, ["deep__score__total", "gone"]).where("gone IS NULL").count() == 3
+
+
+def test_leaks_are_refused(spark, tmp_path):
+    from tempora.operators import predictions as P
+
+    spark.createDataFrame([(1, 2, 5), (2, 3, 6)], "id int, human_score int, seen int").write.parquet(f"{tmp_path}/labels")
+    spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, x int").write.parquet(f"{tmp_path}/features")
+    labels, features = spark.read.parquet(f"{tmp_path}/labels"), spark.read.parquet(f"{tmp_path}/features")
+    score = lambda rows: rows.select("id", (F.col("x") / 10).cast("int").alias("suggested"))
+    got = {(r.id, r.suggested, r.human_score) for r in P.prediction_package([features], score, labels, "id", "human_score").collect()}
+    assert got == {(1, 1, 2), (2, 2, 3), (3, 3, None)}
+    made = features.join(labels.select("id", F.col("seen").alias("innocent")), "id")  # another name, but the labels' file
+    for leaking in (made, features.withColumn("reviewer_score", F.lit(1)), features.withColumn("a", F.array(F.struct(F.lit(1).alias("consensus"))))):
+        with pytest.raises(P.LeakError):
+            P.prediction_package([leaking], score, labels, "id", "human_score")
+    with pytest.raises(P.LeakError):
+        P.prediction_package([features], lambda rows: score(rows).join(labels.select("id", "seen"), "id"), labels, "id", "human_score")
+    with pytest.raises(Exception, match="missing or repeats"):
+        P.prediction_package([features, features], score, labels, "id", "human_score").collect()
+    P.refuse_leaks(features.withColumnRenamed("x", "label_free"), allowed=["label_free"])
