@@ -48,7 +48,7 @@ def _far(ax: str, ay: str, bx: str, by: str) -> str:
 def _corner(*xy: str) -> str:
     ax, ay, bx, by, cx, cy = xy
     dot = f"(({ax} - {bx}) * ({cx} - {bx}) + ({ay} - {by}) * ({cy} - {by}))"
-    return f"degrees(acos(greatest(-1, least(1, {dot} / ({_far(ax, ay, bx, by)} * {_far(cx, cy, bx, by)})))))"
+    return f"(CASE WHEN {dot} IS NOT NULL THEN degrees(acos(greatest(-1, least(1, {dot} / ({_far(ax, ay, bx, by)} * {_far(cx, cy, bx, by)}))))) END)"
 
 
 def _sided_corner(side: str, *parts: str) -> str:
