@@ -124,8 +124,8 @@ def test_alike_documents_are_neighbours():
     texts = [rng.integers(0, 50, 200) + 1000 * k for k in kinds]
     places = curve_places(np.concatenate(texts).astype(np.uint32), np.arange(401) * 200)
     assert places.min() >= 0 and places.max() < 1 << (4 * BITS)
-    runs = np.count_nonzero(np.diff(kinds[np.argsort(places)]))
-    assert runs < 40 < np.count_nonzero(np.diff(kinds)) / 5
+    turns = lambda order: np.count_nonzero(np.diff(kinds[order]))
+    assert turns(np.argsort(places)) < turns(np.arange(400)) / 4
 
 
 @pytest.mark.parametrize("total", [0, 1, 2047, 2048, 2049, 4096, 9999])
@@ -187,7 +187,7 @@ def test_packed_sequences(spark, with_nulls):
     """Null ids and repeated rows are documents too; sequences hold their pieces' tokens."""
     pieces = packed_pieces(with_nulls, Q.vocabulary_path(Q.TOKENIZER), length=100).withColumn("crc", F.crc32("ids")).collect()
     assert sum(r.length for r in pieces) == sum(len(x) for x in tokens([r.text for r in with_nulls.collect()]))
-    assert {r.start for r in pieces if r.doc_id is None} == {0} and len([r for r in pieces if r.doc_id == 5 and r.start == 0]) == 2
+    assert len([r for r in pieces if r.doc_id is None and r.start == 0]) == 2 and len([r for r in pieces if r.doc_id == 5 and r.start == 0]) == 2
     made = packed_sequences(packed_pieces(with_nulls, Q.vocabulary_path(Q.TOKENIZER), length=100), length=100).collect()
     by = {}
     for r in sorted(pieces, key=lambda r: r.offset):
