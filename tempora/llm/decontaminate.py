@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tempora.llm._common import free_name, in_arrow, slices, text_bytes, words_of
 
+#: Python workers build the suffix array of this many bytes of text at once.
+TEXT_BYTES = 4 << 20
 #: Bytes of test text that are broadcast at once; a larger benchmark goes through in several passes.
 BENCH_BYTES = 16 << 20
 #: What is no word and no letter to lower-case, by byte: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z became a-z.
@@ -155,7 +157,7 @@ def _diagonals(place: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[
 
 
 def _scan(tests: TestSet, text_col: str, column: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text_col):
+    for batch in slices(batches, text_col, TEXT_BYTES):
         shard, n = Shard(batch.column(text_col)), batch.num_rows
         test = tests.in_shard(shard.dictionary)
         # a window with a word that the shard lacks is nowhere in it

@@ -6,10 +6,13 @@ above (`recall`). As in `simhash`, a fingerprint goes to each bucket that one of
 share a variant are compared by 128 further bits in the bucket, then by all bits of all tables, then by the shingle
 sets themselves; only what passes is a link.
 
-In a bucket each is paired with the least of those that share its variant, not with all. Of its pairs a document's
-nearest is verified first; the others matter only where they still join different components. Where pairing with the
-least could lose a link, since not all that share a variant are alike or of one component then, a second round compares
-all bits of those in different components, and passes on each pair that is near enough once.
+In a bucket those that are alike the least of their variant hang together, over all variants, and each is paired with
+the least of all that hang together, not with all. Of its pairs a document's nearest is verified first; the others
+matter only where they still join different components. Where this could lose a link, since not all that share a variant
+are alike or of one component then, a second round compares all bits of those in different components, and passes on each
+pair that is near enough once. In a large group near the threshold such pairs are as many as the square of its members:
+where both have more than CROWD of them in a bucket, they aren't passed on, but meet there once more with their shingle
+sets, and the bucket passes on a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tempora.llm._common import in_arrow, saved, skew_join, slices, temporary, text_bytes
 from tempora.llm.components import components
-from tempora.llm.simhash import _LOWER, SEED
+from tempora.llm.simhash import _LOWER, SEED, _forest
 
 #: Words of signature, of 64 bits; each holds the fingerprints of two tables. Bits of a fingerprint and its radius.
 WORDS, BITS, RADIUS = 13, 32, 2
@@ -39,6 +42,12 @@ FURTHER = 29
 CLOSE = 154
 #: Variants that a bucket may write out, if fingerprints are even.
 BUCKET_VARIANTS = 2_000_000
+#: Bytes of shingle sets that a bucket may get, if fingerprints are even.
+BUCKET_BYTES = 32 << 20
+#: Pairs of a node in a bucket from which on it is compared there, with others that have as many.
+CROWD = 4
+#: Bits for each text that is looked for in the map that keeps other texts from moving, and those of one of Spark's bitmaps.
+TEXT_BITS, BITMAP = 64, 32768
 _SIGNATURE = [f"s{k}" for k in range(WORDS)]
 #: Two hashes that tell texts apart.
 _TEXT = ("of_1", "of_2")
@@ -93,13 +102,15 @@ def _signed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *(batch.column(c) for c in _TEXT), node, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)], names=["doc", *_TEXT, "node", *_SIGNATURE])
 
 
-#: What a bucket gets of a node, packed: in the first round, and in the second.
+#: What a bucket gets of a node, packed: in the first round, in the second.
 _TABLE = [("fp", "<u4"), ("node", "<i8")]
 _FIRST, _SECOND = np.dtype([*_TABLE, ("further", "<u8", (2,))]), np.dtype([*_TABLE, ("root", "<i8"), ("signature", "<u8", (WORDS,))])
+#: And of a node of a crowd; its shingle set, of `size` hashes, follows in a column of its own.
+_THIRD = np.dtype([*_SECOND.descr, ("size", "<u4")])
 
 
 def _dealt(prefix_bits: int, kind: np.dtype, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, rows): each table's fingerprints go to every bucket that one of their variants begins with, packed by batch."""
+    """(bucket, rows), with sets for _THIRD: each table's fingerprints go to every bucket that one of their variants begins with, packed by batch."""
     flips = np.array([0, *(1 << b for b in range(prefix_bits))], np.uint32)
     for batch in batches:
         words = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _SIGNATURE], axis=1)
@@ -107,6 +118,9 @@ def _dealt(prefix_bits: int, kind: np.dtype, batches: Iterator[pa.RecordBatch])
         rows["node"] = batch.column("node").to_numpy()
         if "root" in kind.names:
             rows["root"], rows["signature"] = batch.column("root").to_numpy(), words
+        if "size" in kind.names:
+            sets = batch.column("set").to_pylist()
+            rows["size"] = [len(s) // 4 for s in sets]
         for table in range(TABLES):
             word = table // 2
             rows["fp"] = words[:, word] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
@@ -119,7 +133,10 @@ def _dealt(prefix_bits: int, kind: np.dtype, batches: Iterator[pa.RecordBatch])
             firsts = prefix[np.concatenate([[0], cuts])] if len(prefix) else prefix
             parts = [p.tobytes() for p in np.split(packed, cuts)] if len(prefix) else []
             buckets = (table << prefix_bits) + firsts.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(parts, pa.binary())], names=["bucket", "rows"])
+            packs = {"bucket": pa.array(buckets), "rows": pa.array(parts, pa.binary())}
+            if "size" in kind.names:
+                packs["sets"] = pa.array([b"".join(sets[k] for k in p) for p in np.split(order // len(flips), cuts)] if len(prefix) else [], pa.binary())
+            yield pa.RecordBatch.from_pydict(packs)
 
 
 def _unpacked(bucket: pd.DataFrame, kind: np.dtype) -> np.ndarray:
@@ -145,8 +162,9 @@ def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray,
 
 
 def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (u, v) of each node with the least that shares a variant and is alike by the further bits; and (u, u) for the
-    nodes of runs in which some were alike and others weren't, so that links may be missed."""
+    """Pairs (u, v) of each node with the least of those that it hangs together with, which need not be alike itself: nodes
+    hang together if alike by the further bits, one being the least of a variant. And (u, u) for the nodes of runs in which
+    some were alike and others weren't, so that links may be missed."""
     rows = _unpacked(bucket, _FIRST)
     node, further = rows["node"], rows["further"]
     place, run, _ = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
@@ -165,7 +183,7 @@ def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
         place, run = place[rest], run[rest]
     if not found:
         return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-    pairs = np.unique(np.concatenate(found), axis=0)
+    pairs = np.stack(_forest(*np.concatenate(found).T), axis=1)
     again = np.unique(all_place[np.isin(all_run, np.intersect1d(np.concatenate(some), np.concatenate(torn)))])
     return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[again]]), "v": np.concatenate([node[pairs[:, 1]], node[again]])})
 
@@ -177,15 +195,12 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(np.bitwise_count(apart) == 2, np.minimum(a ^ bit, b ^ bit), np.minimum(a, b))
 
 
-def _crossed(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
-    """All pairs (u, v), v < u, that share a variant, are close by all bits and have different roots: each in the first
-    table in which they meet, and there at one variant alone."""
-    rows = _unpacked(bucket, _SECOND)
-    node, root, signature, fp = rows["node"], rows["root"], rows["signature"], rows["fp"].astype(np.int64)
-    number = int(bucket["bucket"].iat[0])
+def _meetings(prefix_bits: int, number: int, rows: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(u, places): rows before u that share a variant, are close by all bits and have another root: each pair in the first
+    table in which it meets, and there at one variant alone. root may change between the steps."""
+    signature, fp = rows["signature"], rows["fp"].astype(np.int64)
     table = number >> prefix_bits
     place, run, variants = _runs(prefix_bits, number, rows)
-    found = [np.zeros((0, 2), np.int64)]
     ends = np.flatnonzero(np.diff(run)) + 1
     for members, at in zip(np.split(place, ends), run[np.concatenate([[0], ends])] if len(run) else [], strict=True) if len(run) else []:
         if (root[members] == root[members[0]]).all():
@@ -195,9 +210,53 @@ def _crossed(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
             before = before[(root[before] != root[u]) & (_first_meeting(fp[before], fp[u]) == variants[at])]
             bits = np.bitwise_count((signature[before] ^ signature[u]).view(np.uint32))  # a column for each table
             near = before[(bits.sum(axis=1, dtype=np.int64) <= CLOSE) & (bits[:, :table] > RADIUS).all(axis=1)]
-            found.append(np.stack([np.full(len(near), u), near], axis=1))
-    pairs = np.concatenate(found)
-    return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
+            if len(near):
+                yield u, near
+
+
+def _crossed(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
+    """The pairs (u, v), v < u, of _meetings, but for those both of whose nodes have more than CROWD of them here; for such nodes (u, u)."""
+    rows = _unpacked(bucket, _SECOND)
+    node, count = rows["node"], np.zeros(len(rows), np.int64)
+    crowd, pairs, found = np.zeros(len(rows), bool), np.zeros((0, 2), np.int64), []
+
+    def sifted() -> np.ndarray:
+        """Counts only grow, so that what is crowded now stays so."""
+        all_pairs = np.concatenate([pairs, *found])
+        both = (count[all_pairs] > CROWD).all(axis=1)
+        crowd[all_pairs[both]] = True
+        return all_pairs[~both]
+
+    held = 0
+    for u, near in _meetings(prefix_bits, int(bucket["bucket"].iat[0]), rows, rows["root"]):
+        found.append(np.stack([np.full(len(near), u), near], axis=1))
+        count[u] += len(near)
+        count[near] += 1
+        held += len(near)
+        if held > BUCKET_VARIANTS:
+            pairs, found, held = sifted(), [], 0
+    pairs = sifted()
+    return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[crowd]]), "v": np.concatenate([node[pairs[:, 1]], node[crowd]])})
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) and jaccard(a, b) >= least
+
+
+def _spanned(prefix_bits: int, least: float, bucket: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs (u, v) of _meetings those whose sets have a similarity of `least` or more, as far as they join different components here."""
+    rows, sets = np.frombuffer(b"".join(bucket["rows"]), _THIRD), np.frombuffer(b"".join(bucket["sets"]), "<u4")
+    order = np.argsort(rows["node"], kind="stable")
+    ends = np.cumsum(rows["size"], dtype=np.int64)[order]
+    rows = rows[order]
+    node, root, starts = rows["node"], rows["root"].copy(), ends - rows["size"]
+    found = []
+    for u, near in _meetings(prefix_bits, int(bucket["bucket"].iat[0]), rows, root):
+        for v in near:
+            if root[v] != root[u] and _similar(sets[starts[u] : ends[u]], sets[starts[v] : ends[v]], least):
+                found.append((node[u], node[v]))
+                root[root == root[v]] = root[u]
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
 def _with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -224,16 +283,31 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(_with_ends(pairs.select("u", "v"), named).where(F.col("root") != F.col("root_v")).select("u", "v"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (u, v), a saved table, whose shingle sets have a similarity of `least` or more.
+def _place(of: str) -> tuple[Column, Column]:
+    """The bitmap, as a number of any size, and the bit there that stand for a hash."""
+    return F.shiftrightunsigned(of, 15), F.col(of).bitwiseAND(BITMAP - 1)
+
+
+def _among(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(text, of) of the rows of docs whose hashes are in needed, and of a few others (one in TEXT_BITS), so that all other
+    texts stay where they are: a map of TEXT_BITS bits for each row of needed goes to all tasks."""
+    maps = max(1, math.ceil(needed.count() * TEXT_BITS / BITMAP))
+    number, bit = _place(_TEXT[0])
+    number = F.pmod(number, F.lit(maps))
+    bitmaps = needed.groupBy(number.alias("map")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    rows = docs.select("text", *_TEXT, number.alias("map"), bit.cast("int").alias("bit")).join(F.broadcast(bitmaps), "map")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.col("bit").bitwiseAND(7)) == 1).select("text", F.struct(*_TEXT).alias("of"))
 
-    One text of each node is read again, by its hash. Of a shingle's hash 32 bits are compared: of two texts of two
-    thousand words one pair in a thousand seems to share a shingle that it doesn't.
+
+def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, set) for the nodes of ends: the sorted hashes of its shingles, 32 bits of each.
+
+    One text of each node is read again, by its hash. Of two texts of two thousand words one pair in a thousand seems to
+    share a shingle that it doesn't.
     """
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = saved(ends.join(nodes.select("node", *_TEXT, "n"), "node"))
-    same = F.struct(*_TEXT)
-    texts = skew_join(docs.select("text", same.alias("of")), needed.select("node", same.alias("of"), "n"), "of", "n")
+    needed = saved(ends.distinct().join(nodes.select("node", *_TEXT, "n"), "node"))
+    texts = skew_join(saved(_among(docs, needed)), needed.select("node", F.struct(*_TEXT).alias("of"), "n"), "of", "n")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,21 +315,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, l
             sets = [np.unique(shingle_set(t, width).astype(np.uint32)).tobytes() for t in _texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
+    return saved(in_arrow(texts, gathered, "node long, set binary"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v), a saved table, whose shingle sets have a similarity of `least` or more."""
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set"):
             both = zip(batch.column("set"), batch.column("set_v"), strict=True)
-            good = [jaccard(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)) >= least for a, b in both]
+            good = [_similar(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32), least) for a, b in both]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    both = _with_ends(pairs.select("u", "v"), saved(in_arrow(texts, gathered, "node long, set binary")))
+    both = _with_ends(pairs.select("u", "v"), _sets(ends, docs, nodes, width))
     return saved(in_arrow(both, compared, "u long, v long"))
 
 
 def _roots(docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
     """(node, root) of the nodes that are linked to any other."""
     def dealt(of: DataFrame, least_bits: int, kind: np.dtype) -> tuple[int, GroupedData]:
-        bits = min(24, max(least_bits, math.ceil(math.log2(1 + of.count() * (BITS + 1) / BUCKET_VARIANTS))))
-        return bits, in_arrow(of, functools.partial(_dealt, bits, kind), "bucket long, rows binary").groupBy("bucket")
+        share = of.count() * (BITS + 1) / BUCKET_VARIANTS
+        if "set" in of.columns:
+            share = max(share, (of.agg(F.sum(F.octet_length("set"))).first()[0] or 0) / BUCKET_BYTES)
+        bits = min(24, max(least_bits, math.ceil(math.log2(1 + share))))
+        return bits, in_arrow(of, functools.partial(_dealt, bits, kind), "bucket long, rows binary" + ", sets binary" * ("set" in of.columns)).groupBy("bucket")
 
     bits, buckets = dealt(nodes.select("node", *_SIGNATURE), 3, _FIRST)
     starred = saved(buckets.applyInPandas(functools.partial(_starred, bits), "u long, v long").distinct())
@@ -270,16 +354,21 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataF
         links = saved(links.unionByName(_verified(rest, docs, nodes, width, least)))
         roots = saved(components(links))
         apart = _apart(apart, roots)
-    # a run whose members all were alike its least is settled if they are of one component; in others any two may be a link
+    # what hangs together in a bucket is settled if it is of one component; else any two of it may be a link, as in runs that hang together in part
     unsettled = saved(apart.select("v").distinct())
     again = starred.where("u = v").select(F.col("u").alias("node")).unionByName(unsettled.select(F.col("v").alias("node"))).unionByName(pairs.join(unsettled, "v", "left_semi").select(F.col("u").alias("node")))
     open_ = saved(nodes.join(again.distinct(), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_SIGNATURE))
     if not open_.isEmpty():
-        bits, buckets = dealt(open_, 2, _SECOND)
-        crossed = buckets.applyInPandas(functools.partial(_crossed, bits), "u long, v long")
-        crossed = saved(crossed.join(tried, ["u", "v"], "left_anti"))
+        bits, buckets = dealt(open_, 1, _SECOND)
+        met = saved(buckets.applyInPandas(functools.partial(_crossed, bits), "u long, v long"))
+        crossed = saved(met.where("u <> v").join(tried, ["u", "v"], "left_anti"))
         if not crossed.isEmpty():
-            roots = saved(components(links.unionByName(_verified(crossed, docs, nodes, width, least))))
+            links = saved(links.unionByName(_verified(crossed, docs, nodes, width, least)))
+        crowd = saved(open_.join(met.where("u = v").select(F.col("u").alias("node")).distinct(), "node"))
+        if not crowd.isEmpty():
+            bits, buckets = dealt(saved(crowd.join(_sets(crowd.select("node"), docs, nodes, width), "node")), 1, _THIRD)
+            links = saved(links.unionByName(buckets.applyInPandas(functools.partial(_spanned, bits, least), "u long, v long")))
+        roots = saved(components(links))
     return roots
 
 
