@@ -26,10 +26,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from tempora.llm._common import in_arrow, saved, skew_join, slices, temporary, text_bytes
+from tempora.llm._common import free_name, in_arrow, saved, skew_join, slices, temporary, text_bytes
 from tempora.llm.components import components
 from tempora.llm.simhash import _LOWER, SEED, _forest
 
@@ -163,8 +163,8 @@ def _runs(prefix_bits: int, bucket: int, rows: np.ndarray) -> tuple[np.ndarray,
 
 def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     """Pairs (u, v) of each node with the least of those that it hangs together with, which need not be alike itself: nodes
-    hang together if alike by the further bits, one being the least of a variant. And (u, u) for the nodes of runs in which
-    some were alike and others weren't, so that links may be missed."""
+    hang together if alike by the further bits, one being the least of a variant. And (v, v) for the least of
+    those that nodes hang together with whose runs were alike in part, so that links may be missed."""
     rows = _unpacked(bucket, _FIRST)
     node, further = rows["node"], rows["further"]
     place, run, _ = _runs(prefix_bits, int(bucket["bucket"].iat[0]), rows)
@@ -184,7 +184,9 @@ def _starred(prefix_bits: int, bucket: pd.DataFrame) -> pd.DataFrame:
     if not found:
         return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
     pairs = np.stack(_forest(*np.concatenate(found).T), axis=1)
-    again = np.unique(all_place[np.isin(all_run, np.intersect1d(np.concatenate(some), np.concatenate(torn)))])
+    least = np.arange(len(node))
+    least[pairs[:, 0]] = pairs[:, 1]
+    again = np.unique(least[all_place[np.isin(all_run, np.intersect1d(np.concatenate(some), np.concatenate(torn)))]])
     return pd.DataFrame({"u": np.concatenate([node[pairs[:, 0]], node[again]]), "v": np.concatenate([node[pairs[:, 1]], node[again]])})
 
 
@@ -283,21 +285,22 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(_with_ends(pairs.select("u", "v"), named).where(F.col("root") != F.col("root_v")).select("u", "v"))
 
 
-def _place(of: str) -> tuple[Column, Column]:
-    """The bitmap, as a number of any size, and the bit there that stand for a hash."""
-    return F.shiftrightunsigned(of, 15), F.col(of).bitwiseAND(BITMAP - 1)
+def _marked(rows: DataFrame, key: str, needed: DataFrame, needed_key: str, shown: str) -> DataFrame:
+    """rows with a column that is true where the hash `key` is in needed[needed_key], and for one in TEXT_BITS of the others:
+    a map of TEXT_BITS bits for each row of needed goes to all tasks. Nulls are shown."""
+    maps = max(1, math.ceil(needed.count() * TEXT_BITS / BITMAP))
+    number = lambda c: F.pmod(F.shiftrightunsigned(c, 15), F.lit(maps))
+    bit = lambda c: F.col(c).bitwiseAND(BITMAP - 1).cast("int")
+    at, bits = free_name("_map", rows), free_name("_bits", rows)
+    bitmaps = needed.groupBy(number(needed_key).alias(at)).agg(F.bitmap_construct_agg(bit(needed_key).cast("long")).alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit(key), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_in = F.coalesce(F.getbit(byte, bit(key).bitwiseAND(7)) == 1, F.col(key).isNull())
+    return rows.withColumn(at, number(key)).join(F.broadcast(bitmaps), at, "left").withColumn(shown, is_in).drop(at, bits)
 
 
 def _among(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(text, of) of the rows of docs whose hashes are in needed, and of a few others (one in TEXT_BITS), so that all other
-    texts stay where they are: a map of TEXT_BITS bits for each row of needed goes to all tasks."""
-    maps = max(1, math.ceil(needed.count() * TEXT_BITS / BITMAP))
-    number, bit = _place(_TEXT[0])
-    number = F.pmod(number, F.lit(maps))
-    bitmaps = needed.groupBy(number.alias("map")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    rows = docs.select("text", *_TEXT, number.alias("map"), bit.cast("int").alias("bit")).join(F.broadcast(bitmaps), "map")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte, F.col("bit").bitwiseAND(7)) == 1).select("text", F.struct(*_TEXT).alias("of"))
+    """(text, of) of the rows of docs whose hashes are in needed, and of a few others, so that all other texts stay where they are."""
+    return _marked(docs, _TEXT[0], needed, _TEXT[0], "shown").where("shown").select("text", F.struct(*_TEXT).alias("of"))
 
 
 def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -355,8 +358,8 @@ def _roots(docs: DataFrame, nodes: DataFrame, width: int, least: float) -> DataF
         roots = saved(components(links))
         apart = _apart(apart, roots)
     # what hangs together in a bucket is settled if it is of one component; else any two of it may be a link, as in runs that hang together in part
-    unsettled = saved(apart.select("v").distinct())
-    again = starred.where("u = v").select(F.col("u").alias("node")).unionByName(unsettled.select(F.col("v").alias("node"))).unionByName(pairs.join(unsettled, "v", "left_semi").select(F.col("u").alias("node")))
+    unsettled = saved(apart.select("v").unionByName(starred.where("u = v").select("v")).distinct())
+    again = unsettled.select(F.col("v").alias("node")).unionByName(pairs.join(unsettled, "v", "left_semi").select(F.col("u").alias("node")))
     open_ = saved(nodes.join(again.distinct(), "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *_SIGNATURE))
     if not open_.isEmpty():
         bits, buckets = dealt(open_, 1, _SECOND)
@@ -395,5 +398,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one document left of each component, that with the smallest id; rows that repeat an id are one document. Rows with a null id stay."""
     found = similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, least)
-    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*docs.columns))
+    # few go; what a map of their ids doesn't show stays where it is
+    gone = saved(found.groupBy("doc").agg(F.max(F.col("doc") == F.col("component")).alias("stays")).where("NOT stays").select("doc"))
+    key, shown = free_name("_key", docs), free_name("_shown", docs)
+    rows = _marked(docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"))), key, gone.select(F.xxhash64("doc").alias("key")), "key", shown)
+    seen = rows.where(F.col(shown)).join(gone, rows[id_col].cast("long") == gone["doc"], "left_anti")
+    return rows.where(~F.col(shown)).select(*docs.columns).unionByName(seen.select(*docs.columns))
