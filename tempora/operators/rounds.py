@@ -180,12 +180,6 @@ def source_flag(ratio: Column) -> Column:
     return F.when(ratio.isNull(), "not_estimable").when(ratio < 0.6, "strong_source_video_signature").when(ratio < 0.85, "moderate_source_video_signature").otherwise("weak_source_video_signature")
 
 
-def distance_summary(rows: DataFrame, keys: Sequence[str], distance: str = "distance", digits: int = 6) -> DataFrame:
-    """Count, mean, median, least and largest distance of each key."""
-    r = lambda c, name: F.round(c, digits).alias(name)
-    return rows.groupBy(*keys).agg(F.count(distance).alias("n"), r(F.avg(distance), "mean"), r(F.median(distance), "median"), r(F.min(distance), "least"), r(F.max(distance), "largest"))
-
-
 def contrasting_pair(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of each key the pair (a, b, distance, crossed) to study: of two sources if there is one, then the farthest, then the least ids."""
     order = Window.partitionBy(*keys).orderBy(F.desc("crossed"), F.desc("distance"), "a", "b")

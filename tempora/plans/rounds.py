@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tempora.functions import hints as H
+from tempora.operators import clusters as C
 from tempora.operators import rounds as R
 from tempora.plans.catalog import query, table
-from tempora.plans.descriptive import _PART_LONG, _distances, _z
+from tempora.plans.descriptive import _PART_LONG, _distances, _vectors, _z
 
 # ---- two rounds: each order is reviewed by its clerk's number, once in either round
 
@@ -171,7 +172,7 @@ def group_characterisation(spark, sf_dir):
 
 @query(f"WITH {_PART_LONG} SELECT p_brand, count(distance) AS n, round(avg(distance), 6) AS mean, round(median(distance), 6) AS median, round(min(distance), 6) AS least, round(max(distance), 6) AS largest FROM p GROUP BY 1")
 def distance_summary(spark, sf_dir):
-    return R.distance_summary(_distances(spark, sf_dir), ["p_brand"])
+    return C.distance_summary(_vectors(spark, sf_dir), ["p_brand"], 2)
 
 
 @query(f"""
