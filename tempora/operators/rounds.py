@@ -180,12 +180,6 @@ def source_flag(ratio: Column) -> Column:
     return F.when(ratio.isNull(), "not_estimable").when(ratio < 0.6, "strong_source_video_signature").when(ratio < 0.85, "moderate_source_video_signature").otherwise("weak_source_video_signature")
 
 
-def contrasting_pair(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of each key the pair (a, b, distance, crossed) to study: of two sources if there is one, then the farthest, then the least ids."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("crossed"), F.desc("distance"), "a", "b")
-    return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
 # ---- snapshots
 
 

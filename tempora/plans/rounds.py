@@ -8,7 +8,7 @@ from tempora.functions import hints as H
 from tempora.operators import clusters as C
 from tempora.operators import rounds as R
 from tempora.plans.catalog import query, table
-from tempora.plans.descriptive import _PART_LONG, _distances, _vectors, _z
+from tempora.plans.descriptive import _PART_LONG, _vectors, _z
 
 # ---- two rounds: each order is reviewed by its clerk's number, once in either round
 
@@ -179,8 +179,8 @@ def distance_summary(spark, sf_dir):
 WITH {_PART_LONG}, x AS (SELECT p_brand, a, b, round(distance, 6) AS distance, a % 5 <> b % 5 AS crossed FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY crossed DESC, distance DESC, a, b) AS n FROM x)
 SELECT p_brand, a, b, distance, crossed FROM n WHERE n = 1""")
 def contrasting_pairs(spark, sf_dir):
-    pairs = _distances(spark, sf_dir).select("p_brand", "a", "b", F.round("distance", 6).alias("distance"), (F.col("a") % 5 != F.col("b") % 5).alias("crossed"))
-    return R.contrasting_pair(pairs, ["p_brand"])
+    rows = _vectors(spark, sf_dir).withColumn("source", F.col("p_partkey") % 5)
+    return C.contrasting_pair(rows, ["p_brand"], "p_partkey", "source", 2)
 
 
 # ---- hints
