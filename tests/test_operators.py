@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +252,23 @@ def test_chains_of_many_links(spark, monkeypatch):
     assert E.chains(events.limit(0), "event_id", "target", "repetition_id").collect() == []
 
 
+def test_chains_in_few_steps(spark, monkeypatch):
+    """Cycles take no further rounds, and groups that are too large for one task give the same rows."""
+    from tempora.operators import reviews as E
+
+    rng = random.Random(5)
+    rows = [(n, rng.choice([None, rng.randrange(320), rng.randrange(320), n - n % 40 + rng.randrange(40)]), [None, "g", "h", "k"][n // 40 % 4]) for n in range(300)] + [(7, 8, "g"), (None, 1, "h"), (2**60 + 1, 2**60, "g"), (2**60, None, "g")]
+    events = spark.createDataFrame(rows, "event_id long, target long, repetition_id string").repartition(3)
+    calls, kept = [], E._kept
+    monkeypatch.setattr(E, "_kept", lambda df: calls.append(1) or kept(df))
+    near = E.chains(events, "event_id", "target", "repetition_id").collect()
+    assert len(calls) <= 3
+    monkeypatch.setattr(E, "GROUP", 70)
+    far = E.chains(events, "event_id", "target", "repetition_id").collect()
+    assert len(calls) > 6 and sorted(map(repr, near)) == sorted(map(repr, far)) and {r.status for r in near} == {"first", "linked", "missing_target", "other_group", "cycle", "repeated_id"}
+    assert next((r.root, r.steps) for r in near if r.event_id == 2**60 + 1) == (2**60, 1)
+
+
 # ---- canonical entries
 
 
