@@ -269,6 +269,21 @@ def test_chains_in_few_steps(spark, monkeypatch):
     assert next((r.root, r.steps) for r in near if r.event_id == 2**60 + 1) == (2**60, 1)
 
 
+def test_reference_errors_in_few_steps(spark, monkeypatch):
+    """Errors of a chain of 600, of cycles and of ends elsewhere, with as many checkpoints as for a chain of one."""
+    from tempora.operators import reviews as E
+
+    rows = [(n, n - 1 if n else None, "g") for n in range(600)] + [(700, 701, "g"), (701, 700, "g"), (702, 700, "g"), (703, 9, "h"), (704, 999, "h"), (705, None, "x")]
+    events = spark.createDataFrame(rows, "event_id long, target long, repetition_id string")
+    calls, kept = [], E._kept
+    monkeypatch.setattr(E, "_kept", lambda df: calls.append(1) or kept(df))
+    expected = spark.createDataFrame([("g",), ("h",)], "repetition_id string")
+    got = {(r.event_id, r.error) for r in E.reference_errors(events, E.chains(events, "event_id", "target", "repetition_id"), expected).collect()}
+    cycle, forks = "superseded_in_a_cycle", {(701, "superseded_twice"), (702, "superseded_twice")}
+    assert got == {(700, cycle), (701, cycle), (702, cycle), (703, "superseded_of_another_repetition"), (704, "superseded_missing"), (705, "outside_manifest")} | forks
+    assert len(calls) <= 3
+
+
 # ---- canonical entries
 
 
