@@ -159,8 +159,9 @@ def onset(rows: DataFrame, keys: Sequence[str], time: str, value: str, base: str
 
 
 def split_extrema(rows: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    """The first largest value and the smallest values before and after its time."""
-    peak = rows.groupBy(*keys).agg(F.max_by(time, F.struct(F.col(value), -F.col(time).cast("double"))).alias("peak_time"), F.max(value).alias("peak"))
+    """The time of the first largest value, the largest value and the smallest values before and after that time; rows without a time or a value aren't at any peak's time."""
+    there = F.col(time).isNotNull() & F.col(value).isNotNull()
+    peak = rows.groupBy(*keys).agg(F.max_by(F.when(there, F.col(time)), F.when(there, F.struct(F.col(value), -F.col(time).cast("double")))).alias("peak_time"), F.max(value).alias("peak"))
     side = lambda c: F.min(F.when(c, F.col(value)))
     sides = rows.join(peak, list(keys)).groupBy(*keys).agg(F.first("peak_time").alias("peak_time"), F.first("peak").alias("peak"), side(F.col(time) < F.col("peak_time")).alias("least_before"), side(F.col(time) > F.col("peak_time")).alias("least_after"))
     return sides

@@ -269,6 +269,21 @@ def test_chains_in_few_steps(spark, monkeypatch):
     assert next((r.root, r.steps) for r in near if r.event_id == 2**60 + 1) == (2**60, 1)
 
 
+def test_split_extrema_of_missing_and_tied(spark):
+    """Rows without a time or a value are passed over as arg_max passes over them; of equal peaks the first counts."""
+    import duckdb
+
+    from tempora.operators import sequences as S
+
+    rows = [(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (1, 4, 1.0), (2, 1, None), (2, 2, None), (3, None, 8.0), (3, 2, 4.0), (3, 3, 2.0), (3, 1, 3.0), (4, None, 8.0), (5, 2, None), (5, 1, 1.0)]
+    got = S.split_extrema(spark.createDataFrame(rows, "k long, t long, v double").repartition(3), ["k"], "t", "v").select("k", "peak_time", "peak", "least_before", "least_after")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (i INT, k BIGINT, t BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    want = con.execute("SELECT k, pt, p, min(v) FILTER (t < pt), min(v) FILTER (t > pt) FROM r JOIN (SELECT k, arg_max(t, v ORDER BY t) AS pt, max(v) AS p FROM r GROUP BY 1) USING (k) GROUP BY 1, 2, 3").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_reference_errors_in_few_steps(spark, monkeypatch):
     """Errors of a chain of 600, of cycles and of ends elsewhere, with as many checkpoints as for a chain of one."""
     from tempora.operators import reviews as E
